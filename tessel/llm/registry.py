@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import bpe, decontaminate, pii, quality_classifier, quality_rules, token_counts, toxicity
+from . import bpe, decontaminate, html_extract, pii, quality_classifier, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
 }
