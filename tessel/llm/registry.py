@@ -1,8 +1,9 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import bpe, decontaminate, html_extract, pii, quality_classifier, quality_rules, token_counts, toxicity
+from . import bpe, decontaminate, html_extract, ngram_join, pii, quality_classifier, quality_rules, token_counts, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
