@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, table, written
-from .components import components
+from .groups import similar_groups
 
 SHINGLE, NUM, DEN = 3, 90, 100
 HEAVY, OFTEN, LOT = 1 << 18, 8, 2_000_000
@@ -192,13 +192,8 @@ def _semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= IDS else ids, column, "left_semi")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b: set ids) that link, as class representatives (u, v: doc ids)."""
-    side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), F.col("rep").alias(f"r{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    room = F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
-    met = written(met.where(F.size(F.array_intersect("fa", "fb")) + room >= need(F.col("na"), F.col("nb"), num, den)).select("a", "b", "na", "nb", "ra", "rb"), "pairs")
-    ids = written(met.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "ids")
+def fetched(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """set_id, elements: the sets of the documents of these ids, read from their texts again."""
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         shingler = Shingler(shingle)
@@ -206,10 +201,15 @@ def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle:
             s = shingler(text)
             yield set_id(s), s
 
-    sets = written(map_rows(_semi(documents.select("doc_id", "text"), ids, "doc_id"), ["doc_id", "text"], "set_id long, elements array<long>", rows).dropDuplicates(["set_id"]), "sets")
-    both = met.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("eb")), "b")
+    taken = _semi(documents.select("doc_id", "text"), ids, "doc_id")
+    return map_rows(taken, ["doc_id", "text"], "set_id long, elements array<long>", rows).dropDuplicates(["set_id"])
+
+
+def decided(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets (set_id, elements) have the wanted similarity."""
+    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("elements").alias(f"e{x}"))
     shared = F.size(F.array_intersect("ea", "eb"))
-    return both.where(den * shared >= num * (F.col("na") + F.col("nb") - shared)).select(F.col("ra").alias("u"), F.col("rb").alias("v"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(den * shared >= num * (F.size("ea") + F.size("eb") - shared)).select("a", "b")
 
 
 def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -223,31 +223,23 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
     below = _boundary(lists, num, den)
     subsets = _subset_keys(classes, below, num, den)
     often = subsets.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    keys = written(lists.drop("length").withColumn("light", F.lit(False)).unionAll(subsets.join(often, "key", "left_semi").withColumn("light", F.lit(True))), "keys")
+    keys = written(lists.drop("length").withColumn("kind", F.lit(False)).unionAll(subsets.join(often, "key", "left_semi").withColumn("kind", F.lit(True))), "keys")
     # sets that are both small meet under their subsets alone
-    pair = (F.col("x.light") | (F.greatest("x.n", "y.n") >= below)) & _fits("x", "y", num, den)
-    band = F.floor(F.log("n") / math.log(den / num)).cast("int")
-    banded = keys.withColumn("band", band)
-    hubs = banded.groupBy("key", "light", "band").agg(F.min_by(F.struct("set_id", "n", "place"), F.struct(F.xxhash64("set_id", "key"), "set_id")).alias("h"))
-    hubs = hubs.select("key", "light", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "h.*")
-    tried = banded.alias("x").join(hubs.alias("y"), ["key", "light", "band"]).where((F.col("x.set_id") != F.col("y.set_id")) & pair)
-    tried = written(tried.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct(), "tried")
-    links = written(_linked(tried, classes, documents, shingle, num, den), "linked")
-    groups = components(links, "u", "v")
-
-    own = classes.select("set_id", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    placed = written(keys.join(own, "set_id"), "placed")
-    mixed = placed.groupBy("key", "light").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key", "light")
-    placed = placed.join(mixed, ["key", "light"], "left_semi")
-    parts = placed.select("key", "light", "component").distinct()
-    across = parts.alias("p").join(parts.alias("q"), ["key", "light"]).where("p.component < q.component").select("key", "light", F.col("p.component").alias("p"), F.col("q.component").alias("q"))
-    left = across.join(placed.withColumnRenamed("component", "p"), ["key", "light", "p"]).select("key", "light", "q", F.struct("set_id", "n", "place", "light").alias("x"))
-    found = left.join(placed.select("key", "light", F.col("component").alias("q"), F.struct("set_id", "n", "place").alias("y")), ["key", "light", "q"]).where(pair)
-    found = found.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = written(_linked(written(found, "across"), classes, documents, shingle, num, den), "linked")
-    if late.limit(1).count():
-        groups = components(links.unionAll(late), "u", "v")
-    of = classes.select("set_id", "n", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("set_id", "n", "rep", F.coalesce("component", "rep").alias("component"))
+    fits = (F.col("x.kind") | (F.greatest("x.n", "y.n") >= below)) & _fits("x", "y", num, den)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), F.col("rep").alias(f"r{x}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+        room = F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
+        enough = F.size(F.array_intersect("fa", "fb")) + room >= need(F.col("na"), F.col("nb"), num, den)
+        met = written(met.where(enough).select("a", "b", "ra", "rb"), "pairs")
+        ids = written(met.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "ids")
+        return decided(met.select("a", "b"), written(fetched(documents, ids, shingle), "sets"), num, den)
+
+    groups = similar_groups(keys, lambda n: F.floor(F.log(n) / math.log(den / num)), fits, linked)
+    of = classes.select("set_id", "n", "rep").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    least = of.groupBy("component").agg(F.min("rep").alias("least"))
+    of = of.join(least, "component").select("set_id", "n", "rep", F.col("least").alias("component"))
     out = docs.select("doc_id", "set_id", "n").join(of, ["set_id", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
