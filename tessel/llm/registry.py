@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import bpe, decontaminate, html_extract, ngram_join, pii, quality_classifier, quality_rules, token_counts, toxicity
+from . import bpe, decontaminate, html_extract, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_decontaminate": decontaminate.op6_decontaminate,
