@@ -19,7 +19,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 def hashed(text: str | None, bits: int = BITS, bigrams: bool = True, stem: int = 0, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of a text's unigrams, bigrams, and word beginnings of `stem` characters; values are 1 + log of the count, of length 1 together.
+    """Indices and values of a text's unigrams, bigrams (those of one word twice also as such), and word beginnings of `stem` characters; values are 1 + log of the count, of length 1 together.
 
     known: keeps token -> hash from one text to the next.
     """
@@ -37,6 +37,7 @@ def hashed(text: str | None, bits: int = BITS, bigrams: bool = True, stem: int =
     parts = [code * np.uint64(0x9E3779B97F4A7C15)]
     if bigrams and len(code) > 1:
         parts.append((code[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (code[1:] * np.uint64(0x165667B19E3779F9)) + np.uint64(1))
+        parts.append(np.full(int((code[:-1] == code[1:]).sum()), 0x27D4EB2F165667C5, np.uint64))  # a word twice in a row, whichever it is
     if stem:
         parts.append(np.fromiter({zlib.crc32(b"^" + w[:stem].encode("utf-8", "replace")) for w in set(words) if len(w) > stem}, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     index, count = np.unique(np.concatenate(parts) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - bits), return_counts=True)

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, table
 from .features import BITS, hashed
 
-MAX_TRAIN, EPOCHS = 8000, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
+MAX_TRAIN, EPOCHS = 8000, 5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.0
 
 
 class Ftrl:
