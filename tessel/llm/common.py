@@ -61,6 +61,19 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Ite
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows, with all their columns, whose text passes. make() is called once a task and gives the test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield part.filter(pa.array([passes(t) for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 

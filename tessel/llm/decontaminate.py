@@ -17,13 +17,13 @@ an empty benchmark leaves every document clean; other columns of the input aren'
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import filter_texts, map_rows, table
 
 WINDOW = 10
 #: Benchmark bytes in one automaton (some 40 times as many in memory).
@@ -90,18 +90,34 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (word and character ranges of the original text that benchmark windows cover), item_ids (as strings, sorted)."""
-    spark = documents.sparkSession
+def shards_of(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list:
+    """The items (item_id, text) as broadcasts of about shard_bytes of text each."""
     items = benchmark.select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // shard_bytes) or 1
+    parts = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k) for k in range(shards)] if shards > 1 else [items]
+    return [benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()]) for part in parts]
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The documents, all their columns, without those that hold a window of the benchmark."""
+    for held in shards_of(benchmark, shard_bytes):
+
+        def keep(held=held) -> Callable[[str | None], bool]:
+            machine = automaton(held.value, window)
+            return lambda text: not scan(text, machine)[1]
+
+        documents = filter_texts(documents, keep)
+    return documents
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_words, spans (word and character ranges of the original text that benchmark windows cover), item_ids (as strings, sorted)."""
+    shards = shards_of(benchmark, shard_bytes)
     state = "ranges array<struct<a:int,b:int>>, item_ids array<string>"
     found = documents.select("doc_id", "text", *(F.array().cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in state.split(", ")))
-    for shard in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
-        held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # about shard_bytes of text
-        last = shard == shards - 1
+    for k, held in enumerate(shards):
+        last = k == len(shards) - 1
 
         def rows(it: Iterator[tuple], held=held, last=last) -> Iterator[tuple]:
             machine = automaton(held.value, window)

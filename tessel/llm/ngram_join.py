@@ -245,10 +245,14 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
 
 
 def keep_first(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The documents, all their columns, without those whose group has a smaller doc_id."""
-    groups = join_groups(documents, shingle, num, den)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """The documents, all their columns, that are the first of their group by doc_id; of rows of one doc_id, one stays."""
+    groups = written(join_groups(documents, shingle, num, den).select("doc_id", "component_id"), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    left = documents.join(F.broadcast(gone) if gone.count() <= IDS else gone, "doc_id", "left_anti").select(*documents.columns)
+    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.limit(1).count():
+        left = left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*documents.columns)
+    return left
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,8 @@ NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\]?[. ]", "card": r"[0-9]{4}|[
 CUES = [("phone", r"(?i)\b(?:tel|phone|call|mobile|fax|whatsapp)\b"), ("email", r"(?i)\b(?:e-?mail|contact|write)\b"), ("card", r"(?i)\b(?:card|visa|credit|payment|account)\b"), ("ip", r"(?i)\b(?:ip|address|server|host)\b"), ("other", r"(?i)\b(?:version|v|isbn|issn|order|id|no|ref|page|pp|date)\b")]
 FEATURES = ["digits", "groups", "varied", "luhn", "octets", "cue", "before", "after", "tld"]
 MAX_PATTERNS, TREES, RATE, PRECISION, LEAST = 20_000, 20, 0.4, 0.98, 50
+#: Documents with spans that are broadcast to be joined back.
+MOST_JOINED = 100_000
 SPAN = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
 
 
@@ -125,21 +127,22 @@ def _overlaps(x: Column, y: Column) -> Column:
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id; base_<kind>: valid base spans; cand_<kind>: candidates with features, `same` (overlaps a base span of the kind) and `base` (of any)."""
+    """doc_id; text_key: hash of the text; base_<kind>: valid base spans; cand_<kind>: candidates with features, `same` (overlaps a base span of the kind) and `base` (of any)."""
     text = F.coalesce("text", F.lit(""))
     made = []
     for kind in KINDS:
         for name, pattern in (("r", BASE[kind]), ("g", CANDIDATE[kind])):
             m, p = _pieces(text, pattern, NEEDS[kind])
             made += [m.alias(f"{name}m_{kind}"), p.alias(f"{name}p_{kind}")]
-    seen = written(documents.select("doc_id", *made), "pii-pieces")
+    seen = written(documents.select("doc_id", F.xxhash64("text").alias("text_key"), *made), "pii-pieces")
     for kind in KINDS:
         for name in "rg":
             seen = seen.withColumn(f"{name}_{kind}", _spans(F.col(f"{name}m_{kind}"), F.col(f"{name}p_{kind}")))
-    seen = seen.select("doc_id", *(F.filter(f"r_{k}", _with(lambda k, x: _valid(k, x["m"]), k)).alias(f"base_{k}") for k in KINDS), *(f"g_{k}" for k in KINDS))
+    seen = seen.select("doc_id", "text_key", *(F.filter(f"r_{k}", _with(lambda k, x: _valid(k, x["m"]), k)).alias(f"base_{k}") for k in KINDS), *(f"g_{k}" for k in KINDS))
     every = F.concat(*(F.col(f"base_{k}") for k in KINDS))
     return seen.select(
         "doc_id",
+        "text_key",
         *(f"base_{k}" for k in KINDS),
         *(
             F.transform(
@@ -242,7 +245,7 @@ def _score(trees: list[Tree], x: Column) -> Column:
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
-    """doc_id; base and spans: array<struct<kind, s, e>> by kind as listed, then start."""
+    """doc_id; text_key; base and spans: array<struct<kind, s, e>> by kind as listed, then start."""
     found = written(candidates(documents), "pii-candidates")
     models = fit(found)
     kind = "struct<o:int,s:int,e:int>"
@@ -258,7 +261,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
         keep = lambda acc, x: F.when(x["s"] >= acc["p"], F.struct(x["e"].alias("p"), F.array_append(acc["o"], F.struct(x["o"].alias("o"), x["s"].alias("s"), x["e"].alias("e")).cast(kind)).alias("o"))).otherwise(acc)
         added = F.aggregate(F.array_sort(F.concat(*new)), F.struct(F.lit(0).alias("p"), added.alias("o")), keep)["o"]
     named = lambda spans: F.transform(F.array_sort(spans), lambda x: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), x["o"] + 1).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    return found.select("doc_id", named(base).alias("base"), named(F.concat(base, added)).alias("spans"))
+    return found.select("doc_id", "text_key", named(base).alias("base"), named(F.concat(base, added)).alias("spans"))
 
 
 def joined(spans: str) -> Column:
@@ -276,3 +279,26 @@ def digests(found: DataFrame) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_pii(table(spark, sf_dir, "documents")))
+
+
+def redact(documents: DataFrame) -> DataFrame:
+    """The documents, all their columns, with every span of the text replaced by its kind in angle brackets.
+
+    Overlapping spans become one mark, named for the first; n_chars, where there is one, follows the text.
+    Only documents with spans are joined back, by id and text, and broadcast if they are at most MOST_JOINED.
+    """
+    spans = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    found = find_pii(documents).where(F.size("spans") > 0).select(F.col("doc_id").alias("pii_doc"), F.col("text_key").alias("pii_key"), spans.alias("pii_spans")).dropDuplicates(["pii_doc", "pii_key"])
+    found = written(found, "pii-spans")
+    met = F.broadcast(found) if found.count() <= MOST_JOINED else found
+    joined_ = documents.join(met, F.col("doc_id").eqNullSafe(F.col("pii_doc")) & (F.xxhash64("text") == F.col("pii_key")), "left")
+    piece = lambda acc, x: F.when(
+        x["s"] >= acc["p"],
+        F.struct(F.concat(acc["t"], F.substring("text", acc["p"] + 1, x["s"] - acc["p"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("t"), x["e"].alias("p")),
+    ).otherwise(F.struct(acc["t"].alias("t"), F.greatest(acc["p"], x["e"]).alias("p")))
+    whole = F.aggregate("pii_spans", F.struct(F.lit("").alias("t"), F.lit(0).alias("p")), piece, lambda acc: F.concat(acc["t"], F.substring("text", acc["p"] + 1, F.length("text"))))
+    text = F.when(F.col("pii_spans").isNotNull(), whole).otherwise(F.col("text"))
+    out = joined_.withColumn("text", text)
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return out.select(*documents.columns)

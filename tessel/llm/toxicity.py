@@ -1,15 +1,17 @@
 """Toxicity: cumulative-link (proportional odds) regression on sparse text features.
 
 Grades 0 to 3 come from binary labels: 0 is a clean document; toxic ones are graded by how much of
-their text is telling, that is, by tertiles of the mean log-odds of their words. One weight vector is
+their text is telling, by tertiles of the summed log-odds of their telling words. One weight vector is
 shared by all grades, and ordered thresholds t1 < t2 < t3 part them: P(grade >= k) = sigmoid(x.w - t_k).
 The expected severity is the sum of these three, and a document is rejected from REJECT up.
 
-The fit takes at most MAX_TRAIN labelled rows, those of the least hash of their id among each class; all
+The fit takes at most MAX_TRAIN labelled rows (clean, toxic), those of the least hash of their id; all
 documents are scored in Arrow batches with the broadcast weights (2^BITS at most).
 
 Features are presence of words and of word beginnings of five characters (invented or inflected forms
-of an insult share them), hashed, each weighted by its log-odds among the training rows.
+of an insult share them), hashed, each scaled by its log-odds among the training rows. Only features that
+toxic rows have significantly more often take part, with weights of at least 0: one insult in a long text
+counts as much as in a short one, and nothing else in the text makes up for it.
 
 Defined results: null or empty text has no features and the severity of the intercept alone; null labels
 don't count; without a toxic or a clean training row the severity is 0 and nothing is rejected; rows of
@@ -18,24 +20,23 @@ equal doc_id are scored each on its own; only doc_id and text are inputs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import filter_texts, map_rows, table
 from .features import tokens
 
-MAX_TRAIN, BITS, STEM, GRADES, REJECT = 4000, 18, 5, 3, 0.5
-STEPS, RATE, PENALTY, LEAST_DOCS = 400, 0.5, 1e-4, 3
+MAX_TRAIN, BITS, STEM, GRADES, REJECT = (12_000, 4000), 22, 5, 3, 0.5
+STEPS, RATE, PENALTY, LEAST_DOCS, SURE = 1500, 0.5, 1e-6, 3, 2.7
 MODEL_COLUMNS = "doc_id long, severity double, grade int, rejected boolean"
 
 
 def present(text: str | None, known: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
     """Indices of a text's words and of their first STEM characters, each once."""
-    import zlib
-
     known = {} if known is None else known
     found: set[int] = set()
     for w in set(tokens(text)):
@@ -59,52 +60,53 @@ class CumulativeLink:
 
 
 def grade(odds: np.ndarray, toxic: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """0 for clean rows; toxic ones by tertiles of the sum of positive log-odds over the root of their size."""
-    load = np.array([np.maximum(odds[x], 0).sum() / np.sqrt(max(1, len(x))) for x in rows])
+    """0 for clean rows; toxic ones by tertiles of the sum of the log-odds of their telling features."""
+    load = np.array([odds[x].sum() for x in rows])
     bounds = np.quantile(load[toxic == 1], [1 / GRADES, 2 / GRADES])
     return np.where(toxic == 1, 1 + np.searchsorted(bounds, load, "left"), 0)
 
 
 def train(rows: list[np.ndarray], toxic: np.ndarray) -> CumulativeLink:
-    """Penalised maximum likelihood by gradient steps (Adagrad); features of under LEAST_DOCS rows are left out."""
+    """Penalised maximum likelihood by projected gradient steps (Adagrad)."""
     n = 1 << BITS
     if not len(rows) or toxic.min() == toxic.max():
         return CumulativeLink(np.zeros(n), np.full(GRADES, 35.0))
     df = [np.bincount(np.concatenate([x for x, y in zip(rows, toxic, strict=True) if y == k] or [np.empty(0, np.int64)]), minlength=n) for k in (0, 1)]
     odds = np.log((df[1] + 0.5) / ((toxic == 1).sum() + 1)) - np.log((df[0] + 0.5) / ((toxic == 0).sum() + 1))
-    odds[df[0] + df[1] < LEAST_DOCS] = 0
-    odds[np.abs(odds) < 1] = 0  # common words say nothing, and there are many of them
+    sure = odds / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
+    odds[(df[1] < LEAST_DOCS) | (sure < SURE)] = 0  # what is left are words that toxic rows have; no word makes a text cleaner
     y = grade(odds, toxic, rows)
-    rows = [x[odds[x] != 0] for x in rows]
-    index = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    w, cuts = np.zeros(n), np.arange(1.0, GRADES + 1)
-    seen_w, seen_c = np.full(n, 1e-8), np.full(GRADES, 1e-8)
-    scale = np.abs(odds)
+    telling = np.flatnonzero(odds)
+    place = np.full(n, -1)
+    place[telling] = np.arange(len(telling))
+    rows = [place[x][place[x] >= 0] for x in rows]
+    index, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    scale = odds[telling] / odds[telling].max(initial=1)
+    w, cuts = np.ones(len(telling)), np.arange(1.0, GRADES + 1)
+    seen_w, seen_c, own = np.full(len(w), 1e-8), np.full(GRADES, 1e-8), np.arange(len(y))
     for _ in range(STEPS):
         x = np.bincount(owner, (w * scale)[index], minlength=len(rows))
         p = np.column_stack([np.ones(len(y)), 1 / (1 + np.exp(-np.clip(x[:, None] - cuts, -35, 35))), np.zeros(len(y))])
-        own = np.arange(len(y))
-        like = np.maximum(p[own, y] - p[own, y + 1], 1e-9)
+        like = np.maximum(p[own, y] - p[own, y + 1], 1e-4)
         slope = p * (1 - p)
-        d = (slope[own, y] - slope[own, y + 1]) / like  # of the log likelihood by x
-        g = np.bincount(index, d[owner], minlength=n) * scale / len(y) - PENALTY * w
-        c = np.zeros(GRADES)
-        for k in range(1, GRADES + 1):
-            c[k - 1] = ((y == k - 1) * slope[:, k] / like - (y == k) * slope[:, k] / like).sum() / len(y)
+        d = 1 - p[own, y] - p[own, y + 1]  # of the log likelihood by x
+        g = np.bincount(index, d[owner], minlength=len(w)) * scale / len(y) - PENALTY * w
+        c = np.array([np.clip(((y == k - 1) * 1.0 - (y == k)) * slope[:, k] / like, -5, 5).mean() for k in range(1, GRADES + 1)])
         seen_w += g * g
         seen_c += c * c
-        w += RATE * g / np.sqrt(seen_w) * (g != 0)
+        w = np.maximum(w + RATE * g / np.sqrt(seen_w), 0)
         cuts = np.maximum.accumulate(cuts + RATE * c / np.sqrt(seen_c) + np.arange(GRADES) * 1e-9)
-    return CumulativeLink(w * scale, cuts)
+    weights = np.zeros(n)
+    weights[telling] = w * scale
+    return CumulativeLink(weights, cuts)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> CumulativeLink:
-    """From at most max_train labelled rows of each class."""
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_train: tuple[int, int] = MAX_TRAIN) -> CumulativeLink:
+    """From at most max_train labelled rows, clean and toxic."""
     ids = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = None
     for k in (0, 1):
-        part = ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+        part = ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train[k])
         chosen = part if chosen is None else chosen.unionAll(part)
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
@@ -136,22 +138,17 @@ def severity(documents: DataFrame, model: CumulativeLink, reject: float = REJECT
 
 
 def keep_clean(documents: DataFrame, model: CumulativeLink, reject: float = REJECT) -> DataFrame:
-    """The documents, all their columns, without the rejected ones: the decision is made as each row is read."""
+    """The documents, all their columns, without the rejected ones."""
     at = np.flatnonzero(model.weights)
     held = documents.sparkSession.sparkContext.broadcast((at, model.weights[at], model.cuts))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def keep() -> Callable[[str | None], bool]:
         dense = np.zeros(1 << BITS)
         dense[held.value[0]] = held.value[1]
         own, known = CumulativeLink(dense, held.value[2]), {}
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield part.filter(pa.array([own.above(present(t, known)).sum() < reject for t in part.column("text").to_pylist()], pa.bool_()))
+        return lambda text: float(own.above(present(text, known)).sum()) < reject
 
-    return documents.mapInArrow(run, documents.schema)
+    return filter_texts(documents, keep)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
