@@ -27,13 +27,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
-def similar_groups(keys: DataFrame, band: Callable[[Column], Column], fits: Column, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_groups(keys: DataFrame, band: Callable[[Column], Column], fits: Column, linked: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None) -> DataFrame:
     """set_id, component (the least set_id that links reach), of the sets that have a link.
 
     keys: key, kind, set_id, n, place; a table that is cheap to reread.
     band: of a size; sets link only within a band or with the next.
     fits: a condition on x and y (kind, set_id, n, place) that all linked pairs under a key meet.
     linked: pairs (a, b) -> those that link.
+    narrow: for the second round, of keys that many sets share without linking: sets (set_id, component) ->
+        a table of other keys (key, kind, set_id, n, place, component), under one of which any two of these
+        sets that link still meet, and its own condition.
     """
     banded = keys.withColumn("band", band(F.col("n")).cast("int"))
     hubs = banded.groupBy(*KEYS, "band").agg(F.min_by(F.struct("set_id", "n", "place"), F.struct(F.xxhash64("set_id", "key"), "set_id")).alias("h"))
@@ -46,6 +49,10 @@ def similar_groups(keys: DataFrame, band: Callable[[Column], Column], fits: Colu
     placed = written(own, "placed")
     mixed = placed.groupBy(*KEYS).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*KEYS)
     placed = placed.join(mixed, KEYS, "left_semi")
+    if narrow:
+        placed, fits = narrow(placed.select("set_id", "component").distinct())
+        mixed = placed.groupBy(*KEYS).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*KEYS)
+        placed = written(placed.join(mixed, KEYS, "left_semi"), "placed")
     parts = placed.select(*KEYS, "component").distinct()
     across = parts.alias("p").join(parts.alias("q"), KEYS).where("p.component < q.component").select(*KEYS, F.col("p.component").alias("p"), F.col("q.component").alias("q"))
     left = across.join(placed.withColumnRenamed("component", "p"), [*KEYS, "p"]).select(*KEYS, "q", F.struct("set_id", "n", "place", "kind").alias("x"))

@@ -182,13 +182,13 @@ def _boundary(lists: DataFrame, num: int, den: int) -> int:
     return min(range(1, SMALL + 1), key=total)
 
 
-def _fits(a: str, b: str, num: int, den: int) -> Column:
+def fits_places(a: str, b: str, num: int, den: int) -> Column:
     """Sizes and places of a pair leave enough elements for a link."""
     na, nb, pa, pb = (F.col(f"{x}.{c}") for c in ("n", "place") for x in (a, b))
     return need(na, nb, num, den) <= F.least(na - pa, nb - pb)
 
 
-def _semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= IDS else ids, column, "left_semi")
 
 
@@ -201,7 +201,7 @@ def fetched(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             s = shingler(text)
             yield set_id(s), s
 
-    taken = _semi(documents.select("doc_id", "text"), ids, "doc_id")
+    taken = semi(documents.select("doc_id", "text"), ids, "doc_id")
     return map_rows(taken, ["doc_id", "text"], "set_id long, elements array<long>", rows).dropDuplicates(["set_id"])
 
 
@@ -225,7 +225,7 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
     often = subsets.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     keys = written(lists.drop("length").withColumn("kind", F.lit(False)).unionAll(subsets.join(often, "key", "left_semi").withColumn("kind", F.lit(True))), "keys")
     # sets that are both small meet under their subsets alone
-    fits = (F.col("x.kind") | (F.greatest("x.n", "y.n") >= below)) & _fits("x", "y", num, den)
+    fits = (F.col("x.kind") | (F.greatest("x.n", "y.n") >= below)) & fits_places("x", "y", num, den)
 
     def linked(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), F.col("rep").alias(f"r{x}"))

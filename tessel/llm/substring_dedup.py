@@ -7,8 +7,10 @@ links are closed to components, and of each component the first paragraph in ord
 place stays, all others are removals. Long paragraphs may hold a repeated passage between other text:
 their sentences of at least LEAST words count too, by equality alone.
 
-Comparison (hubs first, then pairs across components only) is shared with the n-gram join; see there
-for why no group gives the square of its size.
+Comparison (hubs first, then pairs across components only) is shared with the n-gram join. Many copies of
+a paragraph that were edited apart collide in bands without linking, and would give all their pairs in
+the second round; there the classes meet again under their rarest shingles, of which two that link
+share one, and such copies share none.
 
 Defined results: null text has no paragraphs; a document of none is kept whole with empty lists; equal
 rows repeat each other, the first by row stays (rows of one doc_id in no further order); lines are parted
@@ -22,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, table, written
 from .groups import similar_groups
-from .ngram_join import LOWER, _semi, decided
+from .ngram_join import LOWER, decided, fits_places, semi
 
 SHINGLE, LEAST, LONG = 5, 10, 40
 NUM, DEN, RECALL, LOOSE, MOST_LOOSE = 80, 100, 0.999, 0.25, 0.15
@@ -147,13 +149,26 @@ def repeated(documents: DataFrame) -> DataFrame:
                 if not inner:
                     yield unit_id(words), np.unique(shingles(codes(words))).view(np.int64)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ids")
+    def sets_of(wanted: DataFrame) -> DataFrame:
         ids = classes.join(wanted, "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        read = map_rows(_semi(documents, written(ids, "ids"), "doc_id"), ["doc_id", "text"], "set_id long, elements array<long>", fetch)
-        return decided(pairs, written(_semi(read, wanted, "set_id").dropDuplicates(["set_id"]), "sets"), NUM, DEN)
+        read = map_rows(semi(documents, written(ids, "ids"), "doc_id"), ["doc_id", "text"], "set_id long, elements array<long>", fetch)
+        return written(semi(read, wanted, "set_id").dropDuplicates(["set_id"]), "sets")
 
-    groups = similar_groups(keys, lambda n: F.floor(F.log(n) / float(np.log(DEN / NUM))), fits, linked)
+    def linked(pairs: DataFrame) -> DataFrame:
+        return decided(pairs, sets_of(written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ids")), NUM, DEN)
+
+    def narrow(left: DataFrame) -> tuple[DataFrame, Column]:
+        """The first of each set's shingles, rare ones first: paragraphs that were edited apart fill them with their own."""
+        sets = sets_of(written(left.select("set_id"), "ids"))
+        each = sets.select("set_id", F.size("elements").alias("n"), F.explode("elements").alias("key"))
+        df = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        shared = each.join(df, "key").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("xs"))
+        own = F.col("n") - F.size("xs")  # these stand before all shared ones
+        place = shared.select("set_id", "n", own.alias("own"), F.posexplode("xs").alias("at", "x")).withColumn("place", (F.col("own") + F.col("at")).cast("int"))
+        kept = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN))
+        return kept.select(F.col("x.key").alias("key"), F.lit(False).alias("kind"), "set_id", "n", "place").join(left, "set_id"), fits_places("x", "y", NUM, DEN)
+
+    groups = similar_groups(keys, lambda n: F.floor(F.log(n) / float(np.log(DEN / NUM))), fits, linked, narrow)
     # a component that has one class repeats if the class does; sentences repeat by equality alone
     placed = units_.drop("keys", "n").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     placed = placed.groupBy("component", "inner").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "start")).alias("f")).where("times > 1").join(placed, ["component", "inner"])
