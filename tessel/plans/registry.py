@@ -1,5 +1,6 @@
 """All queries on the library's own operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import q_search  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "r9_select_top"
