@@ -1,6 +1,6 @@
 """All queries on the library's own operators, and their SQL."""
 
-from . import q_search  # noqa: F401
+from . import q_search, q_text  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "r9_select_top"
