@@ -12,6 +12,7 @@ The result is exact for every pair that shares a key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -27,17 +28,31 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
-def similar_groups(keys: DataFrame, band: Callable[[Column], Column], fits: Column, linked: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None) -> DataFrame:
+def need(a, b, num: int, den: int):
+    """Elements that sets of sizes a and b must share for a similarity of num / den; for numbers and columns."""
+    if isinstance(a, Column) or isinstance(b, Column):
+        return F.floor((num * (a + b) + num + den - 1) / (num + den)).cast("int")
+    return -(-num * (a + b) // (num + den))
+
+
+def fits_places(num: int, den: int) -> Column:
+    """Sizes and places of x and y leave enough elements for a link."""
+    x, y = (F.col(f"{s}.n") - F.col(f"{s}.place") for s in "xy")
+    return need(F.col("x.n"), F.col("y.n"), num, den) <= F.least(x, y)
+
+
+def similar_groups(keys: DataFrame, num: int, den: int, linked: Callable[[DataFrame], DataFrame], meet: Column | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """set_id, component (the least set_id that links reach), of the sets that have a link.
 
-    keys: key, kind, set_id, n, place; a table that is cheap to reread.
-    band: of a size; sets link only within a band or with the next.
-    fits: a condition on x and y (kind, set_id, n, place) that all linked pairs under a key meet.
-    linked: pairs (a, b) -> those that link.
+    keys: key, kind, set_id, n, place (elements of the set that stand before the key); a table that is cheap to reread.
+    linked: pairs (a, b) -> those that link, by a similarity of num / den.
+    meet: a condition on x and y (kind, set_id, n, place) of pairs that are to be met under a key.
     narrow: for the second round, of keys that many sets share without linking: sets (set_id, component) ->
         a table of other keys (key, kind, set_id, n, place, component), under one of which any two of these
-        sets that link still meet, and its own condition.
+        sets that link still meet.
     """
+    fits = fits_places(num, den) if meet is None else meet & fits_places(num, den)
+    band = lambda n: F.floor(F.log(n) / math.log(den / num))
     banded = keys.withColumn("band", band(F.col("n")).cast("int"))
     hubs = banded.groupBy(*KEYS, "band").agg(F.min_by(F.struct("set_id", "n", "place"), F.struct(F.xxhash64("set_id", "key"), "set_id")).alias("h"))
     hubs = hubs.select(*KEYS, F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "h.*")
@@ -50,11 +65,14 @@ def similar_groups(keys: DataFrame, band: Callable[[Column], Column], fits: Colu
     mixed = placed.groupBy(*KEYS).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*KEYS)
     placed = placed.join(mixed, KEYS, "left_semi")
     if narrow:
-        placed, fits = narrow(placed.select("set_id", "component").distinct())
+        placed = narrow(placed.select("set_id", "component").distinct())
         mixed = placed.groupBy(*KEYS).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*KEYS)
         placed = written(placed.join(mixed, KEYS, "left_semi"), "placed")
-    parts = placed.select(*KEYS, "component").distinct()
-    across = parts.alias("p").join(parts.alias("q"), KEYS).where("p.component < q.component").select(*KEYS, F.col("p.component").alias("p"), F.col("q.component").alias("q"))
+    # a pair of components can hold a pair that fits only if their least sizes and most room would
+    parts = placed.groupBy(*KEYS, "component").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("place")).alias("room"))
+    may = need(F.col("p.n"), F.col("q.n"), num, den) <= F.least("p.room", "q.room")
+    across = parts.alias("p").join(parts.alias("q"), KEYS).where((F.col("p.component") < F.col("q.component")) & may)
+    across = across.select(*KEYS, F.col("p.component").alias("p"), F.col("q.component").alias("q"))
     left = across.join(placed.withColumnRenamed("component", "p"), [*KEYS, "p"]).select(*KEYS, "q", F.struct("set_id", "n", "place", "kind").alias("x"))
     right = placed.select(*KEYS, F.col("component").alias("q"), F.struct("set_id", "n", "place", "kind").alias("y"))
     found = written(_ordered(left.join(right, [*KEYS, "q"]).where(fits)).join(tried, ["a", "b"], "left_anti"), "across")

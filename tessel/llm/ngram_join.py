@@ -39,11 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, table, written
-from .groups import similar_groups
+from .groups import need, similar_groups
 
 SHINGLE, NUM, DEN = 3, 90, 100
 HEAVY, OFTEN, LOT = 1 << 18, 8, 2_000_000
@@ -87,13 +87,6 @@ def set_id(elements: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
 
 
-def need(a, b, num: int = NUM, den: int = DEN):
-    """Elements that sets of sizes a and b must share to link; for numbers and columns."""
-    if isinstance(a, Column) or isinstance(b, Column):
-        return F.floor((num * (a + b) + num + den - 1) / (num + den)).cast("int")
-    return -(-num * (a + b) // (num + den))
-
-
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -182,12 +175,6 @@ def _boundary(lists: DataFrame, num: int, den: int) -> int:
     return min(range(1, SMALL + 1), key=total)
 
 
-def fits_places(a: str, b: str, num: int, den: int) -> Column:
-    """Sizes and places of a pair leave enough elements for a link."""
-    na, nb, pa, pb = (F.col(f"{x}.{c}") for c in ("n", "place") for x in (a, b))
-    return need(na, nb, num, den) <= F.least(na - pa, nb - pb)
-
-
 def semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= IDS else ids, column, "left_semi")
 
@@ -225,7 +212,7 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
     often = subsets.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     keys = written(lists.drop("length").withColumn("kind", F.lit(False)).unionAll(subsets.join(often, "key", "left_semi").withColumn("kind", F.lit(True))), "keys")
     # sets that are both small meet under their subsets alone
-    fits = (F.col("x.kind") | (F.greatest("x.n", "y.n") >= below)) & fits_places("x", "y", num, den)
+    meet = F.col("x.kind") | (F.greatest("x.n", "y.n") >= below)
 
     def linked(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), F.col("rep").alias(f"r{x}"))
@@ -236,7 +223,7 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
         ids = written(met.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "ids")
         return decided(met.select("a", "b"), written(fetched(documents, ids, shingle), "sets"), num, den)
 
-    groups = similar_groups(keys, lambda n: F.floor(F.log(n) / math.log(den / num)), fits, linked)
+    groups = similar_groups(keys, num, den, linked, meet)
     of = classes.select("set_id", "n", "rep").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = of.groupBy("component").agg(F.min("rep").alias("least"))
     of = of.join(least, "component").select("set_id", "n", "rep", F.col("least").alias("component"))

@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, table, written
 from .groups import similar_groups
-from .ngram_join import LOWER, decided, fits_places, semi
+from .ngram_join import LOWER, decided, semi
 
 SHINGLE, LEAST, LONG = 5, 10, 40
 NUM, DEN, RECALL, LOOSE, MOST_LOOSE = 80, 100, 0.999, 0.25, 0.15
@@ -119,12 +119,13 @@ def paragraphs(documents: DataFrame) -> DataFrame:
             found = units(text)
             whole = [w for _, _, inner, w in found if not inner]
             parts = []
-            if whole:
-                code = codes([x for w in whole for x in w])
+            if whole:  # the shingles of all paragraphs at once; those across two of them are left out
+                every = shingles(codes([x for w in whole for x in w]))
                 ends = np.cumsum([len(w) for w in whole])
-                parts = [shingles(code[e - len(w) : e]) for w, e in zip(whole, ends, strict=True)]
+                parts = [every[e - len(w) : e - SHINGLE + 1] for w, e in zip(whole, ends, strict=True)]
+                alone = len(np.unique(every)) == len(every)
             keys = iter(band_keys(parts) if parts else [])
-            sizes = iter([len(np.unique(p)) for p in parts])
+            sizes = iter([len(p) if alone else len(np.unique(p)) for p in parts])
             yield doc, [{"start": a, "end": b, "inner": inner, "set_id": unit_id(w), "n": 0 if inner else next(sizes), "keys": None if inner else next(keys)} for a, b, inner, w in found]
 
     return map_rows(documents, ["doc_id", "text"], "doc_id long, units array<struct<start:int,end:int,inner:boolean,set_id:long,n:int,keys:array<long>>>", rows)
@@ -140,7 +141,6 @@ def repeated(documents: DataFrame) -> DataFrame:
     entries = classes.select("set_id", "n", F.explode("keys").alias("key"))
     often = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     keys = written(entries.join(often, "key", "left_semi").select("key", F.lit(False).alias("kind"), "set_id", "n", F.lit(0).alias("place")), "keys")
-    fits = (100 * F.least("x.n", "y.n")) * DEN >= (NUM * 100) * F.greatest("x.n", "y.n")
 
     def fetch(it: Iterator[tuple]) -> Iterator[tuple]:
         codes = Words()
@@ -157,7 +157,7 @@ def repeated(documents: DataFrame) -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         return decided(pairs, sets_of(written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ids")), NUM, DEN)
 
-    def narrow(left: DataFrame) -> tuple[DataFrame, Column]:
+    def narrow(left: DataFrame) -> DataFrame:
         """The first of each set's shingles, rare ones first: paragraphs that were edited apart fill them with their own."""
         sets = sets_of(written(left.select("set_id"), "ids"))
         each = sets.select("set_id", F.size("elements").alias("n"), F.explode("elements").alias("key"))
@@ -166,9 +166,9 @@ def repeated(documents: DataFrame) -> DataFrame:
         own = F.col("n") - F.size("xs")  # these stand before all shared ones
         place = shared.select("set_id", "n", own.alias("own"), F.posexplode("xs").alias("at", "x")).withColumn("place", (F.col("own") + F.col("at")).cast("int"))
         kept = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN))
-        return kept.select(F.col("x.key").alias("key"), F.lit(False).alias("kind"), "set_id", "n", "place").join(left, "set_id"), fits_places("x", "y", NUM, DEN)
+        return kept.select(F.col("x.key").alias("key"), F.lit(False).alias("kind"), "set_id", "n", "place").join(left, "set_id")
 
-    groups = similar_groups(keys, lambda n: F.floor(F.log(n) / float(np.log(DEN / NUM))), fits, linked, narrow)
+    groups = similar_groups(keys, NUM, DEN, linked, narrow=narrow)
     # a component that has one class repeats if the class does; sentences repeat by equality alone
     placed = units_.drop("keys", "n").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     placed = placed.groupBy("component", "inner").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "start")).alias("f")).where("times > 1").join(placed, ["component", "inner"])
