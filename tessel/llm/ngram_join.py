@@ -20,8 +20,9 @@ size. First each member of a list is compared with one hub per list and size ban
 that a near copy meets as many hubs as it has keys. Components of the links so found are formed. Then,
 for lists that still hold more than one component, the pairs across components are compared, all of
 them. A pair inside a component can't change the components, so none of it matters to the result.
-Comparing: a pair is dropped if the shared part of its first elements proves too small an overlap, and
-what is left is decided by the exact intersection of the sets.
+Comparing: a pair is dropped if the shared part of its first elements, or the counts of its elements in
+64 bins of the hash, prove too small an overlap; what is left is decided by the exact intersection of
+the sets. The bins see what two near copies each lack, which is common and so never among the first.
 
 Broadcasts are of bounded size: the HEAVY elements, and the ids of classes to compare where these are at
 most IDS (beyond, they are joined by a shuffle).
@@ -142,7 +143,7 @@ def first_elements(s: np.ndarray, size: int, heavy: np.ndarray, counts: np.ndarr
 
 
 def sketched(documents: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """doc_id, set_id, n, first (elements in order), whole (the set, if at most SMALL)."""
+    """doc_id, set_id, n, first (elements in order), bins (elements by their first six bits), whole (the set, if at most SMALL)."""
     held = documents.sparkSession.sparkContext.broadcast(heavy_elements(documents, shingle))
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
@@ -150,9 +151,10 @@ def sketched(documents: DataFrame, shingle: int, num: int, den: int) -> DataFram
         for doc, text in it:
             s = shingler(text)
             n = len(s)
-            yield doc, set_id(s), n, first_elements(s, prefix_size(n, num, den) if n else 0, heavy, counts), s if n <= SMALL else None
+            bins = np.bincount(s.view(np.uint64) >> np.uint64(58), minlength=64)
+            yield doc, set_id(s), n, first_elements(s, prefix_size(n, num, den) if n else 0, heavy, counts), bins if n < 1 << 15 else None, s if n <= SMALL else None
 
-    return map_rows(documents, ["doc_id", "text"], "doc_id long, set_id long, n int, first array<long>, whole array<long>", rows)
+    return map_rows(documents, ["doc_id", "text"], "doc_id long, set_id long, n int, first array<long>, bins array<smallint>, whole array<long>", rows)
 
 
 def _subset_keys(classes: DataFrame, below: int, num: int, den: int) -> DataFrame:
@@ -203,7 +205,7 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
     """doc_id, n_shingles, component_id (the least doc_id that links reach), class_id (the least of equal sets)."""
     documents = documents.select("doc_id", "text")
     docs = written(sketched(documents, shingle, num, den), "sketched")
-    classes = written(docs.where("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("whole").alias("whole")), "classes")
+    classes = written(docs.where("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("bins").alias("bins"), F.first("whole").alias("whole")), "classes")
     entries = classes.select("set_id", "n", F.posexplode("first").alias("place", "key"))
     lengths = entries.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     lists = written(entries.join(lengths, "key").select("key", "set_id", "n", "place", "length"), "lists")
@@ -215,10 +217,12 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
     meet = F.col("x.kind") | (F.greatest("x.n", "y.n") >= below)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), F.col("rep").alias(f"r{x}"))
+        side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), F.col("bins").alias(f"b{x}"), F.col("rep").alias(f"r{x}"))
         met = pairs.join(side("a"), "a").join(side("b"), "b")
         room = F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
-        enough = F.size(F.array_intersect("fa", "fb")) + room >= need(F.col("na"), F.col("nb"), num, den)
+        least = need(F.col("na"), F.col("nb"), num, den)
+        most = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+        enough = (F.coalesce(most, least) >= least) & (F.size(F.array_intersect("fa", "fb")) + room >= least)
         met = written(met.where(enough).select("a", "b", "ra", "rb"), "pairs")
         ids = written(met.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "ids")
         return decided(met.select("a", "b"), written(fetched(documents, ids, shingle), "sets"), num, den)
