@@ -108,7 +108,7 @@ def g2(t):
     return t("conversations").select("conv_id", "turn", answers.prompt_key(F.lit("m"), F.col("text")).alias("key"))
 
 
-STORE = "store AS (SELECT md5(text) AS key, CASE WHEN turn % 5 = 0 THEN ' ' ELSE 'a' || turn END AS answer, turn AS at FROM conversations WHERE role = 'user'), want AS (SELECT DISTINCT md5(text) AS key FROM conversations)"
+STORE = "store AS (SELECT md5(text) AS key, CASE WHEN turn % 5 = 0 THEN ' ' ELSE 'a' || turn END AS answer, turn AS seq FROM conversations WHERE role = 'user'), want AS (SELECT DISTINCT md5(text) AS key FROM conversations)"
 
 
 def store(t):
@@ -121,7 +121,7 @@ def g3(t):
     return answers.pending(*store(t))
 
 
-@query("g3_replayed", f"WITH {STORE}, ok AS (SELECT key, answer, at FROM store WHERE trim(answer) <> ''), last_ AS (SELECT key, arg_max(answer, at) AS answer FROM ok GROUP BY 1) SELECT want.key, l.answer, l.answer IS NOT NULL AS cached FROM want LEFT JOIN last_ l USING (key)")
+@query("g3_replayed", f"WITH {STORE}, ok AS (SELECT key, answer, seq FROM store WHERE trim(answer) <> ''), last_ AS (SELECT key, arg_max(answer, seq) AS answer FROM ok GROUP BY 1) SELECT want.key, l.answer, l.answer IS NOT NULL AS cached FROM want LEFT JOIN last_ l USING (key)")
 def g3b(t):
     return answers.replayed(*store(t))
 
