@@ -35,6 +35,11 @@ def need(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
+def binned(a: str, b: str) -> Column:
+    """The most elements that two sets can share by the counts of their elements in bins."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+
+
 def fits_places(num: int, den: int) -> Column:
     """Sizes and places of x and y leave enough elements for a link."""
     x, y = (F.col(f"{s}.n") - F.col(f"{s}.place") for s in "xy")
@@ -48,8 +53,8 @@ def similar_groups(keys: DataFrame, num: int, den: int, linked: Callable[[DataFr
     linked: pairs (a, b) -> those that link, by a similarity of num / den.
     meet: a condition on x and y (kind, set_id, n, place) of pairs that are to be met under a key.
     narrow: for the second round, of keys that many sets share without linking: sets (set_id, component) ->
-        a table of other keys (key, kind, set_id, n, place, component), under one of which any two of these
-        sets that link still meet.
+        a table of other keys (key, kind, set_id, n, place, component, bins), under one of which any two of
+        these sets that link still meet. bins: the set's elements by the first bits of their hash.
     """
     fits = fits_places(num, den) if meet is None else meet & fits_places(num, den)
     band = lambda n: F.floor(F.log(n) / math.log(den / num))
@@ -73,8 +78,11 @@ def similar_groups(keys: DataFrame, num: int, den: int, linked: Callable[[DataFr
     may = need(F.col("p.n"), F.col("q.n"), num, den) <= F.least("p.room", "q.room")
     across = parts.alias("p").join(parts.alias("q"), KEYS).where((F.col("p.component") < F.col("q.component")) & may)
     across = across.select(*KEYS, F.col("p.component").alias("p"), F.col("q.component").alias("q"))
-    left = across.join(placed.withColumnRenamed("component", "p"), [*KEYS, "p"]).select(*KEYS, "q", F.struct("set_id", "n", "place", "kind").alias("x"))
-    right = placed.select(*KEYS, F.col("component").alias("q"), F.struct("set_id", "n", "place", "kind").alias("y"))
+    parts_of = ["set_id", "n", "place", "kind", *(["bins"] if narrow else [])]
+    if narrow:  # before a pair becomes a row
+        fits = fits & (binned("x.bins", "y.bins") >= need(F.col("x.n"), F.col("y.n"), num, den))
+    left = across.join(placed.withColumnRenamed("component", "p"), [*KEYS, "p"]).select(*KEYS, "q", F.struct(*parts_of).alias("x"))
+    right = placed.select(*KEYS, F.col("component").alias("q"), F.struct(*parts_of).alias("y"))
     found = written(_ordered(left.join(right, [*KEYS, "q"]).where(fits)).join(tried, ["a", "b"], "left_anti"), "across")
     if found.limit(1).count():
         late = written(linked(found), "linked")

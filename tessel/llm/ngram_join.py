@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, table, written
-from .groups import need, similar_groups
+from .groups import binned, need, similar_groups
 
 SHINGLE, NUM, DEN = 3, 90, 100
 HEAVY, OFTEN, LOT = 1 << 18, 8, 2_000_000
@@ -221,8 +221,7 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
         met = pairs.join(side("a"), "a").join(side("b"), "b")
         room = F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
         least = need(F.col("na"), F.col("nb"), num, den)
-        most = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-        enough = (F.coalesce(most, least) >= least) & (F.size(F.array_intersect("fa", "fb")) + room >= least)
+        enough = (F.coalesce(binned("ba", "bb"), least) >= least) & (F.size(F.array_intersect("fa", "fb")) + room >= least)
         met = written(met.where(enough).select("a", "b", "ra", "rb"), "pairs")
         ids = written(met.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "ids")
         return decided(met.select("a", "b"), written(fetched(documents, ids, shingle), "sets"), num, den)

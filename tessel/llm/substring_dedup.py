@@ -147,11 +147,12 @@ def repeated(documents: DataFrame) -> DataFrame:
         for _, text in it:
             for _, _, inner, words in units(text):
                 if not inner:
-                    yield unit_id(words), np.unique(shingles(codes(words))).view(np.int64)
+                    found = np.unique(shingles(codes(words)))
+                    yield unit_id(words), found.view(np.int64), np.bincount(found >> np.uint64(58), minlength=64)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = classes.join(wanted, "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        read = map_rows(semi(documents, written(ids, "ids"), "doc_id"), ["doc_id", "text"], "set_id long, elements array<long>", fetch)
+        read = map_rows(semi(documents, written(ids, "ids"), "doc_id"), ["doc_id", "text"], "set_id long, elements array<long>, bins array<int>", fetch)
         return written(semi(read, wanted, "set_id").dropDuplicates(["set_id"]), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def repeated(documents: DataFrame) -> DataFrame:
         own = F.col("n") - F.size("xs")  # these stand before all shared ones
         place = shared.select("set_id", "n", own.alias("own"), F.posexplode("xs").alias("at", "x")).withColumn("place", (F.col("own") + F.col("at")).cast("int"))
         kept = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN))
-        return kept.select(F.col("x.key").alias("key"), F.lit(False).alias("kind"), "set_id", "n", "place").join(left, "set_id")
+        return kept.select(F.col("x.key").alias("key"), F.lit(False).alias("kind"), "set_id", "n", "place").join(sets.select("set_id", "bins"), "set_id").join(left, "set_id")
 
     groups = similar_groups(keys, NUM, DEN, linked, narrow=narrow)
     # a component that has one class repeats if the class does; sentences repeat by equality alone
