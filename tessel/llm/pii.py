@@ -49,8 +49,9 @@ CANDIDATE = {
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]{0,2}[0-9]{4}){2}[ ./_-]{0,2}[0-9]{1,7}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])",
 }
-#: A text that lacks this has no match of the kind.
-NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\]?[. ]", "card": r"[0-9]{4}|[0-9][\x20-][0-9]", "phone": r"[0-9]{2}\)?[\x20().-]"}
+#: A text that lacks this has no match of BASE that is valid, and none of CANDIDATE: each is implied by the pattern of its own table.
+BASE_NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{4}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]"}
+CANDIDATE_NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9](?:\.|\[\.\]| \. )[0-9]", "card": r"[0-9]{4}", "phone": r"[0-9]{2}\)?[\x20.-]"}
 CUES = [("phone", r"(?i)\b(?:tel|phone|call|mobile|fax|whatsapp)\b"), ("email", r"(?i)\b(?:e-?mail|contact|write)\b"), ("card", r"(?i)\b(?:card|visa|credit|payment|account)\b"), ("ip", r"(?i)\b(?:ip|address|server|host)\b"), ("other", r"(?i)\b(?:version|v|isbn|issn|order|id|no|ref|page|pp|date)\b")]
 FEATURES = ["digits", "groups", "varied", "luhn", "octets", "cue", "before", "after", "tld"]
 MAX_PATTERNS, TREES, RATE, PRECISION, LEAST = 20_000, 20, 0.4, 0.98, 50
@@ -131,8 +132,8 @@ def candidates(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     made = []
     for kind in KINDS:
-        for name, pattern in (("r", BASE[kind]), ("g", CANDIDATE[kind])):
-            m, p = _pieces(text, pattern, NEEDS[kind])
+        for name, pattern, needs in (("r", BASE[kind], BASE_NEEDS[kind]), ("g", CANDIDATE[kind], CANDIDATE_NEEDS[kind])):
+            m, p = _pieces(text, pattern, needs)
             made += [m.alias(f"{name}m_{kind}"), p.alias(f"{name}p_{kind}")]
     seen = written(documents.select("doc_id", F.xxhash64("text").alias("text_key"), *made), "pii-pieces")
     for kind in KINDS:

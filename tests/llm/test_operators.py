@@ -225,6 +225,28 @@ def test_pii(spark, docs, none):
     assert clean.where("doc_id = 13").first()["text"] == "mail <EMAIL> or <PHONE>, <IP> and <CARD>"
 
 
+COMPACT = ["Call +14155550123, please", "my number: +14155550123", "+14155550123\nnext line", "+1 4 1 5 5 5 5 0 1 2 3", "(+14155550123)", "+1", "+1415", "a+14155550123b", "no number"]
+
+
+def test_pii_without_separators(spark):
+    rows = list(enumerate(COMPACT))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_phone"], r["base_sha256"], r["spans"]) for r in pii.digests(pii.find_pii(d)).collect()}
+    for i, t in rows:
+        spans = brute_pii(t)
+        assert got[i] == (sum(x.startswith("phone") for x in spans), hashlib.sha256(",".join(spans).encode()).hexdigest(), ",".join(spans))
+    assert [got[i][0] for i, _ in rows] == [1, 1, 1, 1, 1, 0, 0, 1, 0]
+    assert {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}[0] == "Call <PHONE>, please"
+
+
+def test_pii_gates_are_implied(spark):
+    """What a pattern finds in a text of its own is found whatever the gate."""
+    forms = {"email": "a (at) b (dot) de", "ip": "10[.]0[.]0[.]1", "card": "4111111111111111", "phone": "415-555-0123"}
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(forms.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.candidates(d).collect()}
+    assert all([(x["s"], x["e"]) for x in got[k][f"cand_{kind}"]] == [(0, len(t))] for k, (kind, t) in enumerate(forms.items()))
+
+
 def test_trees_and_threshold():
     counts = {tuple(int(k == f) for f in range(len(pii.FEATURES))): (100, 100 if k == 2 else 0) for k in range(4)}
     trees = pii.boost(counts)
