@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 
@@ -68,6 +69,38 @@ def test_ngram_join(docs, none):
     assert ngram_join.join_groups(none).count() == 0
 
 
+def test_pipeline_keeps_one_of_each_group_at_five_words(spark):
+    """Chains of edited texts of all sizes, most with pairs of 0.8 or more on five words and under 0.9 on three."""
+    rng, texts = random.Random(11), []
+    for n in [*range(3, 40, 4), 50, 50, 50, 60, 90, 150]:
+        words = [rng.choice(WORDS) for _ in range(n)]
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words = [*words]
+            words[rng.randrange(n)] = f"new{len(texts)}"
+    texts += [BASE, BASE, "", " ".join(BASE.split()[:50]), " ".join(BASE.split()[:49])]
+
+    def kept(k, num, den):
+        sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)} - {()} for w in map(str.split, texts)]
+        owner = list(range(len(sets)))
+
+        def top(x):
+            while owner[x] != x:
+                x = owner[x]
+            return x
+
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                owner[max(top(a), top(b))] = min(top(a), top(b))
+        return [i for i in range(len(sets)) if top(i) == i]
+
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.one_of_each_group(spark, d, DATA)
+    assert got.columns == d.columns
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == kept(5, 80, 100) != kept(3, 90, 100)
+
+
 def test_small_sets_meet_under_subsets():
     for n, m in itertools.product(range(1, 28), repeat=2):
         if 90 * max(n, m) <= 100 * min(n, m):
