@@ -34,12 +34,17 @@ def r11(t):
     return expand.expanded(queries_(t), expand.synonym_terms(queries_(t), synonyms(t)))
 
 
-def bridge(t):
-    """Frequent words of documents bridge to their own first letters."""
-    words = t("documents").where("doc_id % 7 = 0").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).where("length(word) = 5").distinct()
+def bridge(documents):
+    """Words of five letters of the documents bridge to their own first letters."""
+    words = documents.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).where("length(word) = 5").distinct()
     return words.select("word", F.array(F.substring("word", 1, 3), F.substring("word", 2, 3)).alias("neighbours"))
 
 
+def bridge_of_sql(t):
+    """The bridge that BRIDGE spells out: the SQL of r12 and r16 takes the words of every seventh document alone."""
+    return bridge(t("documents").where("doc_id % 7 = 0"))
+
+
 BRIDGE = "bridge AS (SELECT DISTINCT word, [left(word, 3), word[2:4]] AS ns FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE doc_id % 7 = 0) WHERE length(word) = 5)"
 
 
@@ -47,7 +52,7 @@ BRIDGE = "bridge AS (SELECT DISTINCT word, [left(word, 3), word[2:4]] AS ns FROM
   f AS (SELECT query_id, text, i, unnest(ns) AS x, generate_subscripts(ns, 1) AS j FROM m), d AS (SELECT query_id, text, x, min(i * 10 + j) AS p FROM f GROUP BY 1, 2, 3), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS r FROM d)
 SELECT query_id, coalesce(string_agg(x, ',' ORDER BY p) FILTER (r <= 4 AND NOT list_contains(regexp_split_to_array(lower(text), '\\s+'), x)), '') AS terms FROM c GROUP BY 1""")
 def r12(t):
-    return expand.bridge_terms(queries_(t), bridge(t)).select("query_id", F.array_join("terms", ",").alias("terms"))
+    return expand.bridge_terms(queries_(t), bridge_of_sql(t)).select("query_id", F.array_join("terms", ",").alias("terms"))
 
 
 @query("r13_key_collisions", f"WITH k AS (SELECT DISTINCT tok AS k, tok AS s FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM benchmark)), a AS (SELECT k, {stem_case('s')} AS s FROM k), b AS (SELECT k, {stem_case('s')} AS s FROM a), c AS (SELECT k, {stem_case('s')} AS s FROM b) SELECT s AS stem, count(*) AS n FROM c GROUP BY 1 HAVING count(*) > 1")
@@ -59,7 +64,7 @@ def r13(t):
 @query("r14_gated_expansion")
 def r14(t):
     index = search.Index(line_chunks(t))
-    more = search.top_k(expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t))), index, 4)
+    more = search.top_k(expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents")))), index, 4)
     return search.gate_expansion(search.top_k(queries_(t), index, 4), more, FLOOR).select("query_id", "collection", "chunk_ord", "score", "arm")
 
 
@@ -74,12 +79,12 @@ def r15(t):
 SELECT l.query_id, coalesce(n_absent, 0) AS n_absent, coalesce(n_unbridged, 0) AS n_unbridged FROM low l LEFT JOIN x USING (query_id)""")
 def r16(t):
     vocab = t("documents").where("doc_id % 2 = 0").select(F.explode(tokens(F.col("text"))).alias("term"))
-    return expand.unreached(queries_(t), vocab, bridge(t))
+    return expand.unreached(queries_(t), vocab, bridge_of_sql(t))
 
 
 @query("r19_effective_query")
 def r19(t):
-    wide = expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t)))
+    wide = expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents"))))
     return wide.select("query_id", "text", (F.length("text") > 0).alias("scored"))
 
 
