@@ -101,32 +101,42 @@ def corrected(clauses: DataFrame, corrections: DataFrame, strict: bool = True) -
     return met.select("n", F.when(once, F.replace("text", "find", "repl")).otherwise(F.col("text")).alias("text"), F.when(once, F.array_append("flags", F.lit("CORRECTED"))).otherwise(F.col("flags")).alias("flags"), "occurrences")
 
 
-def segment_words(words: DataFrame, allowed: set[str], least: int = 6) -> DataFrame:
+def segment_words(words: DataFrame, allowed: DataFrame | set[str], least: int = 6) -> DataFrame:
     """token, fixed: distinct tokens of at least `least` letters that split fully into allowed words; others aren't listed.
 
-    Words are looked up once each, whatever their number of occurrences; case comes from the token.
+    allowed: a table of word, or a set of them. Words are looked up once each, whatever their number of
+    occurrences; case comes from the token. Each token meets its own parts alone, so the list may be of any size.
     """
-    lower = {w.lower() for w in allowed}
-    longest = max(map(len, lower), default=0)
-
-    def split(token: str) -> str | None:
-        low = token.lower()
-        if low in lower:
+    if isinstance(allowed, set):
+        allowed = words.sparkSession.createDataFrame([(w,) for w in sorted(allowed)], "word string")
+    known = allowed.select(F.lower("word").alias("part")).where("part <> ''").distinct()
+    lengths = known.agg(F.collect_set(F.length("part")).alias("lengths"))
+    tokens = words.select("token").where(F.length("token") >= least).distinct().select("token", F.lower("token").alias("low"))
+    tokens = tokens.join(known, F.col("low") == F.col("part"), "left_anti").join(F.broadcast(lengths))
+    sized = tokens.select("token", "low", F.explode(F.filter("lengths", lambda n: n < F.length("low"))).alias("n"))
+    spans = sized.select("token", "low", "n", F.explode(F.sequence(F.lit(0), F.length("low") - F.col("n"))).alias("start"))
+    met = spans.select("token", F.col("start"), (F.col("start") + F.col("n")).alias("end"), F.substring("low", F.col("start") + 1, F.col("n")).alias("part")).join(known, "part", "left_semi")
+    own = met.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("end", "start"))).alias("x")).select("token", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
+
+    def split(token: str, starts: list[int], ends: list[int]) -> str | None:
+        best = {0: (0, 0)}  # end: fewest words up to there, start of the last
+        for start, end in zip(starts, ends, strict=True):
+            if start in best and (end not in best or best[start][0] + 1 < best[end][0]):
+                best[end] = best[start][0] + 1, start
+        if len(token) not in best:
             return None
-        best: list[list[int] | None] = [[]] + [None] * len(low)
-        for end in range(1, len(low) + 1):
-            for start in range(max(0, end - longest), end):
-                if best[start] is not None and low[start:end] in lower and (best[end] is None or len(best[start]) + 1 < len(best[end])):
-                    best[end] = [*best[start], start]
-        cuts = best[-1]
-        return None if not cuts or len(cuts) < 2 else " ".join(token[a:b] for a, b in zip(cuts, [*cuts[1:], len(token)], strict=True))
+        parts, at = [], len(token)
+        while at:
+            parts.append(token[best[at][1] : at])
+            at = best[at][1]
+        return " ".join(reversed(parts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            x = x.assign(fixed=[split(w) for w in x["token"]])
-            yield x[x["fixed"].notna()]
+            x = x.assign(fixed=[split(*w) for w in zip(x["token"], x["starts"], x["ends"], strict=True)])
+            yield x.loc[x["fixed"].notna(), ["token", "fixed"]]
 
-    return words.select("token").where(F.length("token") >= least).distinct().mapInPandas(run, "token string, fixed string")
+    return own.mapInPandas(run, "token string, fixed string")
 
 
 def repair_joins(pages: DataFrame, changes: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ def c1(t):
 
 
 def allowed(t, least_docs=20):
-    """Frequent words of the corpus, as the allow-list."""
+    """word: the frequent words of the corpus, all of them, as the allow-list."""
     toks = t("documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w")).where("length(w) >= 3")
-    return {r["w"] for r in toks.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).orderBy(F.desc("n"), "w").limit(5000).collect()}
+    return toks.groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("word")
 
 
 def changes(t):
