@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """node, component (the least node that links reach). Nodes without a link aren't listed.
+    """node, component (the least node that links reach), as a written table. Nodes without a link aren't listed.
 
     Each round hangs the larger neighbours of every node, then the smaller ones, on the least of them; the
     number of rounds grows with the logarithm of the longest path. Minima are pre-aggregated and the joins
@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        dropped(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -31,4 +32,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(tops)
+    out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(tops), "components")
+    dropped(edges)
+    return out

@@ -7,7 +7,8 @@ into all its pairs would give the square of a group's size, so comparison takes
    are closed to components.
 2. Keys under which sets of more than one component are left give all pairs across components. Pairs
    inside a component can't change the components and are never made.
-The result is exact for every pair that shares a key.
+Sets carry a parity sketch, which bounds what two of them can share from above; in the second round it
+settles pairs before they become rows. The result is exact for every pair that shares a key.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 from .components import components
 
 KEYS = ["key", "kind"]
+#: 64-bit words of a parity sketch.
+LANES = 8
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -35,9 +39,21 @@ def need(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
-def binned(a: str, b: str) -> Column:
-    """The most elements that two sets can share by the counts of their elements in bins."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+def parity(elements: np.ndarray) -> np.ndarray:
+    """The set's sketch: 64 * LANES bits, each the parity of the number of elements that hash to it."""
+    place = elements.view(np.uint64) >> np.uint64(64 - (64 * LANES).bit_length() + 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=64 * LANES) & 1).astype(np.uint8)).view(np.int64)
+
+
+def near_enough(a: str, b: str, n: Column, m: Column, num: int, den: int) -> Column:
+    """Sets of n and m elements with the sketches a and b may share enough for a link.
+
+    An element that only one of them has turns one bit; so they differ in as many elements as bits at
+    least. The bound is tight as long as they differ in much fewer elements than there are bits, which
+    holds for the near copies that fall short of the threshold.
+    """
+    turned = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(LANES)), F.lit(0))
+    return n + m - turned >= 2 * need(n, m, num, den)
 
 
 def fits_places(num: int, den: int) -> Column:
@@ -46,15 +62,16 @@ def fits_places(num: int, den: int) -> Column:
     return need(F.col("x.n"), F.col("y.n"), num, den) <= F.least(x, y)
 
 
-def similar_groups(keys: DataFrame, num: int, den: int, linked: Callable[[DataFrame], DataFrame], meet: Column | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def similar_groups(keys: DataFrame, sketches: Callable[[], DataFrame], num: int, den: int, linked: Callable[[DataFrame], DataFrame], meet: Column | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """set_id, component (the least set_id that links reach), of the sets that have a link.
 
     keys: key, kind, set_id, n, place (elements of the set that stand before the key); a table that is cheap to reread.
-    linked: pairs (a, b) -> those that link, by a similarity of num / den.
+    sketches: gives set_id, bits (by parity()) of the sets that the second round compares.
+    linked: pairs (a, b) -> those that link, by a similarity of num / den, as a written table.
     meet: a condition on x and y (kind, set_id, n, place) of pairs that are to be met under a key.
     narrow: for the second round, of keys that many sets share without linking: sets (set_id, component) ->
-        a table of other keys (key, kind, set_id, n, place, component, bins), under one of which any two of
-        these sets that link still meet. bins: the set's elements by the first bits of their hash.
+        a table of other keys (key, kind, set_id, n, place, component), under one of which any two of
+        these sets that link still meet.
     """
     fits = fits_places(num, den) if meet is None else meet & fits_places(num, den)
     band = lambda n: F.floor(F.log(n) / math.log(den / num))
@@ -62,30 +79,35 @@ def similar_groups(keys: DataFrame, num: int, den: int, linked: Callable[[DataFr
     hubs = banded.groupBy(*KEYS, "band").agg(F.min_by(F.struct("set_id", "n", "place"), F.struct(F.xxhash64("set_id", "key"), "set_id")).alias("h"))
     hubs = hubs.select(*KEYS, F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "h.*")
     tried = written(_ordered(banded.alias("x").join(hubs.alias("y"), [*KEYS, "band"]).where((F.col("x.set_id") != F.col("y.set_id")) & fits)), "tried")
-    links = written(linked(tried), "linked")
+    links = linked(tried)
     groups = components(links)
 
     own = keys.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    placed = written(own, "placed")
-    mixed = placed.groupBy(*KEYS).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*KEYS)
-    placed = placed.join(mixed, KEYS, "left_semi")
+    every = written(own, "placed")
+    mixed = every.groupBy(*KEYS).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*KEYS)
+    left = every.join(mixed, KEYS, "left_semi")
     if narrow:
-        placed = narrow(placed.select("set_id", "component").distinct())
-        mixed = placed.groupBy(*KEYS).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*KEYS)
-        placed = written(placed.join(mixed, KEYS, "left_semi"), "placed")
+        left = narrow(left.select("set_id", "component").distinct())
+        mixed = left.groupBy(*KEYS).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*KEYS)
+        left = left.join(mixed, KEYS, "left_semi")
+    placed = written(left.join(sketches(), "set_id"), "mixed")
+    dropped(every)
     # a pair of components can hold a pair that fits only if their least sizes and most room would
     parts = placed.groupBy(*KEYS, "component").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("place")).alias("room"))
     may = need(F.col("p.n"), F.col("q.n"), num, den) <= F.least("p.room", "q.room")
     across = parts.alias("p").join(parts.alias("q"), KEYS).where((F.col("p.component") < F.col("q.component")) & may)
     across = across.select(*KEYS, F.col("p.component").alias("p"), F.col("q.component").alias("q"))
-    parts_of = ["set_id", "n", "place", "kind", *(["bins"] if narrow else [])]
-    if narrow:  # before a pair becomes a row
-        fits = fits & (binned("x.bins", "y.bins") >= need(F.col("x.n"), F.col("y.n"), num, den))
+    parts_of = ["set_id", "n", "place", "kind", "bits"]
+    fits = fits & near_enough("x.bits", "y.bits", F.col("x.n"), F.col("y.n"), num, den)  # before a pair becomes a row
     left = across.join(placed.withColumnRenamed("component", "p"), [*KEYS, "p"]).select(*KEYS, "q", F.struct(*parts_of).alias("x"))
     right = placed.select(*KEYS, F.col("component").alias("q"), F.struct(*parts_of).alias("y"))
     found = written(_ordered(left.join(right, [*KEYS, "q"]).where(fits)).join(tried, ["a", "b"], "left_anti"), "across")
+    dropped(placed, tried)
     if found.limit(1).count():
-        late = written(linked(found), "linked")
+        late = linked(found)
         if late.limit(1).count():
-            groups = components(links.unionAll(late))
+            before, groups = groups, components(links.unionAll(late))
+            dropped(before)
+        dropped(late)
+    dropped(found, links)
     return groups.select(F.col("node").alias("set_id"), "component")

@@ -20,16 +20,16 @@ size. First each member of a list is compared with one hub per list and size ban
 that a near copy meets as many hubs as it has keys. Components of the links so found are formed. Then,
 for lists that still hold more than one component, the pairs across components are compared, all of
 them. A pair inside a component can't change the components, so none of it matters to the result.
-Comparing: a pair is dropped if the shared part of its first elements, or the counts of its elements in
-64 bins of the hash, prove too small an overlap; what is left is decided by the exact intersection of
-the sets. The bins see what two near copies each lack, which is common and so never among the first.
+Comparing: a pair is dropped if the parity sketches of its sets prove too small an overlap; what is left
+is decided by the exact intersection of the sets, which are read from the texts again.
 
 Broadcasts are of bounded size: the HEAVY elements, and the ids of classes to compare where these are at
 most IDS (beyond, they are joined by a shuffle).
 
 Defined results: null text and texts without words have the empty set, which links with nothing; a text
-of fewer words than a shingle is one element; equal rows link; a null doc_id gets its class's component;
-an empty table gives an empty result; only doc_id and text are read.
+of fewer words than a shingle is one element; equal rows link; rows that share a doc_id are sets of their
+own; a row of null doc_id links like any other and gets its component's least doc_id (null if all are
+null); an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -43,13 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, written
-from .groups import binned, need, similar_groups
+from .common import dropped, map_rows, table, written
+from .groups import near_enough, need, parity, similar_groups
 
 SHINGLE, NUM, DEN = 3, 90, 100
-HEAVY, OFTEN, LOT = 1 << 18, 8, 2_000_000
+HEAVY, OFTEN, LOT = 1 << 18, 8, 1_000_000
 #: Sets up to this size may be small; beyond, the number of subsets explodes.
-SMALL, IDS, KEPT_WORDS = 30, 2_000_000, 300_000
+SMALL, IDS, KEPT_WORDS = 30, 2_000_000, 150_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -142,19 +142,24 @@ def first_elements(s: np.ndarray, size: int, heavy: np.ndarray, counts: np.ndarr
     return np.concatenate([light, rest[np.lexsort((rest, n))]])[:size]
 
 
+def fetch_key():
+    """What a row is found by when its text is read again: its id, or its text's hash where it has none."""
+    return F.coalesce("doc_id", F.xxhash64("text")).alias("fetch_key")
+
+
 def sketched(documents: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """doc_id, set_id, n, first (elements in order), bins (elements by their first six bits), whole (the set, if at most SMALL)."""
+    """doc_id, fetch_key, set_id, n, first (elements in order), bits (parity sketch), whole (the set, if at most SMALL)."""
     held = documents.sparkSession.sparkContext.broadcast(heavy_elements(documents, shingle))
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         shingler, (heavy, counts) = Shingler(shingle), held.value
-        for doc, text in it:
+        for doc, key, text in it:
             s = shingler(text)
             n = len(s)
-            bins = np.bincount(s.view(np.uint64) >> np.uint64(58), minlength=64)
-            yield doc, set_id(s), n, first_elements(s, prefix_size(n, num, den) if n else 0, heavy, counts), bins if n < 1 << 15 else None, s if n <= SMALL else None
+            yield doc, key, set_id(s), n, first_elements(s, prefix_size(n, num, den) if n else 0, heavy, counts), parity(s), s if n <= SMALL else None
 
-    return map_rows(documents, ["doc_id", "text"], "doc_id long, set_id long, n int, first array<long>, bins array<smallint>, whole array<long>", rows)
+    keyed = documents.select("doc_id", fetch_key(), "text")
+    return map_rows(keyed, ["doc_id", "fetch_key", "text"], "doc_id long, fetch_key long, set_id long, n int, first array<long>, bits array<long>, whole array<long>", rows)
 
 
 def _subset_keys(classes: DataFrame, below: int, num: int, den: int) -> DataFrame:
@@ -181,17 +186,17 @@ def semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= IDS else ids, column, "left_semi")
 
 
-def fetched(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """set_id, elements: the sets of the documents of these ids, read from their texts again."""
+def fetched(documents: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """set_id, elements: the sets of the documents of these fetch keys, read from their texts again."""
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         shingler = Shingler(shingle)
-        for _, text in it:
+        for (text,) in it:
             s = shingler(text)
             yield set_id(s), s
 
-    taken = semi(documents.select("doc_id", "text"), ids, "doc_id")
-    return map_rows(taken, ["doc_id", "text"], "set_id long, elements array<long>", rows).dropDuplicates(["set_id"])
+    taken = semi(documents.select(fetch_key(), "text"), keys, "fetch_key")
+    return map_rows(taken, ["text"], "set_id long, elements array<long>", rows).dropDuplicates(["set_id"])
 
 
 def decided(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -204,29 +209,35 @@ def decided(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), class_id (the least of equal sets)."""
     documents = documents.select("doc_id", "text")
-    docs = written(sketched(documents, shingle, num, den), "sketched")
-    classes = written(docs.where("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("bins").alias("bins"), F.first("whole").alias("whole")), "classes")
-    entries = classes.select("set_id", "n", F.posexplode("first").alias("place", "key"))
+    full = written(sketched(documents, shingle, num, den), "sketched")
+    docs = written(full.select("doc_id", "set_id", "n"), "documents")
+    firsts = [F.min("doc_id").alias("rep"), F.min("fetch_key").alias("fetch_key"), *(F.first(c).alias(c) for c in ("first", "bits", "whole"))]
+    every = written(full.where("n > 0").groupBy("set_id", "n").agg(*firsts), "classes")
+    dropped(full)
+    entries = every.select("set_id", "n", F.posexplode("first").alias("place", "key"))
     lengths = entries.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    lists = written(entries.join(lengths, "key").select("key", "set_id", "n", "place", "length"), "lists")
+    lists = written(entries.join(lengths, "key").select("key", F.lit(False).alias("kind"), "set_id", "n", "place", "length"), "lists")
     below = _boundary(lists, num, den)
-    subsets = _subset_keys(classes, below, num, den)
+    subsets = _subset_keys(every, below, num, den)
     often = subsets.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    keys = written(lists.drop("length").withColumn("kind", F.lit(False)).unionAll(subsets.join(often, "key", "left_semi").withColumn("kind", F.lit(True))), "keys")
+    small = written(subsets.join(often, "key", "left_semi").select("key", F.lit(True).alias("kind"), "set_id", "n", "place"), "subsets")
+    classes = written(every.select("set_id", "n", "rep", "fetch_key", "bits"), "classes")
+    dropped(every)
     # sets that are both small meet under their subsets alone
     meet = F.col("x.kind") | (F.greatest("x.n", "y.n") >= below)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), F.col("bins").alias(f"b{x}"), F.col("rep").alias(f"r{x}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b")
-        room = F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
-        least = need(F.col("na"), F.col("nb"), num, den)
-        enough = (F.coalesce(binned("ba", "bb"), least) >= least) & (F.size(F.array_intersect("fa", "fb")) + room >= least)
-        met = written(met.where(enough).select("a", "b", "ra", "rb"), "pairs")
-        ids = written(met.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "ids")
-        return decided(met.select("a", "b"), written(fetched(documents, ids, shingle), "sets"), num, den)
-
-    groups = similar_groups(keys, num, den, linked, meet)
+        side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"), F.col("fetch_key").alias(f"k{x}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where(near_enough("ba", "bb", F.col("na"), F.col("nb"), num, den))
+        met = written(met.select("a", "b", "ka", "kb"), "pairs")
+        keys = written(met.select(F.explode(F.array("ka", "kb")).alias("fetch_key")).distinct(), "fetch")
+        sets = written(fetched(documents, keys, shingle), "sets")
+        out = written(decided(met.select("a", "b"), sets, num, den), "linked")
+        dropped(met, keys, sets)
+        return out
+
+    groups = similar_groups(lists.drop("length").unionAll(small), lambda: classes.select("set_id", "bits"), num, den, linked, meet)
+    dropped(lists, small)
     of = classes.select("set_id", "n", "rep").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = of.groupBy("component").agg(F.min("rep").alias("least"))
     of = of.join(least, "component").select("set_id", "n", "rep", F.col("least").alias("component"))

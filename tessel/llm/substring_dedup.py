@@ -4,22 +4,28 @@ A paragraph is a line of at least LEAST words. Its set is that of its distinct 5
 values are banded, with the number of bands and rows tuned for the recall at the threshold. Equal
 paragraphs are one class from the start. Classes that collide in a band are compared by exact Jaccard,
 links are closed to components, and of each component the first paragraph in order of document and
-place stays, all others are removals. Long paragraphs may hold a repeated passage between other text:
-their sentences of at least LEAST words count too, by equality alone.
+place stays, all others are removals.
+
+A passage may also repeat inside paragraphs that differ otherwise, or across their ends. So each text has
+windows of WINDOW words besides, chosen by winnowing (the least hash of every GUARANTEE - WINDOW + 1 in a
+row): two texts that share a run of GUARANTEE words or more share a window in it, wherever its lines
+end. Windows repeat by equality.
 
 Comparison (hubs first, then pairs across components only) is shared with the n-gram join. Many copies of
 a paragraph that were edited apart collide in bands without linking, and would give all their pairs in
 the second round; there the classes meet again under their rarest shingles, of which two that link
 share one, and such copies share none.
 
+LEAST is a parameter of what counts: shorter lines (license lines, greetings, headings) repeat in
+documents that copy nothing else, and quality rules judge them by how often they do.
+
 Defined results: null text has no paragraphs; a document of none is kept whole with empty lists; equal
-rows repeat each other, the first by row stays (rows of one doc_id in no further order); lines are parted
-by \\n alone; only doc_id and text are read.
+rows repeat each other, the first by row stays; rows that share a doc_id, or have none, are documents of
+their own; lines are parted by \\n alone; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, written
-from .groups import similar_groups
-from .ngram_join import LOWER, decided, semi
+from .common import dropped, map_rows, table, written
+from .groups import parity, similar_groups
+from .ngram_join import LOWER, decided, fetch_key, semi
 
-SHINGLE, LEAST, LONG = 5, 10, 40
+SHINGLE, LEAST, WINDOW, GUARANTEE = 5, 20, 20, 50
 NUM, DEN, RECALL, LOOSE, MOST_LOOSE = 80, 100, 0.999, 0.25, 0.15
-SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+$")
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def tune_bands(threshold: float = NUM / DEN, recall: float = RECALL, loose: float = LOOSE, most: float = MOST_LOOSE) -> tuple[int, int]:
@@ -53,7 +59,7 @@ FACTORS = _draw.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(
 class Words:
     """64-bit hashes of words, kept from text to text."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.known, self.most = {}, most
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -77,25 +83,56 @@ def shingles(code: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mixed
 
 
-def units(text: str | None) -> list[tuple[int, int, bool, list[bytes]]]:
-    """(start, end, is a sentence of a long paragraph, words) of what may repeat; code points, end exclusive."""
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        words = line.encode("utf-8", "replace").translate(LOWER).split()
-        if len(words) >= LEAST:
-            out.append((at, at + len(line), False, words))
-            if len(words) > LONG:
-                for m in SENTENCE.finditer(line):
-                    part = m[0].encode("utf-8", "replace").translate(LOWER).split()
-                    if LEAST <= len(part) < len(words):
-                        lead = len(m[0]) - len(m[0].lstrip())
-                        out.append((at + m.start() + lead, at + m.end(), True, part))
-        at += len(line) + 1
+def _hash(codes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(codes.tobytes()) - (1 << 63)
+
+
+def winnowed(grams: np.ndarray, span: int = GUARANTEE - WINDOW + 1, apart: int = WINDOW) -> list[int]:
+    """Places of the least of every `span` hashes in a row; equal ones that overlap count once."""
+    if len(grams) < span:
+        return []
+    picks = np.unique(np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1))
+    if len(np.unique(grams[picks])) == len(picks):
+        return picks.tolist()
+    out: list[int] = []
+    for k in picks.tolist():
+        if not out or grams[k] != grams[out[-1]] or k - out[-1] >= apart:
+            out.append(k)
     return out
 
 
-def unit_id(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+class Units:
+    """What may repeat in a text."""
+
+    def __init__(self, text: str | None, codes: Words):
+        data = (text or "").encode("utf-8", "replace")
+        raw = np.frombuffer(data, np.uint8)
+        edge = np.diff(BLANK[raw].astype(np.int8), prepend=1, append=1)
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # of words, in bytes
+        chars = np.cumsum((raw & 0xC0) != 0x80)
+        self.start, self.end = chars[first] - 1, chars[last - 1]  # in code points
+        self.code = codes(data.translate(LOWER).split())
+        self.grams = shingles(self.code)
+        ends = np.searchsorted(first, np.flatnonzero(raw == 10)).tolist()
+        #: First and last word (exclusive) of the paragraphs.
+        self.lines = [(a, b) for a, b in zip([0, *ends], [*ends, len(first)], strict=True) if b - a >= LEAST]
+
+    def paragraphs(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Start, end, id, hashes of shingles."""
+        for a, b in self.lines:
+            yield int(self.start[a]), int(self.end[b - 1]), _hash(self.code[a:b]), self.grams[a : b - SHINGLE + 1]
+
+    def windows(self) -> Iterator[tuple[int, int, int]]:
+        """Start, end, id."""
+        n = len(self.code) - WINDOW + 1
+        if n < 1:
+            return
+        mixed = np.zeros(n, np.uint64)
+        for k in range(0, WINDOW, SHINGLE):
+            mixed = (mixed + self.grams[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(31)
+        for k in winnowed(mixed):
+            yield int(self.start[k]), int(self.end[k + WINDOW - 1]), int(mixed[k].astype(np.int64))
 
 
 def band_keys(parts: list[np.ndarray]) -> np.ndarray:
@@ -110,70 +147,80 @@ def band_keys(parts: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def paragraphs(documents: DataFrame) -> DataFrame:
-    """doc_id, and units: start, end, inner, set_id; n (shingles at most) and keys of each."""
+def units(documents: DataFrame) -> DataFrame:
+    """doc_id, fetch_key, and units: start, end, inner (a window), set_id; n (shingles) and keys of paragraphs."""
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         codes = Words()
-        for doc, text in it:
-            found = units(text)
-            whole = [w for _, _, inner, w in found if not inner]
-            parts = []
-            if whole:  # the shingles of all paragraphs at once; those across two of them are left out
-                every = shingles(codes([x for w in whole for x in w]))
-                ends = np.cumsum([len(w) for w in whole])
-                parts = [every[e - len(w) : e - SHINGLE + 1] for w, e in zip(whole, ends, strict=True)]
-                alone = len(np.unique(every)) == len(every)
-            keys = iter(band_keys(parts) if parts else [])
-            sizes = iter([len(p) if alone else len(np.unique(p)) for p in parts])
-            yield doc, [{"start": a, "end": b, "inner": inner, "set_id": unit_id(w), "n": 0 if inner else next(sizes), "keys": None if inner else next(keys)} for a, b, inner, w in found]
-
-    return map_rows(documents, ["doc_id", "text"], "doc_id long, units array<struct<start:int,end:int,inner:boolean,set_id:long,n:int,keys:array<long>>>", rows)
-
-
-def repeated(documents: DataFrame) -> DataFrame:
-    """doc_id, start, end, inner, component, first (the least doc_id of the component), keep, of units that occur twice or more."""
+        for doc, fetch, text in it:
+            found = Units(text, codes)
+            whole = list(found.paragraphs())
+            alone = len(np.unique(found.grams)) == len(found.grams)
+            keys = band_keys([g for *_, g in whole]) if whole else []
+            outer = [{"start": a, "end": b, "inner": False, "set_id": i, "n": len(g) if alone else len(np.unique(g)), "keys": k} for (a, b, i, g), k in zip(whole, keys, strict=True)]
+            yield doc, fetch, outer + [{"start": a, "end": b, "inner": True, "set_id": i, "n": 0, "keys": None} for a, b, i in found.windows()]
+
+    keyed = documents.select("doc_id", fetch_key(), "text")
+    return map_rows(keyed, ["doc_id", "fetch_key", "text"], "doc_id long, fetch_key long, units array<struct<start:int,end:int,inner:boolean,set_id:long,n:int,keys:array<long>>>", rows)
+
+
+def repeated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows: doc_id and row, a number of its own. Units that occur twice or more: doc_id, row, start, end, inner, component, first (the doc_id where the component stands first), keep."""
     documents = documents.select("doc_id", "text")
-    units_ = written(paragraphs(documents).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.explode("units").alias("u")).select("doc_id", "row", "u.*"), "units")
-    outer = units_.where("not inner")
-    classes = outer.groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    classes = written(classes, "classes")
+    nested = written(units(documents).withColumn("row", F.monotonically_increasing_id()), "units")
+    every = nested.select("doc_id", "row", "fetch_key", F.explode("units").alias("u")).select("doc_id", "row", "fetch_key", "u.*")
+    outer = every.where("not inner")
+    classes = written(outer.groupBy("set_id").agg(F.first("n").alias("n"), F.min("fetch_key").alias("fetch_key"), F.first("keys").alias("keys")), "classes")
     entries = classes.select("set_id", "n", F.explode("keys").alias("key"))
     often = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     keys = written(entries.join(often, "key", "left_semi").select("key", F.lit(False).alias("kind"), "set_id", "n", F.lit(0).alias("place")), "keys")
 
     def fetch(it: Iterator[tuple]) -> Iterator[tuple]:
         codes = Words()
-        for _, text in it:
-            for _, _, inner, words in units(text):
-                if not inner:
-                    found = np.unique(shingles(codes(words)))
-                    yield unit_id(words), found.view(np.int64), np.bincount(found >> np.uint64(58), minlength=64)
+        for (text,) in it:
+            for _, _, i, grams in Units(text, codes).paragraphs():
+                found = np.unique(grams)
+                yield i, found.view(np.int64), parity(found)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = classes.join(wanted, "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        read = map_rows(semi(documents, written(ids, "ids"), "doc_id"), ["doc_id", "text"], "set_id long, elements array<long>, bins array<int>", fetch)
-        return written(semi(read, wanted, "set_id").dropDuplicates(["set_id"]), "sets")
+        ids = written(classes.join(wanted, "set_id", "left_semi").select("fetch_key").distinct(), "fetch")
+        read = map_rows(semi(documents.select(fetch_key(), "text"), ids, "fetch_key"), ["text"], "set_id long, elements array<long>, bits array<long>", fetch)
+        out = written(semi(read, wanted, "set_id").dropDuplicates(["set_id"]), "sets")
+        dropped(ids)
+        return out
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return decided(pairs, sets_of(written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ids")), NUM, DEN)
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ids")
+        sets = sets_of(ids)
+        out = written(decided(pairs, sets, NUM, DEN), "linked")
+        dropped(ids, sets)
+        return out
+
+    again: list[DataFrame] = []
 
     def narrow(left: DataFrame) -> DataFrame:
         """The first of each set's shingles, rare ones first: paragraphs that were edited apart fill them with their own."""
-        sets = sets_of(written(left.select("set_id"), "ids"))
+        ids = written(left.select("set_id"), "ids")
+        sets = sets_of(ids)
+        dropped(ids)
+        again.append(sets)
         each = sets.select("set_id", F.size("elements").alias("n"), F.explode("elements").alias("key"))
         df = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
         shared = each.join(df, "key").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("xs"))
         own = F.col("n") - F.size("xs")  # these stand before all shared ones
         place = shared.select("set_id", "n", own.alias("own"), F.posexplode("xs").alias("at", "x")).withColumn("place", (F.col("own") + F.col("at")).cast("int"))
         kept = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN))
-        return kept.select(F.col("x.key").alias("key"), F.lit(False).alias("kind"), "set_id", "n", "place").join(sets.select("set_id", "bins"), "set_id").join(left, "set_id")
+        return kept.select(F.col("x.key").alias("key"), F.lit(False).alias("kind"), "set_id", "n", "place").join(left, "set_id")
 
-    groups = similar_groups(keys, NUM, DEN, linked, narrow=narrow)
-    # a component that has one class repeats if the class does; sentences repeat by equality alone
-    placed = units_.drop("keys", "n").join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    placed = placed.groupBy("component", "inner").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "start")).alias("f")).where("times > 1").join(placed, ["component", "inner"])
-    return placed.select("doc_id", "row", "start", "end", "inner", "component", F.col("f.doc_id").alias("first"), (F.struct("doc_id", "row", "start") == F.col("f")).alias("keep"))
+    groups = similar_groups(keys, lambda: again[0].select("set_id", "bits"), NUM, DEN, linked, narrow=narrow)
+    dropped(keys, classes, *again)
+    # a component that has one class repeats if the class does; windows repeat by equality alone
+    spots = every.select("doc_id", "row", "start", "end", "inner", "set_id")
+    placed = spots.where("not inner").join(groups, "set_id", "left").select(*spots.columns, F.coalesce("component", "set_id").alias("component")).unionAll(spots.where("inner").withColumn("component", F.col("set_id")))
+    twice = placed.groupBy("component", "inner").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "start")).alias("f")).where("times > 1")
+    met = twice.join(placed, ["component", "inner"])
+    found = met.select("doc_id", "row", "start", "end", "inner", "component", F.col("f.doc_id").alias("first"), ((F.col("row") == F.col("f.row")) & (F.col("start") == F.col("f.start"))).alias("keep"))
+    return nested.select("doc_id", "row"), written(found, "repeated")
 
 
 def dedup_documents(documents: DataFrame) -> DataFrame:
@@ -181,10 +228,10 @@ def dedup_documents(documents: DataFrame) -> DataFrame:
 
     doc_id, n_repeated, n_removed, removed_chars, removed (spans start:end, comma-joined), repeats_of (array of doc_id).
     """
-    found = written(repeated(documents), "repeated")
-    gone = F.col("keep") == F.lit(False)
+    rows, found = repeated(documents)
+    gone = ~F.col("keep")
     span = F.struct("start", "end")
-    by = found.groupBy("doc_id").agg(
+    by = found.groupBy("row").agg(
         F.count("*").alias("n_repeated"),
         F.sum(gone.cast("long")).alias("n_removed"),
         F.array_sort(F.collect_list(F.when(gone, span))).alias("spans"),
@@ -192,8 +239,7 @@ def dedup_documents(documents: DataFrame) -> DataFrame:
     )
     merge = lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.array_append(acc, s))
     by = by.withColumn("spans", F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), merge))
-    ids = documents.select("doc_id")
-    return ids.join(by, "doc_id", "left").select(
+    return rows.join(by, "row", "left").select(
         "doc_id",
         F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"),
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),

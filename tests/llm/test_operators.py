@@ -6,6 +6,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -101,6 +102,24 @@ def test_pipeline_keeps_one_of_each_group_at_five_words(spark):
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == kept(5, 80, 100) != kept(3, 90, 100)
 
 
+def test_rows_without_an_id_link(spark):
+    """A row of null id links to a near copy, and rows that share an id are sets of their own."""
+    words = [f"w{k}" for k in range(200)]
+    near = " ".join([*words[:100], "other", *words[101:]])
+    rows = [(5, " ".join(words)), (None, near), (8, prose(40)), (8, near), (None, "alone is this one"), (9, None)]
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in ngram_join.join_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("5", "5"), ("8", "5"), ("8", "8"), ("9", "9"), ("None", "5"), ("None", "None")]
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(1)
+    for n, m, both in ((50, 52, 45), (400, 380, 350), (5000, 5100, 4900), (1, 1, 1), (3, 2, 0)):
+        x = rng.integers(-(2**63), 2**63, n + m - both)
+        a, b = groups.parity(x[:n]), groups.parity(x[n - both :])
+        turned = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64))
+        assert turned <= n + m - 2 * both and (n + m - 2 * both > 100 or turned >= 0.7 * (n + m - 2 * both))
+
+
 def test_small_sets_meet_under_subsets():
     for n, m in itertools.product(range(1, 28), repeat=2):
         if 90 * max(n, m) <= 100 * min(n, m):
@@ -146,11 +165,80 @@ def test_shared_lines_deplete(spark):
     assert got[3]["n_removed_lines"] == 1 and got[3]["kept"] and got[100]["depleted"] and not got[100]["kept"]
 
 
-def test_paragraphs(docs, none):
-    got = {r["doc_id"]: r for r in substring_dedup.dedup_documents(docs.where("doc_id is not null and (doc_id <> 12 or length(text) > 100)")).collect()}
-    assert got[1]["n_repeated"] and not got[1]["n_removed"] and got[2]["n_removed"] and got[3]["n_removed"]
-    assert got[12]["n_removed"] >= 2 and 1 in got[12]["repeats_of"] and got[4]["n_repeated"] == got[9]["n_removed"] == 0
-    assert substring_dedup.dedup_documents(none).count() == 0
+def jaccard_parts(lines, k=5, num=80, den=100):
+    """Groups (sets of places) of lines (place, words) that exact Jaccard of k-word shingles links, of two lines or more."""
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for _, w in lines]
+    owner = list(range(len(lines)))
+
+    def top(x):
+        while owner[x] != x:
+            x = owner[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+            owner[max(top(a), top(b))] = min(top(a), top(b))
+    out = {}
+    for k in range(len(lines)):
+        out.setdefault(top(k), []).append(lines[k][0])
+    return sorted((sorted(x) for x in out.values() if len(x) > 1), key=str)
+
+
+def test_paragraphs_against_all_pairs(spark, none):
+    """Chains of edited lines under ids of their own, a shared id and no id; the groups are those of all pairs."""
+    rng, rows = random.Random(3), []
+    for n in (20, 24, 30, 45, 80, 200):
+        words = [rng.choice(WORDS) for _ in range(n)]
+        for step in range(6):
+            other = " ".join(rng.choice(WORDS) for _ in range(rng.randrange(0, 60)))
+            rows.append((7 if step == 2 else None if step == 3 else len(rows) * 10, f"{other}\nshort line\n {' '.join(words)} \n{other if step == 4 else ''}"))
+            words = [*words]
+            words[rng.randrange(n)] = f"new{len(rows)}"
+    rows += [(900, None), (901, ""), (902, "\n\n"), (7, rows[0][1]), (7, rows[0][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines = []
+    for i, t in rows:
+        at = 0
+        for line in (t or "").split("\n"):
+            lead = len(line) - len(line.lstrip(" "))
+            if len(line.split()) >= substring_dedup.LEAST:
+                lines.append((((-1 if i is None else i), at + lead, at + len(line.rstrip(" "))), line.split()))
+            at += len(line) + 1
+    named, found = substring_dedup.repeated(d)
+    got = {}
+    for r in found.where("not inner").collect():
+        got.setdefault(r["component"], []).append((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["end"]))
+    assert sorted((sorted(x) for x in got.values()), key=str) == jaccard_parts(lines)
+    assert named.count() == len(rows) and found.where("keep").count() == found.select("component", "inner").distinct().count()
+    by = substring_dedup.dedup_documents(d).collect()
+    assert sorted(str(r["doc_id"]) for r in by) == sorted(str(i) for i, _ in rows)
+    assert sum(r["n_repeated"] for r in by) == found.count() and substring_dedup.dedup_documents(none).count() == 0
+
+
+def test_spans_of_shared_ids_stay_apart(spark):
+    line = prose(30)
+    rows = [(7, line + "\n" + prose(25)), (7, prose(40) + "\n" + line), (None, line), (3, prose(22))]
+    got = sorted((str(r["doc_id"]), r["removed"]) for r in substring_dedup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    at = len(rows[1][1]) - len(line)
+    assert [x for x in got if x[1]] in ([("7", f"0:{len(line)}"), ("7", f"{at}:{at + len(line)}")], [("7", f"0:{len(line)}"), ("None", f"0:{len(line)}")], [("7", f"{at}:{at + len(line)}"), ("None", f"0:{len(line)}")])
+
+
+def test_runs_inside_other_text_share_a_window(spark):
+    """A run of GUARANTEE words is found wherever it stands, with other lines and no sentences; a shorter one needn't be."""
+    rng = random.Random(5)
+    free = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(30):
+        run = free(substring_dedup.GUARANTEE)
+        rows += [(2 * k, f"{free(30)} {run} {free(40)}"), (2 * k + 1, f"{free(17)} é😀 " + run.replace(" ", "\n", 3) + f" {free(9)}")]
+    rows += [(100, "x " * 5000), (101, free(300))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated(d)[1].where("inner").collect()
+    text = dict(rows)
+    assert {r["doc_id"] for r in found} == {*range(60), 100}
+    for r in found:
+        assert len(text[r["doc_id"]][r["start"] : r["end"]].split()) == substring_dedup.WINDOW
+        assert r["doc_id"] == 100 or text[r["doc_id"]][r["start"] : r["end"]].split() == text[r["first"]][text[r["first"]].index(text[r["doc_id"]][r["start"] : r["end"]].split()[0]) :].split()[: substring_dedup.WINDOW]
 
 
 def test_bands_reach_their_recall():
