@@ -27,7 +27,7 @@ from .common import map_rows, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
-CACHE = 400_000
+CACHE = 150_000
 NONE = np.int32(np.iinfo(np.int32).max)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -6,7 +6,7 @@ shared by all grades, and ordered thresholds t1 < t2 < t3 part them: P(grade >=
 The expected severity is the sum of these three, and a document is rejected from REJECT up.
 
 The fit takes at most MAX_TRAIN labelled rows (clean, toxic), those of the least hash of their id; all
-documents are scored in Arrow batches with the broadcast weights (2^BITS at most).
+documents are scored in Arrow batches with the broadcast weights that aren't zero (2^BITS at most).
 
 Features are presence of words and of word beginnings of five characters (invented or inflected forms
 of an insult share them), hashed, each scaled by its log-odds among the training rows. Only features that
@@ -32,31 +32,39 @@ from .features import tokens
 
 MAX_TRAIN, BITS, STEM, GRADES, REJECT = (12_000, 4000), 22, 5, 3, 0.5
 STEPS, RATE, PENALTY, LEAST_DOCS, SURE = 1500, 0.5, 1e-6, 3, 2.7
+KEPT_WORDS = 100_000
 MODEL_COLUMNS = "doc_id long, severity double, grade int, rejected boolean"
 
 
-def present(text: str | None, known: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
-    """Indices of a text's words and of their first STEM characters, each once."""
+def _packed(w: str) -> int:
+    """Index of a word, and above it that of its beginning (of the word again where it is no longer)."""
+    a, b = (zlib.crc32(p.encode("utf-8", "replace")) * 2654435761 % (1 << 32) >> (32 - BITS) for p in (w, "^" + w[:STEM] if len(w) > STEM else w))
+    return b << 32 | a
+
+
+def present(text: str | None, known: dict[str, int] | None = None) -> np.ndarray:
+    """Indices of a text's words and of their first STEM characters, each once. known: keeps words, KEPT_WORDS at most."""
     known = {} if known is None else known
-    found: set[int] = set()
-    for w in set(tokens(text)):
-        if (x := known.get(w)) is None:
-            if len(known) > 400_000:
-                known.clear()
-            x = known[w] = tuple(zlib.crc32(p.encode("utf-8", "replace")) * 2654435761 % (1 << 32) >> (32 - BITS) for p in (w, *(["^" + w[:STEM]] if len(w) > STEM else [])))
-        found.update(x)
-    return np.fromiter(sorted(found), np.int64, len(found))
+    words = set(tokens(text))
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    packed = np.fromiter((x if (x := known.get(w)) is not None else known.setdefault(w, _packed(w)) for w in words), np.int64, len(words))
+    return np.unique(np.concatenate([packed & 0xFFFFFFFF, packed >> 32]))
 
 
 class CumulativeLink:
-    """weights: 2^BITS shared weights; cuts: ascending thresholds."""
+    """index: ascending features that have a weight; weights: theirs, shared by all grades; cuts: ascending thresholds."""
 
-    def __init__(self, weights: np.ndarray, cuts: np.ndarray):
-        self.weights, self.cuts = weights, cuts
+    def __init__(self, index: np.ndarray, weights: np.ndarray, cuts: np.ndarray):
+        self.index, self.weights, self.cuts = index, weights, cuts
 
-    def above(self, index: np.ndarray) -> np.ndarray:
+    def above(self, found: np.ndarray) -> np.ndarray:
         """P(grade >= k), k = 1, 2, ..."""
-        return 1 / (1 + np.exp(-np.clip(self.weights[index].sum() - self.cuts, -35, 35)))
+        total = self.weights[np.isin(self.index, found, assume_unique=True)].sum() if len(self.index) < len(found) else 0.0
+        if len(self.index) >= len(found) > 0:
+            at = np.minimum(np.searchsorted(self.index, found), len(self.index) - 1)
+            total = self.weights[at[self.index[at] == found]].sum()
+        return 1 / (1 + np.exp(-np.clip(total - self.cuts, -35, 35)))
 
 
 def grade(odds: np.ndarray, toxic: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -70,7 +78,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray) -> CumulativeLink:
     """Penalised maximum likelihood by projected gradient steps (Adagrad)."""
     n = 1 << BITS
     if not len(rows) or toxic.min() == toxic.max():
-        return CumulativeLink(np.zeros(n), np.full(GRADES, 35.0))
+        return CumulativeLink(np.empty(0, np.int64), np.empty(0), np.full(GRADES, 35.0))
     df = [np.bincount(np.concatenate([x for x, y in zip(rows, toxic, strict=True) if y == k] or [np.empty(0, np.int64)]), minlength=n) for k in (0, 1)]
     odds = np.log((df[1] + 0.5) / ((toxic == 1).sum() + 1)) - np.log((df[0] + 0.5) / ((toxic == 0).sum() + 1))
     sure = odds / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
@@ -96,9 +104,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray) -> CumulativeLink:
         seen_c += c * c
         w = np.maximum(w + RATE * g / np.sqrt(seen_w), 0)
         cuts = np.maximum.accumulate(cuts + RATE * c / np.sqrt(seen_c) + np.arange(GRADES) * 1e-9)
-    weights = np.zeros(n)
-    weights[telling] = w * scale
-    return CumulativeLink(weights, cuts)
+    return CumulativeLink(telling[w > 0], (w * scale)[w > 0], cuts)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_train: tuple[int, int] = MAX_TRAIN) -> CumulativeLink:
@@ -122,13 +128,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_train
 
 def severity(documents: DataFrame, model: CumulativeLink, reject: float = REJECT) -> DataFrame:
     """doc_id, severity (expected grade, 0 to GRADES), grade (likeliest), rejected."""
-    at = np.flatnonzero(model.weights)
-    held = documents.sparkSession.sparkContext.broadcast((at, model.weights[at], model.cuts))
+    held = documents.sparkSession.sparkContext.broadcast(model)
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        dense = np.zeros(1 << BITS)
-        dense[held.value[0]] = held.value[1]
-        own, known = CumulativeLink(dense, held.value[2]), {}
+        own, known = held.value, {}
         for doc, text in it:
             p = own.above(present(text, known))
             expected = float(p.sum())
@@ -139,13 +142,10 @@ def severity(documents: DataFrame, model: CumulativeLink, reject: float = REJECT
 
 def keep_clean(documents: DataFrame, model: CumulativeLink, reject: float = REJECT) -> DataFrame:
     """The documents, all their columns, without the rejected ones."""
-    at = np.flatnonzero(model.weights)
-    held = documents.sparkSession.sparkContext.broadcast((at, model.weights[at], model.cuts))
+    held = documents.sparkSession.sparkContext.broadcast(model)
 
     def keep() -> Callable[[str | None], bool]:
-        dense = np.zeros(1 << BITS)
-        dense[held.value[0]] = held.value[1]
-        own, known = CumulativeLink(dense, held.value[2]), {}
+        own, known = held.value, {}
         return lambda text: float(own.above(present(text, known)).sum()) < reject
 
     return filter_texts(documents, keep)
