@@ -39,21 +39,21 @@ def need(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
-def parity(elements: np.ndarray) -> np.ndarray:
-    """The set's sketch: 64 * LANES bits, each the parity of the number of elements that hash to it."""
-    place = elements.view(np.uint64) >> np.uint64(64 - (64 * LANES).bit_length() + 1)
-    return np.packbits((np.bincount(place.astype(np.int64), minlength=64 * LANES) & 1).astype(np.uint8)).view(np.int64)
+def parity(elements: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """The set's sketch: 64 * lanes bits, each the parity of the number of elements that hash to it."""
+    place = elements.view(np.uint64) >> np.uint64(64 - (64 * lanes).bit_length() + 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=64 * lanes) & 1).astype(np.uint8)).view(np.int64)
 
 
-def near_enough(a: str, b: str, n: Column, m: Column, num: int, den: int) -> Column:
-    """Sets of n and m elements with the sketches a and b may share enough for a link.
+def near_enough(a: str, b: str, n: Column, m: Column, num: int, den: int, lanes: int = LANES) -> Column:
+    """Sets of n and m elements with the sketches a and b may share enough for a link; true where a sketch is null.
 
     An element that only one of them has turns one bit; so they differ in as many elements as bits at
     least. The bound is tight as long as they differ in much fewer elements than there are bits, which
     holds for the near copies that fall short of the threshold.
     """
-    turned = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(LANES)), F.lit(0))
-    return n + m - turned >= 2 * need(n, m, num, den)
+    turned = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(lanes)), F.lit(0))
+    return F.coalesce(n + m - turned >= 2 * need(n, m, num, den), F.lit(True))
 
 
 def fits_places(num: int, den: int) -> Column:
@@ -93,10 +93,13 @@ def similar_groups(keys: DataFrame, sketches: Callable[[], DataFrame], num: int,
     placed = written(left.join(sketches(), "set_id"), "mixed")
     dropped(every)
     # a pair of components can hold a pair that fits only if their least sizes and most room would
-    parts = placed.groupBy(*KEYS, "component").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("place")).alias("room"))
+    parts = placed.groupBy(*KEYS, "component").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("place")).alias("room"), F.count("*").alias("sets"), F.first("bits").alias("bits"))
     may = need(F.col("p.n"), F.col("q.n"), num, den) <= F.least("p.room", "q.room")
+    # of two components of one set each, the sketches are compared here: a crowd of sets without links makes no rows
+    may = may & ((F.col("p.sets") > 1) | (F.col("q.sets") > 1) | near_enough("p.bits", "q.bits", F.col("p.n"), F.col("q.n"), num, den))
     across = parts.alias("p").join(parts.alias("q"), KEYS).where((F.col("p.component") < F.col("q.component")) & may)
-    across = across.select(*KEYS, F.col("p.component").alias("p"), F.col("q.component").alias("q"))
+    few = F.col("p.sets") <= F.col("q.sets")  # the sets of the smaller one become rows first
+    across = across.select(*KEYS, F.when(few, F.col("p.component")).otherwise(F.col("q.component")).alias("p"), F.when(few, F.col("q.component")).otherwise(F.col("p.component")).alias("q"))
     parts_of = ["set_id", "n", "place", "kind", "bits"]
     fits = fits & near_enough("x.bits", "y.bits", F.col("x.n"), F.col("y.n"), num, den)  # before a pair becomes a row
     left = across.join(placed.withColumnRenamed("component", "p"), [*KEYS, "p"]).select(*KEYS, "q", F.struct(*parts_of).alias("x"))

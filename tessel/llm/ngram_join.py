@@ -50,6 +50,8 @@ SHINGLE, NUM, DEN = 3, 90, 100
 HEAVY, OFTEN, LOT = 1 << 18, 8, 1_000_000
 #: Sets up to this size may be small; beyond, the number of subsets explodes.
 SMALL, IDS, KEPT_WORDS = 30, 2_000_000, 150_000
+#: Sets from this size on also have a sketch of so many 64-bit words.
+BIG, WIDE = 700, 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -148,7 +150,7 @@ def fetch_key():
 
 
 def sketched(documents: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """doc_id, fetch_key, set_id, n, first (elements in order), bits (parity sketch), whole (the set, if at most SMALL)."""
+    """doc_id, fetch_key, set_id, n, first (elements in order), bits (parity sketch), wide (a wider one from BIG elements on), whole (the set, if at most SMALL)."""
     held = documents.sparkSession.sparkContext.broadcast(heavy_elements(documents, shingle))
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
@@ -156,10 +158,10 @@ def sketched(documents: DataFrame, shingle: int, num: int, den: int) -> DataFram
         for doc, key, text in it:
             s = shingler(text)
             n = len(s)
-            yield doc, key, set_id(s), n, first_elements(s, prefix_size(n, num, den) if n else 0, heavy, counts), parity(s), s if n <= SMALL else None
+            yield doc, key, set_id(s), n, first_elements(s, prefix_size(n, num, den) if n else 0, heavy, counts), parity(s), parity(s, WIDE) if n >= BIG else None, s if n <= SMALL else None
 
     keyed = documents.select("doc_id", fetch_key(), "text")
-    return map_rows(keyed, ["doc_id", "fetch_key", "text"], "doc_id long, fetch_key long, set_id long, n int, first array<long>, bits array<long>, whole array<long>", rows)
+    return map_rows(keyed, ["doc_id", "fetch_key", "text"], "doc_id long, fetch_key long, set_id long, n int, first array<long>, bits array<long>, wide array<long>, whole array<long>", rows)
 
 
 def _subset_keys(classes: DataFrame, below: int, num: int, den: int) -> DataFrame:
@@ -211,7 +213,7 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
     documents = documents.select("doc_id", "text")
     full = written(sketched(documents, shingle, num, den), "sketched")
     docs = written(full.select("doc_id", "set_id", "n"), "documents")
-    firsts = [F.min("doc_id").alias("rep"), F.min("fetch_key").alias("fetch_key"), *(F.first(c).alias(c) for c in ("first", "bits", "whole"))]
+    firsts = [F.min("doc_id").alias("rep"), F.min("fetch_key").alias("fetch_key"), *(F.first(c).alias(c) for c in ("first", "bits", "wide", "whole"))]
     every = written(full.where("n > 0").groupBy("set_id", "n").agg(*firsts), "classes")
     dropped(full)
     entries = every.select("set_id", "n", F.posexplode("first").alias("place", "key"))
@@ -221,14 +223,15 @@ def join_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, de
     subsets = _subset_keys(every, below, num, den)
     often = subsets.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     small = written(subsets.join(often, "key", "left_semi").select("key", F.lit(True).alias("kind"), "set_id", "n", "place"), "subsets")
-    classes = written(every.select("set_id", "n", "rep", "fetch_key", "bits"), "classes")
+    classes = written(every.select("set_id", "n", "rep", "fetch_key", "bits", "wide"), "classes")
     dropped(every)
     # sets that are both small meet under their subsets alone
     meet = F.col("x.kind") | (F.greatest("x.n", "y.n") >= below)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"), F.col("fetch_key").alias(f"k{x}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").where(near_enough("ba", "bb", F.col("na"), F.col("nb"), num, den))
+        side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"), F.col("wide").alias(f"w{x}"), F.col("fetch_key").alias(f"k{x}"))
+        n, m = F.col("na"), F.col("nb")
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where(near_enough("ba", "bb", n, m, num, den) & near_enough("wa", "wb", n, m, num, den, WIDE))
         met = written(met.select("a", "b", "ka", "kb"), "pairs")
         keys = written(met.select(F.explode(F.array("ka", "kb")).alias("fetch_key")).distinct(), "fetch")
         sets = written(fetched(documents, keys, shingle), "sets")

@@ -29,11 +29,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import dropped, map_rows, table, written
+from .common import ROWS_AT_ONCE, dropped, map_rows, table, written
 from .groups import parity, similar_groups
 from .ngram_join import LOWER, decided, fetch_key, semi
 
@@ -66,10 +69,11 @@ class Words:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
+        try:
+            return np.array([known[w] for w in words], np.uint64)
+        except KeyError:
+            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) if w not in known)
+            return np.array([known[w] for w in words], np.uint64)
 
 
 def shingles(code: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -117,22 +121,22 @@ class Units:
         #: First and last word (exclusive) of the paragraphs.
         self.lines = [(a, b) for a, b in zip([0, *ends], [*ends, len(first)], strict=True) if b - a >= LEAST]
 
-    def paragraphs(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """Start, end, id, hashes of shingles."""
+        self.alone = len(np.unique(self.grams)) == len(self.grams)
+
+    def paragraphs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Id, hashes of shingles."""
         for a, b in self.lines:
-            yield int(self.start[a]), int(self.end[b - 1]), _hash(self.code[a:b]), self.grams[a : b - SHINGLE + 1]
+            yield _hash(self.code[a:b]), self.grams[a : b - SHINGLE + 1]
 
-    def windows(self) -> Iterator[tuple[int, int, int]]:
-        """Start, end, id."""
-        n = len(self.code) - WINDOW + 1
-        if n < 1:
-            return
+    def windows(self) -> tuple[list[int], np.ndarray]:
+        """First words, ids."""
+        n = max(0, len(self.code) - WINDOW + 1)
         mixed = np.zeros(n, np.uint64)
-        for k in range(0, WINDOW, SHINGLE):
+        for k in range(0, WINDOW if n else 0, SHINGLE):
             mixed = (mixed + self.grams[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(31)
-        for k in winnowed(mixed):
-            yield int(self.start[k]), int(self.end[k + WINDOW - 1]), int(mixed[k].astype(np.int64))
+        at = winnowed(mixed)
+        return at, mixed[at].view(np.int64)
 
 
 def band_keys(parts: list[np.ndarray]) -> np.ndarray:
@@ -147,28 +151,52 @@ def band_keys(parts: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def units(documents: DataFrame) -> DataFrame:
-    """doc_id, fetch_key, and units: start, end, inner (a window), set_id; n (shingles) and keys of paragraphs."""
+UNITS = "doc_id long, row long, fetch_key long, inner boolean, start int, end int, set_id long, n int, keys array<long>"
 
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
+
+def units(documents: DataFrame) -> DataFrame:
+    """A row for each unit: of which row, inner (a window), start, end, set_id; n (shingles) and keys of paragraphs. A row without units has one of nulls."""
+    schema = to_arrow_schema(StructType.fromDDL(UNITS))
+
+    def of(part: pa.RecordBatch, codes: Words) -> pa.RecordBatch:
+        owner, inner, start, end, ids, n, grams = ([] for _ in range(7))
+        for k, text in enumerate(part.column("text").to_pylist()):
+            u = Units(text, codes)
+            at, window_ids = u.windows()
+            whole = list(u.paragraphs())
+            a, b = np.array(u.lines, np.int64).reshape(-1, 2).T
+            at = np.array(at, np.int64)
+            owner.append(np.full(len(a) + len(at), k))
+            inner.append(np.arange(len(a) + len(at)) >= len(a))
+            start.append(u.start[np.concatenate([a, at])])
+            end.append(u.end[np.concatenate([b - 1, at + WINDOW - 1])])
+            ids += [np.array([i for i, _ in whole], np.int64), window_ids]
+            n += [len(g) if u.alone else len(np.unique(g)) for _, g in whole]
+            n += [0] * len(at)
+            grams += [g for _, g in whole]
+        owner, inner = np.concatenate(owner), np.concatenate(inner)
+        outer = ~inner
+        banded = band_keys(grams) if grams else np.empty((0, BANDS), np.int64)
+        keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(outer * BANDS)]).astype(np.int32), pa.int32()), pa.array(banded.ravel(), pa.int64()))
+        bare = np.setdiff1d(np.arange(part.num_rows), owner)
+        held = [part.column(c).take(pa.array(np.concatenate([owner, bare]))) for c in ("doc_id", "row", "fetch_key")]
+        found = [pa.array(inner), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (start, end)), pa.array(np.concatenate(ids)), pa.array(np.array(n, np.int32)), keys]
+        return pa.RecordBatch.from_arrays([*held, *(pa.concat_arrays([x.cast(f.type), pa.nulls(len(bare), f.type)]) for x, f in zip(found, list(schema)[3:], strict=True))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Words()
-        for doc, fetch, text in it:
-            found = Units(text, codes)
-            whole = list(found.paragraphs())
-            alone = len(np.unique(found.grams)) == len(found.grams)
-            keys = band_keys([g for *_, g in whole]) if whole else []
-            outer = [{"start": a, "end": b, "inner": False, "set_id": i, "n": len(g) if alone else len(np.unique(g)), "keys": k} for (a, b, i, g), k in zip(whole, keys, strict=True)]
-            yield doc, fetch, outer + [{"start": a, "end": b, "inner": True, "set_id": i, "n": 0, "keys": None} for a, b, i in found.windows()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield of(batch.slice(at, ROWS_AT_ONCE), codes)
 
-    keyed = documents.select("doc_id", fetch_key(), "text")
-    return map_rows(keyed, ["doc_id", "fetch_key", "text"], "doc_id long, fetch_key long, units array<struct<start:int,end:int,inner:boolean,set_id:long,n:int,keys:array<long>>>", rows)
+    return documents.select("doc_id", F.monotonically_increasing_id().alias("row"), fetch_key(), "text").mapInArrow(run, UNITS)
 
 
 def repeated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows: doc_id and row, a number of its own. Units that occur twice or more: doc_id, row, start, end, inner, component, first (the doc_id where the component stands first), keep."""
     documents = documents.select("doc_id", "text")
-    nested = written(units(documents).withColumn("row", F.monotonically_increasing_id()), "units")
-    every = nested.select("doc_id", "row", "fetch_key", F.explode("units").alias("u")).select("doc_id", "row", "fetch_key", "u.*")
+    every = written(units(documents), "units")
+    rows = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"))
     outer = every.where("not inner")
     classes = written(outer.groupBy("set_id").agg(F.first("n").alias("n"), F.min("fetch_key").alias("fetch_key"), F.first("keys").alias("keys")), "classes")
     entries = classes.select("set_id", "n", F.explode("keys").alias("key"))
@@ -178,7 +206,7 @@ def repeated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     def fetch(it: Iterator[tuple]) -> Iterator[tuple]:
         codes = Words()
         for (text,) in it:
-            for _, _, i, grams in Units(text, codes).paragraphs():
+            for i, grams in Units(text, codes).paragraphs():
                 found = np.unique(grams)
                 yield i, found.view(np.int64), parity(found)
 
@@ -220,7 +248,7 @@ def repeated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = placed.groupBy("component", "inner").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "start")).alias("f")).where("times > 1")
     met = twice.join(placed, ["component", "inner"])
     found = met.select("doc_id", "row", "start", "end", "inner", "component", F.col("f.doc_id").alias("first"), ((F.col("row") == F.col("f.row")) & (F.col("start") == F.col("f.start"))).alias("keep"))
-    return nested.select("doc_id", "row"), written(found, "repeated")
+    return rows, written(found, "repeated")
 
 
 def dedup_documents(documents: DataFrame) -> DataFrame:
