@@ -15,5 +15,6 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
 }

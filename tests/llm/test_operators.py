@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -155,9 +156,40 @@ def test_quality_rules(docs, none):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(hit))
         assert r["base_failed"] == (len(w) < 10 or 100 * len(hit) > 20 * len(w))
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r["n_symbols"], r["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in t or ""), sum(x in lines[:k] for k, x in enumerate(lines)))
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_line_limits_against_brute_force(spark):
+    """Every verdict on small and hot hosts, with copies, cases and digits that fold, null hosts and repeated ids."""
+    rng = random.Random(4)
+    common = ["Page 1 of 9 of this fine site", "all rights are reserved here", "read more | next"]
+    rows = []
+    for k in range(900):
+        own = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(4))]
+        if rng.random() < 0.3:
+            own += [rng.choice(common).replace("1", str(k)), *([rng.choice(common).upper()] if rng.random() < 0.5 else [])]
+        rows.append((k // 2, "\n".join(own), "hot" if k < 700 else None if k < 800 else f"h{k % 7}"))
+    rows += rows[:50] * 3
+    fold = lambda x: " ".join(re.sub("[0-9]+", "0", x.lower()).split())
+    docs, have = {}, {}
+    for _, t, h in rows:
+        docs.setdefault(h, set()).add(t)
+        for x in t.split("\n"):
+            have.setdefault((h, fold(x)), set()).add(t)
+    want = []
+    for i, t, h in rows:
+        n, left = len(t.split()), 0
+        for x in t.split("\n"):
+            c = len(have[h, fold(x)])
+            left += 0 if c >= 3 and c > 0.01 * len(docs[h]) else len(x.split())
+        want.append((i, n, left, left < 0.3 * n))
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["words_left"], r["depleted"]) for r in got) == sorted(want)
+    assert all(r["kept"] == (not r["base_failed"] and not r["depleted"]) for r in got) and 10 < sum(r["depleted"] and not r["base_failed"] for r in got)
+
+
 def test_shared_lines_deplete(spark):
     line = "all rights reserved by the owners of this site"
     rows = [(k, f"{line}\n{prose(20)}", "h") for k in range(30)] + [(100 + k, f"{line} {k}\n{prose(2)}", "h") for k in range(30)]
@@ -304,6 +336,28 @@ def test_token_counts(docs, none):
     assert token_counts.count_tokens(none).count() == 0
 
 
+def test_token_counts_without_white_space():
+    """As the library counts them, at any chunk size, and in time that grows with the text."""
+    c = token_counts.counter(public_tokenizers.path(token_counts.VOCABULARY))
+    rng = random.Random(8)
+    signs = ["ab", "don't", "'s", "!'s", "İ", "e\u0301", "e", "9", "42", ",", "''", "日本", "，", "ß", "\u0301", "😀", "K", "ŉ"]
+    for _ in range(150):
+        t = "".join(rng.choice(signs) for _ in range(rng.randrange(200)))
+        for chunk, overlap in ((40, 5), (17, 16), (90, 30)):
+            assert c.long(t, chunk, overlap) == len(c.starts(t))
+    began = time.time()
+    for t in ("x" * 400_000, "語" * 400_000, "一二三，" * 100_000, "ab1" * 130_000):
+        assert c.long(t) == len(c.starts(t))
+    assert time.time() - began < 60
+
+
+def test_token_counts_of_another_vocabulary():
+    c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not c.proven
+    texts = ["a b  c", "don't", ""]
+    assert c.short(texts) == [len(c.starts(t)) for t in texts] == [c.long(t, 2, 1) for t in texts]
+
+
 def test_byte_bpe(docs, none):
     tiktoken = pytest.importorskip("tiktoken")
     codec = bpe.codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
