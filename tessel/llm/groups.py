@@ -25,7 +25,7 @@ from .components import components
 
 KEYS = ["key", "kind"]
 #: 64-bit words of a parity sketch.
-LANES = 8
+LANES = 4
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ HEAVY, OFTEN, LOT = 1 << 18, 8, 1_000_000
 #: Sets up to this size may be small; beyond, the number of subsets explodes.
 SMALL, IDS, KEPT_WORDS = 30, 2_000_000, 150_000
 #: Sets from this size on also have a sketch of so many 64-bit words.
-BIG, WIDE = 700, 64
+BIG, WIDE = 600, 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
