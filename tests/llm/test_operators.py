@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -422,8 +423,38 @@ def test_pii_gates_are_implied(spark):
     assert all([(x["s"], x["e"]) for x in got[k][f"cand_{kind}"]] == [(0, len(t))] for k, (kind, t) in enumerate(forms.items()))
 
 
+def test_added_spans_on_planted_forms(spark):
+    """Forms that no base rule knows, in documents of their own: recall and precision of what the trees add."""
+    rng = random.Random(6)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    upper = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    rows, planted = [], {}
+    for k in range(1500):
+        kind = k % 10
+        plain = {0: f"a{k}@host{k % 9}.com", 1: f"+1 743 555 {1000 + k}", 2: "", 3: f"password={hexes(18)}", 4: f'token = "{hexes(40)}"', 5: f"AKIA{upper(16)}"}.get(kind, "")
+        odd, span = {6: ("email", f"b{k} (at) host{k % 9} (dot) com"), 7: ("phone", f"743 555 {1000 + k}"), 8: ("secret", hexes(40)), 9: ("secret", hexes(18))}.get(kind, ("", "")) if k % 210 < 10 else ("", "")
+        text = f"{prose(8)} {plain or span} {prose(8)}"
+        rows.append((k, text))
+        if odd:
+            planted[k] = f"{odd}:{text.index(span)}:{text.index(span) + len(span)}"
+    rows += [(5000 + k, f"{prose(5)} chapter 12 of item-7 version 3.2 {prose(5)}") for k in range(200)]
+    got = {r["doc_id"]: r for r in pii.digests(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    found = {k: set(filter(None, r["spans"].split(","))) for k, r in got.items()}
+    by = {}
+    for k, span in planted.items():
+        by.setdefault(span.split(":")[0], []).append(span in found[k])
+    assert set(by) == {"email", "phone", "secret"} and all(sum(x) >= 0.9 * len(x) for x in by.values()), by
+    assert all(got[k]["n_secret"] == 1 for k in range(1500) if k % 10 in (3, 4, 5))
+    assert not any(found[k] for k in found if k >= 5000 or k % 10 == 2 or (k % 10 > 5 and k not in planted))
+    assert {r["text"].split()[8] for r in pii.redact(spark.createDataFrame([(k, t) for k, t in rows if k < 1500 and k % 10 == 5], "doc_id long, text string")).collect()} == {"<SECRET>"}
+
+
+def test_counts_of_patterns_are_bounded():
+    assert sum(math.prod(pii.RANGES[f] for f in fs) for fs in pii.FEATURES.values()) < 55_000
+
+
 def test_trees_and_threshold():
-    counts = {tuple(int(k == f) for f in range(len(pii.FEATURES))): (100, 100 if k == 2 else 0) for k in range(4)}
+    counts = {tuple(int(k == f) for f in range(6)): (100, 100 if k == 2 else 0) for k in range(4)}
     trees = pii.boost(counts)
     least = pii.threshold(counts, trees)
     assert [x for x in counts if sum(pii._value(t, x) for t in trees) >= least] == [x for x in counts if x[2]]
