@@ -12,20 +12,28 @@ STEM_PASSES = 3
 STOP_WORDS = "a an and are as at be by for from had has have he her his i in is it its of on or our she that the their them they this those these to was we were will with you your".split()
 
 
-def stem_once(word: Column) -> Column:
-    """One pass of the suffix rules; words of up to three characters, and words in -ss for the last rule, stay."""
-    out = word
-    for suffix, least, drop, add in reversed(STEM_RULES):
-        fits = word.endswith(suffix) & (F.length(word) >= least)
-        if suffix == "s":
-            fits = fits & ~word.endswith("ss")
-        out = F.when(fits, F.concat(F.substr(word, F.lit(1), F.length(word) - drop), F.lit(add))).otherwise(out)
-    return F.when(F.length(word) <= 3, word).otherwise(out)
+#: Stands for an added "y" until the pass is over, so that no later rule of the pass sees it.
+HELD = "\x01"
 
 
-def stem(word: Column) -> Column:
-    """The rules, up to three passes."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEM_PASSES)), word, lambda w, _: stem_once(w))
+def _pass_patterns() -> tuple[str, str]:
+    """Patterns of one pass over words between single spaces: the rule that adds text, and those that only drop."""
+    word = lambda suffix, least: f"([^ ]{{{least - len(suffix)},}})"
+    (first, n, _, _), *others, (last, m, _, _) = STEM_RULES
+    drops = "|".join(f"{word(s, k)}{s}" for s, k, _, _ in others)
+    return f"(?<![^ ]){word(first, n)}{first}(?![^ ])", f"(?<![^ ])(?:{drops}|([^ ]{{{m - 2},}}[^s ]){last})(?![^ ])"
+
+
+def stem(words: Column) -> Column:
+    """The rules, up to three passes, on each of the words that single spaces part.
+
+    Each pass is two replacements over the whole string, in compiled code: no call for a word, no array.
+    """
+    adds, drops = _pass_patterns()
+    kept = "".join(f"${k}" for k in range(1, len(STEM_RULES)))
+    for _ in range(STEM_PASSES):
+        words = F.translate(F.regexp_replace(F.regexp_replace(words, adds, f"$1{HELD}"), drops, kept), HELD, STEM_RULES[0][3])
+    return words
 
 
 def tokens(text: Column) -> Column:
@@ -35,8 +43,8 @@ def tokens(text: Column) -> Column:
 
 def stems(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Stemmed tokens in order, without one-letter ones and without stems of stop words."""
-    out = F.filter(F.transform(tokens(text), stem), lambda w: F.length(w) > 1)
-    return F.filter(out, lambda w: ~w.isin(*sorted({stem_text(s) for s in stop})))
+    words = F.split(stem(F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " "))), " ")
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*sorted({stem_text(s) for s in stop})))
 
 
 def stem_text(word: str) -> str:
@@ -55,9 +63,8 @@ def stem_text(word: str) -> str:
 
 def analyse(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Unigrams, then bigrams over what is left after stop words are gone."""
-    one = stems(text, stop)
-    pairs = F.when(F.size(one) > 1, F.zip_with(F.slice(one, F.lit(1), F.size(one) - 1), F.slice(one, F.lit(2), F.size(one) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(one, pairs)
+    pairs = lambda one: F.when(F.size(one) > 1, F.zip_with(F.slice(one, F.lit(1), F.size(one) - 1), F.slice(one, F.lit(2), F.size(one) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(stems(text, stop)), lambda one: F.concat(one, pairs(one))), F.lit(0))  # the stems are worked out once
 
 
 def clean_text(text: Column, drop_lines: list[str], most_blank: int = 1) -> Column:

@@ -77,8 +77,7 @@ def first_ranks(expected: DataFrame, hits: DataFrame) -> DataFrame:
 
 def upper_median(values: str) -> Column:
     """The upper middle element of the values that aren't null."""
-    xs = F.array_sort(F.collect_list(values))
-    return F.get(xs, (F.size(xs) / 2).cast("int"))
+    return F.expr(f"percentile_disc(0.5) within group (order by {values} desc)").cast("int")  # counts by value, no list of all
 
 
 def grouped_means(metrics: DataFrame, sets: list[str], columns: list[str]) -> DataFrame:
@@ -142,7 +141,8 @@ def length_histogram(chunks: DataFrame, by: str, cap: int, bins: int = 5) -> Dat
 def coverage(texts: DataFrame, sources: DataFrame, shingle: Column, agree: float = 0.85, large: float = 0.55) -> DataFrame:
     """id, share of the text's shingles that stand in another source, verdict. sources: shingles as `sh`."""
     own = texts.select("id", F.explode(shingle).alias("sh"))
-    met = own.join(sources.select("sh").distinct().withColumn("there", F.lit(1)), "sh", "left").groupBy("id").agg(F.round(F.count("there") / F.count("*"), 6).alias("share"))
+    wanted = sources.select("sh").join(own.select("sh").distinct(), "sh", "left_semi")  # before anything is shuffled, where the texts are few
+    met = own.join(wanted.distinct().withColumn("there", F.lit(1)), "sh", "left").groupBy("id").agg(F.round(F.count("there") / F.count("*"), 6).alias("share"))
     return met.withColumn("verdict", F.when(F.col("share") >= agree, "agree").when(F.col("share") < large, "large").otherwise("partial"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, analyse
@@ -10,7 +10,8 @@ from ..functions.text import STOP_WORDS, analyse
 
 def term_counts(chunks: DataFrame, keys: list[str], text: str = "text", stop: list[str] = STOP_WORDS) -> DataFrame:
     """keys, term, tf. Terms are counted where they arise, before any shuffle, by partial aggregation."""
-    return chunks.select(*keys, F.explode(analyse(F.col(text), stop)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    terms = chunks.select(*keys, F.explode_outer(analyse(F.col(text), stop)).alias("term"))  # explode() would have a filter inferred that analyses each text again
+    return terms.where("term is not null").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, chunks: DataFrame, collection: str = "collection") -> DataFrame:
@@ -23,8 +24,8 @@ def vocabulary(counts: DataFrame, chunks: DataFrame, collection: str = "collecti
 def weighted(counts: DataFrame, vocab: DataFrame, keys: list[str], collection: str = "collection") -> DataFrame:
     """keys, term, weight: tf * idf, each row of keys of length 1. Terms outside the vocabulary vanish before that."""
     w = counts.join(vocab.select(collection, "term", "idf"), [collection, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))  # one shuffle by keys; keys have as many rows as terms
+    return w.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
 def corpus_digest(chunks: DataFrame, order: list[str], fields: list[str], block: Column) -> DataFrame:

@@ -27,9 +27,15 @@ def query(name: str, sql: str | None = None):
     return take
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its files give fewer (a row group is never split); larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def line_chunks(t) -> DataFrame:
     """collection, chunk_ord, doc_id, ix, text: the lines of documents that aren't empty."""
-    d = t("documents").select(F.col("lang").alias("collection"), "doc_id", F.posexplode(lines(F.col("text"))).alias("ix", "text"))
+    d = spread(t("documents").select("lang", "doc_id", "text")).select(F.col("lang").alias("collection"), "doc_id", F.posexplode(lines(F.col("text"))).alias("ix", "text"))
     return d.where("text <> ''").withColumn("chunk_ord", F.col("doc_id") * 100000 + F.col("ix"))
 
 
@@ -40,7 +46,7 @@ LINE_CHUNKS = """line_chunks AS (
 
 def pages(t) -> DataFrame:
     """doc_key, page_ord, body: ten documents in a row are the pages of one."""
-    return t("documents").select(F.expr("doc_id div 10").alias("doc_key"), (F.col("doc_id") % 10).cast("int").alias("page_ord"), F.col("text").alias("body"))
+    return spread(t("documents").select("doc_id", "text")).select(F.expr("doc_id div 10").alias("doc_key"), (F.col("doc_id") % 10).cast("int").alias("page_ord"), F.col("text").alias("body"))
 
 
 PAGES = "pages_ AS (SELECT doc_id // 10 AS doc_key, CAST(doc_id % 10 AS INT) AS page_ord, text AS body FROM documents)"
