@@ -61,13 +61,6 @@ def r13(t):
     return expand.key_collisions(keys.withColumn("is_phrase", F.lit(False)))
 
 
-@query("r14_gated_expansion")
-def r14(t):
-    index = search.Index(line_chunks(t))
-    more = search.top_k(expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents")))), index, 4)
-    return search.gate_expansion(search.top_k(queries_(t), index, 4), more, FLOOR).select("query_id", "collection", "chunk_ord", "score", "arm")
-
-
 @query("r15_nearest_vectors", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT 'w' || a.vec_id AS word, 'w' || b.vec_id AS target, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine FROM e a, e b WHERE a.label >= 5 AND b.label < 5)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY cosine DESC, target) AS rank FROM p WHERE cosine >= 0.1) WHERE rank <= 2""")
 def r15(t):
@@ -82,12 +75,6 @@ def r16(t):
     return expand.unreached(queries_(t), vocab, bridge_of_sql(t))
 
 
-@query("r19_effective_query")
-def r19(t):
-    wide = expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents"))))
-    return wide.select("query_id", "text", (F.length("text") > 0).alias("scored"))
-
-
 def tagged(t):
     """Answers made of excerpts of the hits and their tags, every third with a number that wasn't retrieved."""
     h = merged(t).where("pos <= 2").select("query_id", "pos", "collection", F.expr("chunk_ord div 100000").alias("num"))

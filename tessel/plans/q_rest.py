@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -10,7 +12,8 @@ from ..streaming import signal
 from .base import LINE_CHUNKS, line_chunks, pages, query
 from .q_evaluate import expected
 from .q_search import FLOOR, HITS, hits, merged, orders
-from .q_turns import turns
+from .q_text import PAIRS
+from .q_turns import CARRIED, turns
 
 
 def headed(t):
@@ -76,7 +79,13 @@ def e14(t):
     return back.join(ok, ["query_id", "collection"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("ok", F.lit(0.0))), 6).alias("reverse_rel"))
 
 
-@query("e25_multi_turn_arms")
+#: The turns' own CTEs under names that HITS doesn't have.
+SAID = re.sub(r"\bturns\b", "said_turns", CARRIED).replace("WITH said_turns", "said_turns", 1).replace("FROM conversations)", "FROM conversations WHERE role = 'user')", 1)
+TURN_ARMS = HITS.replace("bench AS (SELECT item_id AS query_id, text FROM benchmark)", f"""{SAID},
+  bench AS (SELECT conv_id || '.' || turn || '/naive' AS query_id, text FROM decided UNION ALL SELECT conv_id || '.' || turn || '/context', CASE WHEN reason IN ('pronoun', 'thin', 'marker') THEN text || ' ' || text || ' ' || array_to_string(win, ' ') ELSE text END FROM decided)""")
+
+
+@query("e25_multi_turn_arms", f"{TURN_ARMS} SELECT split_part(query_id, '/', 1) AS turn_id, split_part(query_id, '/', 2) AS arm, count(*) AS n, max(score) AS top FROM hits WHERE rank <= 3 GROUP BY 1, 2")
 def e25(t):
     """User turns as they stand and with their context: hits and best score of either arm."""
     said = turns(t).where("role = 'user'").select("conv_id", "turn", "text")
@@ -109,7 +118,7 @@ def a12(t):
     return t("documents").where("doc_id < 40").select(F.col("doc_id").alias("num")).join(own, "num", "left").select("num", (F.coalesce("n", F.lit(0)) >= 3).alias("survives"))
 
 
-@query("a14_clean_source_gate")
+@query("a14_clean_source_gate", f"{PAIRS} SELECT count(*) AS pairs, CAST(coalesce(sum(CAST(duplicate AS INT)), 0) AS BIGINT) AS duplicates, coalesce(sum(CAST(duplicate AS INT)), 0) = 0 AS clean FROM judged")
 def a14(t):
     pairs = dedupe.page_pairs(pages(t))
     return pairs.agg(F.count("*").alias("pairs"), F.sum(F.col("duplicate").cast("long")).alias("duplicates")).withColumn("clean", F.col("duplicates") == 0)

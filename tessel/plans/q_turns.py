@@ -217,9 +217,10 @@ def v2(t):
     return turns(t).select("conv_id", "turn", converse.leading_marker(F.col("text")).alias("marker"))
 
 
+AUX = ", ".join(f"'{w}'" for w in converse.AUXILIARIES)
 PRO = ", ".join(f"'{w}'" for w in converse.PRONOUNS)
 UNBOUND = f"""pt AS (SELECT *, lag(tok) OVER w AS prev, lead(tok) OVER w AS nxt FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM turns) WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
-  pf AS (SELECT conv_id, turn, tok, min(i) AS i FROM pt WHERE tok IN ({PRO}) AND NOT (tok = 'that' AND coalesce(prev NOT IN ({STOPS}) AND length(prev) > 1, false) AND coalesce(nxt IN ('is', 'can', 'will', 'was'), false)) GROUP BY 1, 2, 3),
+  pf AS (SELECT conv_id, turn, tok, min(i) AS i FROM pt WHERE tok IN ({PRO}) AND NOT (tok = 'that' AND coalesce(prev NOT IN ({STOPS}) AND length(prev) > 1, false) AND coalesce(nxt IN ({AUX}), false)) GROUP BY 1, 2, 3),
   up AS (SELECT conv_id, turn, string_agg(tok, ',' ORDER BY i) AS pronouns FROM pf GROUP BY 1, 2)"""
 
 
