@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from tessel.llm.common import written
 from tessel.llm import bpe, components, decontaminate, groups, html_extract, ngram_join, pii, quality_classifier, quality_rules, registry, substring_dedup, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
@@ -479,3 +480,30 @@ def test_host_boilerplate_goes():
 def test_registered_queries_run_on_the_smallest_tables(spark):
     for name in ("op2_quality_rules", "op6_decontaminate", "op8_html_extract"):
         assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_pipeline_on_odd_rows_and_none(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, extra columns: each stage against a plain version of itself."""
+    rows = [(i, t, "en", "s", len(t or ""), "clash", 1) for i, t in ODD] + [(200 + k, prose(12) + (" scum scum idiot" if k % 3 == 0 else ""), "en", "s", 1, "", 2) for k in range(60)]
+    rows += [(500, "before it " + BASE.replace("t", "tt") + " and after", "en", "s", 1, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rep string, n int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int((k - 200) % 3 == 0)) for k in range(200, 260)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(BASE.replace("t", "tt").split()[5:25])), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, docs = str(tmp_path), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, docs.where("false"), at)
+        assert empty.columns == docs.columns and empty.count() == 0
+        docs = written(stage(spark, docs, at), f"test-{name}")
+        assert docs.schema.simpleString() == spark.read.parquet(f"{at}/documents.parquet").schema.simpleString()
+        left.append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.select("doc_id").collect()))
+    toxic, near, clean, redacted = left
+    gone = {(False, 200 + k) for k in range(0, 60, 3)}
+    assert len(set(toxic) & gone) <= 2 and len(toxic) >= len(rows) - len(gone) - 2
+    assert (False, 2) not in near and (False, 8) not in near and {(False, 1), (False, 4), (False, 5), (False, 500), (True, 0)} <= set(near)
+    assert (False, 500) not in clean and len(clean) == len(near) - 1 and redacted == clean
+    assert "<EMAIL>" in docs.where("doc_id = 13").first()["text"]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()
+    want = {(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect()}
+    assert {(r["doc_id"], r["decoded_sha256"]) for r in out} == want and len(out) == len(redacted)
