@@ -477,6 +477,38 @@ def test_host_boilerplate_goes():
     assert all(t == p[1][0] for t, p in zip(html_extract.main_texts(pages), pages, strict=True))
 
 
+def test_covered_runs_against_brute_force():
+    """The suffix order finds, for each token, the most pages that share a run over it."""
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        n, run = int(rng.integers(1, 90)), int(rng.integers(2, 9))
+        tokens, page = rng.integers(0, 3, n), np.sort(rng.integers(0, 6, n))
+        pages: dict = {}
+        for k in range(n - run + 1):
+            if page[k] == page[k + run - 1]:
+                pages.setdefault(tuple(tokens[k : k + run]), set()).add(page[k])
+        want = np.zeros(n, int)
+        for k in range(n - run + 1):
+            m = len(pages.get(tuple(tokens[k : k + run]), ())) if page[k] == page[k + run - 1] else 0
+            want[k : k + run] = np.maximum(want[k : k + run], m if m > 1 else 0)
+        assert html_extract.covered(tokens, page, run).tolist() == want.tolist()
+
+
+def test_html_of_neutral_names_copies_and_odd_rows(spark, monkeypatch):
+    """Boilerplate that only repetition shows goes on a host of several groups; copies are spread; odd rows are defined."""
+    monkeypatch.setattr(html_extract, "BLOCK_PAGES", 40)
+    frame = "<div class='x1'>Read all of our best stories each day right here with us</div>"
+    bodies = [prose(40, [f"{a}{b}" for a in WORDS for b in "xyz"]) for _ in range(120)]
+    rows = [(k, f"http://h.example/{k}", f"<body>{frame}<div class='x2'><p>{b}</p></div></body>") for k, b in enumerate(bodies)]
+    rows += [(1000 + k, f"http://h.example/copy{k}", rows[0][2]) for k in range(200)]
+    rows += [(None, None, None), (7, "http://o.example/", "<p>" + "long words here " * 50_000), (8, "", "   ")]
+    d = spark.createDataFrame([(*r, "clash", 0) for r in rows], "page_id long, url string, html string, host string, part int").repartition(3)
+    got = {(r["page_id"], r["url"]): r["text"] for r in html_extract.extract(d).collect()}
+    assert all(got[k, f"http://h.example/{k}"] == b for k, b in enumerate(bodies)) and all(got[1000 + k, f"http://h.example/copy{k}"] == bodies[0] for k in range(200))
+    assert got[None, None] == got[8, ""] == "" and len(got[7, "http://o.example/"].split()) == 150_000
+    assert html_extract.extract(d.where("false")).count() == 0
+
+
 def test_registered_queries_run_on_the_smallest_tables(spark):
     for name in ("op2_quality_rules", "op6_decontaminate", "op8_html_extract"):
         assert registry.QUERIES[name](spark, DATA).count() > 0
