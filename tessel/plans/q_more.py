@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import stem_text, tokens
 from ..operators import answers, evaluate, expand, layout, search
 from .base import LINE_CHUNKS, PAGES, line_chunks, pages, query, stem_case
 from .q_evaluate import EXPECTED, expected, found
@@ -29,7 +29,16 @@ def r10(t):
     return queries_(t).select("query_id", F.size(expand.surface_forms(F.col("text"))).cast("long").alias("n_forms"))
 
 
-@query("r11_synonym_expansion")
+FORMS = f"""w AS (SELECT query_id, unnest(raw) AS w FROM low), s0 AS (SELECT query_id, w, w AS s FROM w), s1 AS (SELECT query_id, w, {stem_case('s')} AS s FROM s0), s2 AS (SELECT query_id, w, {stem_case('s')} AS s FROM s1), s3 AS (SELECT query_id, w, {stem_case('s')} AS s FROM s2),
+  forms AS (SELECT DISTINCT query_id, form FROM (SELECT query_id, w AS form FROM s3 UNION ALL SELECT query_id, s FROM s3 UNION ALL SELECT query_id, left(w, length(w) - 2) FROM s3 WHERE regexp_matches(w, '(s|x|z|ch|sh)es$') UNION ALL SELECT query_id, left(w, length(w) - 1) FROM s3 WHERE w LIKE '%s' AND length(w) > 2))"""
+KEYS = "keys AS (SELECT * FROM (VALUES " + ", ".join(f"('{key}', '{stem_text(key)}', {phrase}, {terms}, {ord_})" for key, phrase, terms, ord_ in SYN) + ") v(key, key_stem, is_phrase, terms, key_ord))"
+
+
+@query("r11_synonym_expansion", f"""WITH {LOW}, {FORMS}, {KEYS},
+  met AS (SELECT query_id, 0 AS part, key_ord, terms FROM low JOIN keys ON is_phrase AND contains(low, key) UNION ALL SELECT DISTINCT query_id, 1, key_ord, terms FROM forms JOIN keys ON NOT is_phrase AND (form = key OR form = key_stem)),
+  each AS (SELECT query_id, part * 10000 + key_ord * 100 + generate_subscripts(terms, 1) AS place, unnest(terms) AS term FROM met),
+  added AS (SELECT query_id, string_agg(term, ' ' ORDER BY place) AS terms FROM (SELECT query_id, term, min(place) AS place FROM each GROUP BY 1, 2) GROUP BY 1)
+SELECT query_id, CASE WHEN terms IS NULL THEN text ELSE text || ' ' || terms END AS text FROM low LEFT JOIN added USING (query_id)""")
 def r11(t):
     return expand.expanded(queries_(t), expand.synonym_terms(queries_(t), synonyms(t)))
 
@@ -247,17 +256,24 @@ def l5(t):
     return layout.contents_gate(layout.contents(led(t)), want)
 
 
-@query("l7_anchors")
+ANCHORS = rf"""WITH RECURSIVE {LED}, numbered AS (SELECT doc, ord, TRY_CAST(regexp_extract(text, '^\s*([0-9]{{1,6}})\b', 1) AS INT) AS num FROM led),
+  steps AS (SELECT a.doc, a.num, a.ord, min(b.ord) AS next_ord FROM numbered a LEFT JOIN numbered b ON b.doc = a.doc AND b.num = a.num + 1 AND b.ord > a.ord WHERE a.num IS NOT NULL GROUP BY ALL),
+  anchors AS (SELECT doc, num, ord, next_ord FROM steps WHERE num = 1 AND ord = (SELECT min(ord) FROM numbered n WHERE n.doc = steps.doc AND n.num = 1)
+    UNION ALL SELECT s.doc, s.num, s.ord, s.next_ord FROM anchors a JOIN steps s ON s.doc = a.doc AND s.ord = a.next_ord)"""
+
+
+@query("l7_anchors", f"{ANCHORS} SELECT doc, num, ord FROM anchors")
 def l7(t):
     return layout.anchors(led(t))
 
 
-@query("l8_spans")
+@query("l8_spans", f"""{ANCHORS}, met AS (SELECT doc, ord, text, last_value(num IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord) AS num FROM led LEFT JOIN (SELECT doc, ord, num FROM anchors) USING (doc, ord))
+SELECT doc, num, count(*) AS n_rows, string_agg(text, chr(10) ORDER BY ord) AS body FROM met WHERE num IS NOT NULL GROUP BY 1, 2""")
 def l8(t):
     return layout.spans(led(t), layout.anchors(led(t)))
 
 
-@query("l9_unmatched_rows")
+@query("l9_unmatched_rows", f"{ANCHORS} SELECT doc, ord, text FROM led ANTI JOIN anchors USING (doc, ord) WHERE regexp_matches(text, '^[0-9]+')")
 def l9(t):
     return led(t).join(layout.anchors(led(t)), ["doc", "ord"], "left_anti").where(F.col("text").rlike("^[0-9]+"))
 

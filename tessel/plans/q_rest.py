@@ -10,9 +10,9 @@ from ..functions.text import tokens
 from ..operators import answers, chunk, converse, dedupe, refs, search
 from ..streaming import signal
 from .base import LINE_CHUNKS, line_chunks, pages, query
-from .q_evaluate import expected
+from .q_evaluate import EXPECTED, expected
 from .q_search import FLOOR, HITS, hits, merged, orders
-from .q_text import PAIRS
+from .q_text import PAIRS, PIECES, packing
 from .q_turns import CARRIED, turns
 
 
@@ -38,12 +38,22 @@ def tabled(t):
     return line_chunks(t).select(F.expr("doc_id div 10").alias("doc"), F.col("chunk_ord").alias("ln"), line.alias("line"))
 
 
-@query("k5_table_rows")
+ROWS = rf"""{LINE_CHUNKS}, tabled AS (SELECT doc_id // 10 AS doc, chunk_ord AS ln, CASE WHEN ix % 5 = 0 THEN (doc_id % 10) || '. Section ' || doc_id WHEN ix % 5 = 3 THEN 'see section ' || (doc_id + 1) || '.' ELSE text END AS line FROM line_chunks),
+  led AS (SELECT *, TRY_CAST(regexp_extract(line, '^[0-9]+\.? Section ([0-9]+)', 1) AS INT) AS n FROM tabled WHERE NOT regexp_matches(line, '^\s*(?:Page )?[0-9]*\s*$')),
+  held AS (SELECT *, count(n) OVER (PARTITION BY doc ORDER BY ln) AS row FROM led),
+  parts AS (SELECT *, max(CAST(n IS NULL AND (length(line) > 40 OR line LIKE '%.') AS INT)) OVER (PARTITION BY doc, row ORDER BY ln) = 1 AS is_body FROM held WHERE row > 0),
+  grouped AS (SELECT doc, row, max(n) AS num, coalesce(string_agg(line, ' ' ORDER BY ln) FILTER (n IS NULL AND NOT is_body), '') AS title, coalesce(string_agg(line, ' ' ORDER BY ln) FILTER (n IS NULL AND is_body), '') AS body FROM parts GROUP BY 1, 2),
+  rows_ AS (SELECT *, list_filter(list_sort(list_distinct([CAST(x AS INT) for x in regexp_extract_all(body, '(?i)section ([0-9]+)', 1)])), lambda x: x <> num) AS xrefs FROM grouped)"""
+
+
+@query("k5_table_rows", f"WITH {ROWS} SELECT doc, num, title, body, array_to_string(xrefs, ',') AS xrefs FROM rows_")
 def k5(t):
     return refs.table_rows(tabled(t)).select("doc", "num", "title", "body", F.array_join(F.transform("xrefs", lambda x: x.cast("string")), ",").alias("xrefs"))
 
 
-@query("k6_row_chunks")
+@query("k6_row_chunks", f"""WITH RECURSIVE {ROWS}, titled AS (SELECT doc, row, num, 'cl. ' || array_to_string(list_concat([num], xrefs), ',') AS header, body AS text FROM rows_ WHERE body <> ''),
+  {packing('packed', 'titled', 'doc, row, num, header', 'greatest(900 - length(header) - 1, 100)', 0)}
+SELECT doc, num, ix, header || chr(10) || piece AS piece FROM (SELECT doc, num, header, {PIECES} FROM packed)""")
 def k6(t):
     rows = refs.table_rows(tabled(t)).withColumn("header", F.concat(F.lit("cl. "), F.array_join(F.transform(F.concat(F.array("num"), "xrefs"), lambda x: x.cast("string")), ",")))
     return chunk.titled_pieces(rows.where("body <> ''"), ["doc", "num"], "header", "body", 900)
@@ -70,7 +80,13 @@ def g9(t):
     return a.select("conv_id", "turn", kinds.alias("x")).select("conv_id", "turn", "x.*")
 
 
-@query("e14_reverse_retrieval")
+#: The same search with the best excerpts for its queries; its CTEs hide those of the outer one, but for `best`.
+BACK = HITS.replace("bench AS (SELECT item_id AS query_id, text FROM benchmark)", "bench AS (SELECT query_id, text FROM best)")
+
+
+@query("e14_reverse_retrieval", f"""{EXPECTED}, best AS (SELECT query_id, text FROM merged JOIN line_chunks USING (collection, chunk_ord) WHERE pos = 1),
+  back AS (SELECT * FROM ({BACK} SELECT query_id, collection FROM merged WHERE pos <= 3)), ok AS (SELECT DISTINCT query_id, collection, 1.0 AS ok FROM expected)
+SELECT query_id, round(avg(coalesce(ok, 0.0)), 6) AS reverse_rel FROM back LEFT JOIN ok USING (query_id, collection) GROUP BY 1""")
 def e14(t):
     """The best excerpt of each query as a query of its own: share of its top three in collections that were expected."""
     best = merged(t).where("pos = 1").join(line_chunks(t).select("collection", "chunk_ord", "text"), ["collection", "chunk_ord"]).select("query_id", "text")

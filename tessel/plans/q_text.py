@@ -155,17 +155,24 @@ def sectioned(t):
     return t("documents").select("doc_id", F.array_join(made, "\n").alias("text"))
 
 
-PACK = r"""WITH RECURSIVE paras AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, regexp_replace(regexp_replace(unnest(string_split(text, chr(10))), '^\s+', ''), '\s+$', '') AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE p <> ''),
-  fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS done, '' AS cur FROM (SELECT DISTINCT doc_id FROM paras)
-    UNION ALL SELECT f.doc_id, p.r,
-      CASE WHEN length(cur) + length(p) + 2 <= 500 THEN done ELSE list_concat(CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END, [p[i * 450 + 1 : i * 450 + 500] for i in range(0, CAST(greatest(ceil((length(p) - 500) / 450.0), 0) AS BIGINT))]) END,
-      CASE WHEN length(cur) + length(p) + 2 <= 500 THEN (CASE WHEN cur = '' THEN p ELSE cur || chr(10) || p END) ELSE p[CAST(greatest(ceil((length(p) - 500) / 450.0), 0) AS BIGINT) * 450 + 1 :] END
-    FROM fold f JOIN paras p ON p.doc_id = f.doc_id AND p.r = f.r + 1),
-  ended AS (SELECT doc_id, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS parts FROM fold f WHERE r = (SELECT max(r) FROM paras p WHERE p.doc_id = f.doc_id))
-SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS ix, unnest(parts) AS piece FROM ended"""
+def packing(name: str, source: str, keys: str, size: str = "500", overlap: int = 50, separator: str = "chr(10)") -> str:
+    """CTEs (for WITH RECURSIVE) that give `name`(keys, parts): source.text packed as operators.chunk.packed packs it."""
+    own = lambda a: ", ".join(f"{a}.{k.strip()}" for k in keys.split(","))
+    same = " AND ".join(f"p.{k.strip()} = f.{k.strip()}" for k in keys.split(","))
+    cuts = f"CAST(greatest(ceil((length(p) - size) / CAST(size - {overlap} AS DOUBLE)), 0) AS BIGINT)"
+    return rf"""{name}_paras AS (SELECT {keys}, size, p, row_number() OVER (PARTITION BY {keys} ORDER BY i) AS r, count(*) OVER (PARTITION BY {keys}) AS n FROM (SELECT {keys}, {size} AS size, regexp_replace(regexp_replace(unnest(string_split(text, {separator})), '^\s+', ''), '\s+$', '') AS p, generate_subscripts(string_split(text, {separator}), 1) AS i FROM {source}) WHERE p <> ''),
+  {name}_fold AS (SELECT {keys}, CAST(0 AS BIGINT) AS r, n, CAST([] AS VARCHAR[]) AS done, '' AS cur FROM {name}_paras WHERE r = 1
+    UNION ALL SELECT {own("f")}, p.r, p.n,
+      CASE WHEN length(cur) + length(p) + 2 <= size THEN done ELSE list_concat(CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END, [p[i * (size - {overlap}) + 1 : i * (size - {overlap}) + size] for i in range(0, {cuts})]) END,
+      CASE WHEN length(cur) + length(p) + 2 <= size THEN (CASE WHEN cur = '' THEN p ELSE cur || {separator} || p END) ELSE p[{cuts} * (size - {overlap}) + 1 :] END
+    FROM {name}_fold f JOIN {name}_paras p ON {same} AND p.r = f.r + 1),
+  {name} AS (SELECT {keys}, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS parts FROM {name}_fold WHERE r = n)"""
 
 
-@query("k1_recursive_split", PACK)
+PIECES = "CAST(generate_subscripts(parts, 1) - 1 AS INT) AS ix, unnest(parts) AS piece"
+
+
+@query("k1_recursive_split", f"WITH RECURSIVE {packing('packed', 'documents', 'doc_id')} SELECT doc_id, {PIECES} FROM packed")
 def k1(t):
     return chunk.recursive_split(t("documents"), ["doc_id"], separator="\n")
 
@@ -180,18 +187,24 @@ def k2(t):
     return chunk.heading_units(sectioned(t), ["doc_id"], r"(?i)^Section [0-9]+")
 
 
-@query("k2_section_split")
+@query("k2_section_split", f"""{UNITS.replace('WITH', 'WITH RECURSIVE', 1)}, {packing('packed', '(SELECT doc_id, unit, body AS text FROM units WHERE length(body) > 800)', 'doc_id, unit', '800', 50, 'chr(10) || chr(10)')}
+SELECT doc_id, CAST(unit AS BIGINT) AS unit, {PIECES} FROM packed UNION ALL SELECT doc_id, CAST(unit AS BIGINT), 0, body FROM units WHERE length(body) <= 800""")
 def k2b(t):
     return chunk.section_split(sectioned(t), ["doc_id"])
 
 
-@query("k3_chapter_pack")
+@query("k3_chapter_pack", f"""WITH RECURSIVE {LINE_CHUNKS}, s AS (SELECT doc_id AS chapter, ix AS num, min(text) AS body, length(min(text)) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ix) AS r FROM line_chunks GROUP BY 1, 2),
+  f AS (SELECT chapter, num, r, 1 AS pack, n AS used, num IN (1, 2) AS closed FROM s WHERE r = 1
+    UNION ALL SELECT s.chapter, s.num, s.r, CASE WHEN s.num IN (1, 2) OR closed OR used + n + 2 > 600 THEN pack + 1 ELSE pack END, CASE WHEN s.num IN (1, 2) OR closed OR used + n + 2 > 600 THEN n ELSE used + n + 2 END, s.num IN (1, 2) FROM f JOIN s ON s.chapter = f.chapter AND s.r = f.r + 1),
+  g AS (SELECT chapter, pack, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS members, string_agg(body, chr(10) || chr(10) ORDER BY num) AS text FROM f JOIN s USING (chapter, num) GROUP BY 1, 2)
+SELECT chapter, pack, members, 'Chapter ' || chapter || ' §' || members || ': ' AS label, text FROM g""")
 def k3(t):
     sections = line_chunks(t).groupBy(F.col("doc_id").alias("chapter"), F.col("ix").alias("num")).agg(F.min("text").alias("body"))
     return chunk.chapter_pack(sections, 600, (1, 2))
 
 
-@query("k4_titled_pieces")
+@query("k4_titled_pieces", f"""WITH RECURSIVE {packing('packed', 'documents', 'doc_id', "greatest(500 - length('clause ' || doc_id) - 1, 100)", 0)}
+SELECT doc_id, ix, 'clause ' || doc_id || chr(10) || piece AS piece FROM (SELECT doc_id, {PIECES} FROM packed)""")
 def k4(t):
     return chunk.titled_pieces(t("documents").withColumn("header", F.concat(F.lit("clause "), F.col("doc_id").cast("string"))), ["doc_id"], "header", "text")
 
