@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedupe import ratio
+
 
 def visual_rows(boxes: DataFrame, overlap: float = 0.5) -> DataFrame:
     """page, box, row, col: boxes that overlap by over half of the lower one share a row, left to right.
@@ -80,6 +82,26 @@ def anchors(rows: DataFrame) -> DataFrame:
     return led.groupBy("doc").applyInPandas(walk, "doc long, num int, ord long")
 
 
+def title_match(notes: DataFrame, titles: DataFrame, most: int = 6, near: float = 300.0, least: float = 0.6) -> DataFrame:
+    """doc, num, ord, n_lines, similarity: the run of up to `most` lines that is likest to a title, starting within `near` of its anchor.
+
+    notes: doc, ord, y, text. titles: doc, num, y, title. A line starts the run of one title only, that which it is
+    likest to; ties go to the lower number, then the earlier and the shorter run. Bands of height `near` make the
+    search an equi-join; pairs without a common word never reach the string similarity.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
+    w = Window.partitionBy("doc").orderBy("ord").rowsBetween(0, most - 1)
+    runs = notes.select("doc", "ord", "y", F.collect_list("text").over(w).alias("texts"), F.floor(F.col("y") / near).alias("band"))
+    asked = titles.select("doc", "num", F.col("y").alias("at"), "title", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("y") / near) + k)).alias("band"))
+    met = runs.join(asked, ["doc", "band"]).where(F.abs(F.col("y") - F.col("at")) <= near)
+    each = met.select("doc", "num", "ord", "title", F.explode(F.sequence(F.lit(1), F.size("texts"))).alias("n_lines"), "texts")
+    each = each.withColumn("run", F.array_join(F.slice("texts", F.lit(1), F.col("n_lines")), " ")).where(F.arrays_overlap(words(F.col("run")), words(F.col("title"))))
+    scored = each.select("doc", "num", "ord", "n_lines", F.round(ratio(F.lower("run"), F.lower("title")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    likest = [F.desc("similarity"), "num", "ord", "n_lines"]
+    first = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*likest))).where("place = 1").drop("place")
+    return first(first(scored, "doc", "ord"), "doc", "num")
+
+
 def spans(rows: DataFrame, anchors_: DataFrame) -> DataFrame:
     """doc, num, n_rows, body: rows from an anchor to the next."""
     w = Window.partitionBy("doc").orderBy("ord")

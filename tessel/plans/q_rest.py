@@ -21,7 +21,15 @@ def headed(t):
     return line_chunks(t).select("chunk_ord", "doc_id", F.when(F.col("ix") % 3 == 1, F.concat((F.col("doc_id") % 60).cast("string"), F.lit(". "), "text")).otherwise(F.col("text")).alias("text"))
 
 
-@query("k8_heading_refs")
+NUMBERS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+LISTED = "CASE WHEN len({0}) BETWEEN 1 AND 4 THEN 'cl. ' || array_to_string({0}, ',') ELSE 'general' END"
+#: A heading's next letter is taken in, not looked at: it can't open another heading.
+HEADED = rf"""WITH {LINE_CHUNKS}, headed AS (SELECT chunk_ord, doc_id, CASE WHEN ix % 3 = 1 THEN (doc_id % 60) || '. ' || text ELSE text END AS text FROM line_chunks),
+  found AS (SELECT chunk_ord, doc_id, [CAST(x AS INT) for x in regexp_extract_all(text, '(?m)(?:^|[.;:])\s*([0-9]{{1,3}})\.\s*[A-Z(]', 1)] AS h, [CAST(x AS INT) for x in regexp_extract_all(text, '(?i)\bsection ([0-9]{{1,3}})', 1)] AS m FROM headed),
+  refs AS (SELECT chunk_ord, doc_id, CASE WHEN len(h) > 0 THEN {LISTED.format("hs")} ELSE {LISTED.format("ms")} END AS ref FROM (SELECT *, {NUMBERS.format("h")} AS hs, {NUMBERS.format("m")} AS ms FROM found))"""
+
+
+@query("k8_heading_refs", f"{HEADED} SELECT chunk_ord, ref FROM refs")
 def k8(t):
     return headed(t).select("chunk_ord", refs.heading_ref(F.col("text")).alias("ref"))
 
@@ -116,9 +124,10 @@ def e31(t):
     return hits(t).agg(F.max("score").alias("ceiling")).withColumn("ok", F.lit(FLOOR) <= F.col("ceiling"))
 
 
-@query("a5_ref_disagreements")
+@query("a5_ref_disagreements", f"{HEADED} SELECT chunk_ord, 'cl. ' || doc_id % 61 AS ref, ref AS inferred FROM refs WHERE ref <> 'general' AND ref <> 'cl. ' || doc_id % 61")
 def a5(t):
-    own = headed(t).withColumn("ref", F.concat(F.lit("cl. "), (F.col("doc_id") % 60).cast("string"))).withColumn("inferred", refs.heading_ref(F.col("text")))
+    """The references that another numbering gives against those inferred from the texts."""
+    own = headed(t).withColumn("ref", F.concat(F.lit("cl. "), (F.col("doc_id") % 61).cast("string"))).withColumn("inferred", refs.heading_ref(F.col("text")))
     return own.where("inferred <> 'general' and inferred <> ref").select("chunk_ord", "ref", "inferred")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
 from ..operators import converse, directory, route
-from .base import STOP_STEMS, query, stemmed  # noqa: F401
+from .base import LINE_CHUNKS, STOP_STEMS, line_chunks, query, stemmed  # noqa: F401
 
 CUES = {"legal": ["than the", r"\bthe\b", r"\bof\b", r"\bley?\b"], "intent": ["in the", r"\bthat\b", r"\bque\b"], "entity": [r"\bder\b", r"\bwas\b", "de la"]}
 SCORED = r"""WITH base AS (SELECT item_id AS query_id, regexp_replace(text, '[^ -~]', 'x', 'g') AS text FROM benchmark),
@@ -30,10 +30,9 @@ def q1(t):
     return route.scores(asked(t), CUES).select("query_id", "legal", "help_raw", "help")
 
 
-@query("q2_masked_scores", r"""SELECT item_id AS query_id, regexp_matches(text, '(?i)the the')::INT * 2 + regexp_matches(regexp_replace(text, '(?i)the the', '       '), '(?i)\bthe\b')::INT AS score FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'the the end' ELSE 'the the end of the day' END AS text FROM benchmark)""")
+@query("q2_masked_scores", rf"""WITH {LINE_CHUNKS} SELECT chunk_ord, regexp_matches(text, '(?i)of the')::INT * 2 + regexp_matches(regexp_replace(text, '(?i)of the', '      '), '(?i)\bthe\b')::INT AS score FROM line_chunks""")
 def q2(t):
-    text = F.when(F.col("item_id") % 2 == 0, "the the end").otherwise("the the end of the day")
-    return t("benchmark").select(F.col("item_id").alias("query_id"), route.cue_score(text, ["the the", r"\bthe\b"]).alias("score"))
+    return line_chunks(t).select("chunk_ord", route.cue_score(F.col("text"), ["of the", r"\bthe\b"]).alias("score"))
 
 
 @query("q3_routes", f'{SCORED} SELECT query_id, "primary", secondary FROM routed')

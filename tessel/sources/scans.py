@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 MARKER = r"===== PAGE (\S+) ====="
 
@@ -49,10 +50,28 @@ def box_extents(boxes: DataFrame, box: str = "box") -> DataFrame:
     return boxes.withColumns({"x_left": F.array_min(xs), "x_right": F.array_max(xs), "y_top": F.array_min(ys), "y_bottom": F.array_max(ys)})
 
 
-def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """word, v: lines 'word f1 f2 ...'; a header of two numbers and odd words are left out."""
+def vectors(spark: SparkSession, path: str, stop: tuple[str, ...] = ()) -> DataFrame:
+    """word, v: lines 'word f1 f2 ...'; a header of two numbers, odd words and stop words are left out."""
     parts = F.split(F.trim("value"), " ")
-    return spark.read.text(path).where(~F.col("value").rlike(r"^\d+ \d+$")).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, 1 << 30), lambda x: x.cast("float")).alias("v")).where(F.col("word").rlike("^[a-z]+$"))
+    got = spark.read.text(path).where(~F.col("value").rlike(r"^\d+ \d+$")).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, 1 << 30), lambda x: x.cast("float")).alias("v")).where(F.col("word").rlike("^[a-z]+$"))
+    return got.where(~F.col("word").isin(*stop)) if stop else got
+
+
+TRANSCRIPT = "id string, question string, answer string, outcome string, claims array<struct<claim:string,tag:string,verdict:string>>"
+
+
+def transcripts(spark: SparkSession, path: str, schema: str = TRANSCRIPT, multi_line: bool = False) -> DataFrame:
+    """ok, and the fields of the schema: a JSON record a line, or files that hold a list each; what doesn't parse isn't ok."""
+    lines_ = spark.read.text(path, wholetext=multi_line)
+    if multi_line:
+        return lines_.select(F.explode_outer(F.from_json("value", ArrayType(StructType.fromDDL(schema)))).alias("x")).select(F.col("x").isNotNull().alias("ok"), "x.*")
+    x = F.from_json("value", f"{schema}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    return lines_.where(F.trim("value") != "").select(x.alias("x")).select(F.col("x.broken").isNull().alias("ok"), "x.*").drop("broken")
+
+
+def claims(records: DataFrame) -> DataFrame:
+    """id, outcome, ix, claim, tag, verdict: a row for each claim of a transcript."""
+    return records.select("id", "outcome", F.posexplode("claims").alias("ix", "x")).select("id", "outcome", "ix", "x.*")
 
 
 def save_corpus(chunks: DataFrame, path: str, problems: DataFrame | None = None) -> None:

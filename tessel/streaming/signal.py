@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 PREFIX = "SIGNAL "
 SCHEMA = "v int, kind string, id long, route string, refused boolean, top string, shown int, q string, helpful string, ts timestamp"
@@ -21,6 +22,11 @@ def encoded(signals: DataFrame) -> DataFrame:
     return signals.select(F.concat(F.lit(PREFIX), F.to_json(F.struct("*"))).alias("value"))
 
 
+def saved(lines: DataFrame, path: str, state: str) -> StreamingQuery:
+    """Appends a stream's lines to text files, each once; ends when all that is there has been read."""
+    return lines.writeStream.format("text").option("checkpointLocation", state).trigger(availableNow=True).start(path)
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """ok, and the fields: the JSON after the prefix, wherever in the line it stands; other lines aren't signals."""
     at = F.instr("value", PREFIX)
