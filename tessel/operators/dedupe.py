@@ -81,9 +81,11 @@ def salvage(pages: DataFrame, kept: DataFrame, least: float = 0.6) -> DataFrame:
     """doc_key, twin, page_ord, line_no, line: lines of dropped pages that no line of the kept twin is like."""
     line = lambda df: df.select("doc_key", "page_ord", "twin", F.posexplode(lines(F.col("body"))).alias("line_no", "line")).where("trim(line) <> ''")
     body = pages.join(kept, ["doc_key", "page_ord"])
-    gone, stays = line(body.where("not kept")), line(body.where("kept"))
+    stays = line(body.where("kept"))
+    equal = stays.select("doc_key", "twin", "line").distinct()
+    gone = line(body.where("not kept")).join(equal, ["doc_key", "twin", "line"], "left_anti")  # most lines end here
     pairs = gone.alias("g").join(stays.select("doc_key", "twin", F.col("line").alias("other")), ["doc_key", "twin"], "left")
-    best = pairs.withColumn("r", F.when(F.col("line") == F.col("other"), 1.0).otherwise(ratio(F.col("line"), F.col("other")))).groupBy("doc_key", "twin", "page_ord", "line_no", "line").agg(F.max("r").alias("r"))
+    best = pairs.withColumn("r", ratio(F.col("line"), F.col("other"))).groupBy("doc_key", "twin", "page_ord", "line_no", "line").agg(F.max("r").alias("r"))
     return best.where(F.coalesce("r", F.lit(0.0)) < least).drop("r")
 
 

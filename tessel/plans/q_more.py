@@ -323,8 +323,9 @@ def a4(t):
     return t("documents").groupBy(F.expr("doc_id div 10").alias("doc_key")).agg(F.sum(F.col("text").rlike("###").cast("long")).alias("flagged"), (F.max("doc_id") - F.min("doc_id") + 1 == F.count("*")).alias("contiguous"))
 
 
-@query("a16_replay", f"{HITS}, n AS (SELECT query_id, string_agg(chunk_ord::VARCHAR, ',' ORDER BY pos) AS now_ FROM merged GROUP BY 1) SELECT query_id, query_id % 4 <> 0 AS same FROM n")
+@query("a16_replay", f"{HITS} SELECT query_id, bool_and(score >= {FLOOR}) AS same FROM merged GROUP BY 1")
 def a16(t):
-    run = merged(t).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_ord"))).alias("xs")).select("query_id", F.col("xs.chunk_ord").alias("now"))
-    past = run.select("query_id", F.when(F.col("query_id") % 4 == 0, F.array_append("now", F.lit(-1).cast("long"))).otherwise(F.col("now")).alias("then"))
-    return run.join(past, "query_id").select("query_id", (F.col("now") == F.col("then")).alias("same"))
+    """A run against its replay with the floor applied: the same chunks in the same order, or not."""
+    chunks = lambda df: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_ord"))).alias("xs")).select("query_id", F.col("xs.chunk_ord").alias("xs"))
+    run = merged(t)
+    return chunks(run).join(chunks(run.where(F.col("score") >= FLOOR)).withColumnRenamed("xs", "then"), "query_id", "left").select("query_id", F.col("xs").eqNullSafe(F.col("then")).alias("same"))
