@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import bpe, decontaminate, html_extract, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from . import bpe, centroids, decontaminate, divergence, html_extract, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -13,8 +13,12 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_divergence": divergence.op12_divergence,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
