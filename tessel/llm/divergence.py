@@ -51,7 +51,8 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < batch.num_rows:
             before = size[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(size, before + LOT_BYTES, "right")))
-            yield batch.slice(at, end - at)
+            # copies, with offsets from 0: casting a slice to large_string gives an array that ascii_lower misreads
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, end - at).columns], schema=batch.schema)
             at = end
 
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import bpe, centroids, decontaminate, divergence, html_extract, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from . import bpe, centroids, decontaminate, divergence, html_extract, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_centroids": centroids.op11_centroids,
     "op12_divergence": divergence.op12_divergence,
+    "op13_token_files": token_files.op13_token_files,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
