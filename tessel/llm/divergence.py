@@ -37,7 +37,7 @@ from .common import table, written
 LEAST_DOCUMENTS, TOP, UNIT = 10, 10, 1_000_000_000
 #: What parts terms: ASCII that isn't a letter.
 NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-LOT_BYTES, HELD, BLOCK = 8 << 20, 500_000, 200_000
+LOT_BYTES, HELD, BLOCK = 4 << 20, 250_000, 200_000
 #: Groups up to which their totals are broadcast (some 100 bytes each); beyond, they are shuffled.
 MOST_GROUPS = 100_000
 COUNTS = "lang string, source string, term string, n long, docs long"

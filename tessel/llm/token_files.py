@@ -20,6 +20,8 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,35 +37,83 @@ from pyspark.sql import functions as F
 
 from .bpe import in_lots
 from .common import map_rows, shared_dir, table, written
-from .token_counts import MEMO, VOCABULARY, Counter
+from .token_counts import VOCABULARY, Counter
 
-LENGTH, END, SEQUENCES_A_BATCH = 2048, 2, 64
+LENGTH, END, SEQUENCES_A_BATCH, MEMO = 2048, 2, 64, 300_000
 FILES = "part int, path string, docs_path string, n_docs long, n_tokens long"
 
 
+#: A word of letters that are in normal form C and have a lower case of one character, then signs but the apostrophe.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class Encoder(Counter):
-    """Ids of texts, without special tokens of the library's own adding."""
+    """Ids of texts, without special tokens of the library's own adding.
+
+    Where the vocabulary's file allows it, ids of words between spaces are kept as bytes and joined. A
+    new word of plain letters and signs is two matches of the splitting pattern, each of which is kept
+    too, so that only letters not met before go to the library, many in a call: a match ends where a
+    token with the vocabulary's word end does. When MEMO words are held, they become the older half of
+    the memory, and words that come again move to the newer one; so frequent words stay.
+    """
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.ids: dict[str, list[int]] = {}
         self.kind = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        for token, at in self.library.get_vocab().items() if suffix else ():
+            self.ends[at] = token.endswith(suffix)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.proven:
             return [np.array(x.ids, self.kind) for x in self.library.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.ids) > MEMO:
-            self.ids = {}
-        new = list({w for words in split for w in words if w not in self.ids})
-        for at in range(0, len(new), 512):  # one call for many words: a call costs more than a word
+        if len(self.words) > MEMO:
+            self.older, self.words = self.words, {"": b""}
+        new = set(chain.from_iterable(split)).difference(self.words)
+        again = new.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in again)
+        self.learn(new - again)
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.kind) for words in split]
+
+    def learn(self, new: set[str]) -> None:
+        plain, other = {}, []
+        for w in new:
+            if m := PLAIN.fullmatch(w):
+                plain[w] = m[1].lower(), m[2]
+            else:
+                other.append(w)
+        if len(self.runs) > MEMO:
+            self.runs = {"": b""}
+        self.runs.update(self.of_matches(list({x for pair in plain.values() for x in pair if x not in self.runs})))
+        self.words.update((w, self.runs[a] + self.runs[b]) for w, (a, b) in plain.items())
+        self.words.update(self.of_words(other))
+
+    def of_matches(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of strings that are one match of the pattern each."""
+        for at in range(0, len(new), 512):  # one call for many: a call costs more than a word
+            part = new[at : at + 512]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                yield from ((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+            else:
+                yield from self.of_words(part)
+
+    def of_words(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of any strings without spaces, told apart by the offsets of their tokens."""
+        for at in range(0, len(new), 512):
             part = new[at : at + 512]
             got = self.library.encode(" ".join(part), add_special_tokens=False)
             begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-            cuts = np.searchsorted([a for a, _ in got.offsets], begins)
-            ids = got.ids  # a new list at each look
-            self.ids.update((w, ids[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        return [np.fromiter(chain.from_iterable(map(self.ids.__getitem__, words)), self.kind) for words in split]
+            cuts = np.searchsorted([a for a, _ in got.offsets], begins).tolist()
+            ids = np.array(got.ids, self.kind)
+            yield from ((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
 
 
 _encoders: dict[str, Encoder] = {}
