@@ -20,16 +20,17 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,21 +41,34 @@ from .common import map_rows, shared_dir, table, written
 from .token_counts import VOCABULARY, Counter
 
 LENGTH, END, SEQUENCES_A_BATCH, MEMO = 2048, 2, 64, 300_000
+LOT_CHARS, LOT_ROWS = 4 << 20, 4096
 FILES = "part int, path string, docs_path string, n_docs long, n_tokens long"
 
 
-#: A word of letters that are in normal form C and have a lower case of one character, then signs but the apostrophe.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+# Letters of which each is in normal form C and has a lower case of one character, and signs but the apostrophe.
+_LETTER, _SIGN = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+#: One match of the splitting pattern.
+MATCH = re.compile(f"[{_LETTER}]+|[{_SIGN}]+")
+
+
+def is_plain(text: str) -> bool:
+    """Latin-1, where ASCII letters may be put in lower case before the normaliser does it, and without a beginning of a special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
 
 
 class Encoder(Counter):
     """Ids of texts, without special tokens of the library's own adding.
 
-    Where the vocabulary's file allows it, ids of words between spaces are kept as bytes and joined. A
-    new word of plain letters and signs is two matches of the splitting pattern, each of which is kept
-    too, so that only letters not met before go to the library, many in a call: a match ends where a
-    token with the vocabulary's word end does. When MEMO words are held, they become the older half of
-    the memory, and words that come again move to the newer one; so frequent words stay.
+    Where the vocabulary's file allows it, a lot of plain texts is cut into words by Arrow: at spaces and
+    line ends, and between a letter and a sign, where the pattern parts them anyway. Each distinct word of
+    the lot is looked up once, new ones go to the library, many in a call, and numpy puts the ids of the
+    words in their places. Ids are kept by word; when MEMO words are held, they become the older half of
+    the memory, and words that come again move to the newer one; so frequent words stay. Other texts are
+    cut at spaces and line ends alone.
     """
 
     def __init__(self, path: str):
@@ -62,7 +76,6 @@ class Encoder(Counter):
         self.kind = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
@@ -72,27 +85,41 @@ class Encoder(Counter):
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.proven:
             return [np.array(x.ids, self.kind) for x in self.library.encode_batch(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        plain = np.array([is_plain(t) for t in texts], bool)
+        found: list[np.ndarray] = [None] * len(texts)
+        for flag in (True, False):
+            at = np.flatnonzero(plain == flag)
+            for k, ids in zip(at.tolist(), self.cut([texts[k] for k in at], flag) if len(at) else (), strict=True):
+                found[k] = ids
+        return found
+
+    def cut(self, texts: list[str], plain: bool) -> list[np.ndarray]:
+        column = pa.array(texts, pa.large_string())
+        if plain:
+            column = pc.replace_substring_regex(pc.ascii_lower(column), f"([{_LETTER}])([{_SIGN}])", r"\1 \2")
+        parts = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = pc.dictionary_encode(pc.list_flatten(parts))
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.words) > MEMO:
             self.older, self.words = self.words, {"": b""}
-        new = set(chain.from_iterable(split)).difference(self.words)
-        again = new.intersection(self.older)
-        self.words.update((w, self.older[w]) for w in again)
-        self.learn(new - again)
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.kind) for words in split]
+        self.learn({w for w in words if w not in self.words})
+        ids = [self.words[w] for w in words]
+        size = np.array(list(map(len, ids)), np.int64) // np.dtype(self.kind).itemsize
+        pool, start = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
+        n = size[code]
+        end = np.cumsum(n)
+        out = pool[np.repeat(start[code] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        bounds = np.concatenate([[0], end])[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
+        return [out[a:b] for a, b in itertools.pairwise(bounds.tolist())]
 
     def learn(self, new: set[str]) -> None:
-        plain, other = {}, []
-        for w in new:
-            if m := PLAIN.fullmatch(w):
-                plain[w] = m[1].lower(), m[2]
-            else:
-                other.append(w)
-        if len(self.runs) > MEMO:
-            self.runs = {"": b""}
-        self.runs.update(self.of_matches(list({x for pair in plain.values() for x in pair if x not in self.runs})))
-        self.words.update((w, self.runs[a] + self.runs[b]) for w, (a, b) in plain.items())
-        self.words.update(self.of_words(other))
+        """Keeps the ids of words that the memory lacks."""
+        again = self.older.keys() & new
+        self.words.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = new - again
+        single = [w for w in new if MATCH.fullmatch(w)]
+        self.words.update(self.of_matches(single))
+        self.words.update(self.of_words(list(new.difference(single))))
 
     def of_matches(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of strings that are one match of the pattern each."""
@@ -229,7 +256,7 @@ def write_files(documents: DataFrame, folder: str, vocabulary: str | None = None
         docs, docs_place = _store(f"{name}.docs.arrow")
         kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
         with docs.open_output_stream(docs_place) as sink, pa.ipc.new_file(sink, kinds) as listed:
-            for lot in in_lots((doc, t or "") for doc, t in chain([first], it)):
+            for lot in in_lots(((doc, t or "") for doc, t in itertools.chain([first], it)), LOT_CHARS, LOT_ROWS):
                 found = e.encode([t for _, t in lot])
                 for ids in found:
                     file.add(ids)
