@@ -43,6 +43,23 @@ def flips(profile: DataFrame, base: str) -> DataFrame:
     )
 
 
+def compared(queries: DataFrame, hits: DataFrame, expected: DataFrame, terms: DataFrame, base: str, other: str) -> DataFrame:
+    """One row: queries whose recall went up, down or stayed from one arm to the other, the mean difference, queries that got terms (fired), those terms, and queries whose set of hits changed.
+
+    hits: of asked() for both arms; expected: query_id, collection, num; terms: query_id, terms of the other arm.
+    """
+    of = hits.select(F.split_part("query_id", F.lit("/"), F.lit(1)).alias("arm"), F.split_part("query_id", F.lit("/"), F.lit(2)).cast("long").alias("query_id"), "collection", "chunk_ord")
+    pairs = of.select("arm", "query_id", "collection", F.expr("chunk_ord div 100000").alias("num")).distinct().join(expected, ["query_id", "collection", "num"], "left_semi")
+    found = pairs.groupBy("query_id").agg(*(F.count_if(F.col("arm") == arm).alias(c) for arm, c in ((base, "b"), (other, "o"))))
+    wanted = expected.groupBy("query_id").agg(F.count("*").alias("n"))
+    # a set is told by the sum of its members' hashes, which is the same in any order and needs no list
+    sets = of.groupBy("query_id").agg(*(F.sum(F.when(F.col("arm") == arm, F.xxhash64("collection", "chunk_ord").cast("decimal(38,0)"))).alias(c) for arm, c in ((base, "bs"), (other, "os"))))
+    met = queries.select("query_id").join(wanted, "query_id", "left").join(found, "query_id", "left").join(sets, "query_id", "left").join(terms.select("query_id", F.size("terms").alias("k")), "query_id", "left").na.fill(0, ["b", "o", "k"])
+    share = lambda c: F.coalesce(F.round(F.col(c) / F.col("n"), 6), F.lit(0.0))
+    d = share("o") - share("b")
+    return met.agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"), F.count_if(d == 0).alias("tie"), F.round(F.avg(d), 6).alias("delta"), F.count_if(F.col("k") > 0).alias("fired"), F.sum("k").cast("long").alias("n_terms"), F.count_if(~F.col("bs").eqNullSafe(F.col("os"))).alias("changed"))
+
+
 def top_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """query_id, before, after, delta of the best score (0 without a hit). Both: query_id, score."""
     best = lambda hits, name: hits.groupBy("query_id").agg(F.max("score").alias(name))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+import re
+from collections.abc import Container, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
+from .sizes import MOST_BYTES, bytes_of
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -103,46 +105,118 @@ def corrected(clauses: DataFrame, corrections: DataFrame, strict: bool = True) -
     return met.select("n", F.when(once, F.replace("text", "find", "repl")).otherwise(F.col("text")).alias("text"), F.when(once, F.array_append("flags", F.lit("CORRECTED"))).otherwise(F.col("flags")).alias("flags"), "occurrences")
 
 
-def segment_words(words: DataFrame, allowed: DataFrame | set[str], least: int = 6) -> DataFrame:
-    """token, fixed: distinct tokens of at least `least` letters that split fully into allowed words; others aren't listed.
+LEAST_LETTERS = 6
+_CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
+_PART = re.compile("PART([IVX]+)")
+_TOKEN = re.compile("[A-Za-z]{%d,}" % LEAST_LETTERS)
+
+
+def _words(piece: str, allowed: Container[str], longest: int) -> list[str] | None:
+    """The piece as allowed words of two letters or more, the last as long as can be, and so on; in the piece's case."""
+    low, came_from = piece.lower(), {0: 0}
+    for end in range(2, len(low) + 1):
+        for start in range(max(0, end - longest), end - 1):
+            if start in came_from and low[start:end] in allowed:
+                came_from[end] = start
+                break
+    at, found = len(low), []
+    if at not in came_from:
+        return None
+    while at:
+        found.append(low[came_from[at] : at])
+        at = came_from[at]
+    found.reverse()
+    if len(found) == 1:
+        return [piece]
+    if piece.isupper():
+        return [w.upper() for w in found]
+    return [found[0].capitalize() if piece[0].isupper() else found[0], *found[1:]]
+
+
+def fixed_token(token: str, allowed: Container[str], longest: int) -> str | None:
+    """What a token of joined words stands for, or None: it stays.
+
+    PART and a Roman numeral part. Else each camel piece must be made of allowed words entirely; if the
+    token as it is can't be, a leading A before a small letter may be the article. Nothing is guessed.
+    """
+    if m := _PART.fullmatch(token):
+        return f"PART {m[1]}"
+
+    def whole(text: str) -> str | None:
+        pieces = [_words(p, allowed, longest) for p in _CAMEL.split(text)]
+        return None if None in pieces else " ".join(w for p in pieces for w in p)
+
+    found = whole(token)
+    if found and " " in found:
+        return found
+    if len(token) > LEAST_LETTERS and token[0] == "A" and token[1].islower() and (found := whole(token[1:])):
+        return f"A {found}"
+    return None
+
+
+def segment_words(words: DataFrame, allowed: DataFrame | set[str], least: int = LEAST_LETTERS) -> DataFrame:
+    """token, fixed: distinct tokens of at least `least` letters that fixed_token() parts; others aren't listed.
 
     allowed: a table of word, or a set of them. Words are looked up once each, whatever their number of
-    occurrences; case comes from the token. Each token meets its own parts alone, so the list may be of any size.
+    occurrences. A list whose bytes pass the check is a set in every task; beyond, each token's parts are
+    looked up in the table, up to the longest listed word, and the token meets those that it has.
     """
     if isinstance(allowed, set):
         allowed = words.sparkSession.createDataFrame([(w,) for w in sorted(allowed)], "word string")
-    known = allowed.select(F.lower("word").alias("part")).where("part <> ''").distinct()
-    lengths = known.agg(F.collect_set(F.length("part")).alias("lengths"))
-    tokens = words.select("token").where(F.length("token") >= least).distinct().select("token", F.lower("token").alias("low"))
-    tokens = tokens.join(known, F.col("low") == F.col("part"), "left_anti").join(F.broadcast(lengths))
-    sized = tokens.select("token", "low", F.explode(F.filter("lengths", lambda n: n < F.length("low"))).alias("n"))
-    spans = sized.select("token", "low", "n", F.explode(F.sequence(F.lit(0), F.length("low") - F.col("n"))).alias("start"))
-    met = spans.select("token", F.col("start"), (F.col("start") + F.col("n")).alias("end"), F.substring("low", F.col("start") + 1, F.col("n")).alias("part")).join(known, "part", "left_semi")
-    own = met.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("end", "start"))).alias("x")).select("token", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
-
-    def split(token: str, starts: list[int], ends: list[int]) -> str | None:
-        best = {0: (0, 0)}  # end: fewest words up to there, start of the last
-        for start, end in zip(starts, ends, strict=True):
-            if start in best and (end not in best or best[start][0] + 1 < best[end][0]):
-                best[end] = best[start][0] + 1, start
-        if len(token) not in best:
-            return None
-        parts, at = [], len(token)
-        while at:
-            parts.append(token[best[at][1] : at])
-            at = best[at][1]
-        return " ".join(reversed(parts))
+    known = allowed.select(F.lower("word").alias("part")).where("length(part) > 1").distinct()
+    tokens = words.select("token").where(F.length("token") >= least).distinct()
+    longest = known.agg(F.max(F.length("part"))).first()[0] or 0
+    few = bytes_of(known) <= MOST_BYTES // 4  # a Python set takes some four times the bytes
+    if few:
+        listed = words.sparkSession.sparkContext.broadcast(frozenset(r["part"] for r in known.collect()))
+        own = tokens.withColumn("parts", F.lit(None).cast("array<string>"))
+    else:
+        low = F.lower("token")
+        spans = tokens.select("token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at")).select("token", "at", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.length("token") - F.col("at") + 1))).alias("n"))
+        met = spans.select("token", F.substr(low, F.col("at"), F.col("n")).alias("part")).join(known, "part", "left_semi")
+        own = tokens.where(F.col("token").rlike("^PART[IVX]+$")).withColumn("parts", F.array().cast("array<string>")).unionByName(met.groupBy("token").agg(F.collect_set("part").alias("parts")))  # a token's own parts: bounded by its letters
+        own = own.groupBy("token").agg(F.flatten(F.collect_list("parts")).alias("parts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            x = x.assign(fixed=[split(*w) for w in zip(x["token"], x["starts"], x["ends"], strict=True)])
+            parts = [listed.value] * len(x) if few else map(frozenset, x["parts"])
+            x = x.assign(fixed=[None if w.lower() in have else fixed_token(w, have, longest) for w, have in zip(x["token"], parts, strict=True)])
             yield x.loc[x["fixed"].notna(), ["token", "fixed"]]
 
     return own.mapInPandas(run, "token string, fixed string")
 
 
 def repair_joins(pages: DataFrame, changes: DataFrame) -> DataFrame:
-    """pages with each changed token replaced, and `edits`, the number of replacements."""
-    cut = F.regexp_extract_all("body", F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
-    each = pages.select("doc_key", "page_ord", F.posexplode(cut).alias("i", "token")).join(changes, "token", "left")
-    return each.groupBy("doc_key", "page_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("fixed", "token").alias("w")))), lambda x: x["w"]), "").alias("body"), F.count("fixed").alias("edits"))
+    """doc_key, page_ord, body with each changed token replaced, and `edits`, the number of replacements.
+
+    Replaced where the page lies: by all changes, if their bytes pass the check, and no page is shuffled;
+    else by the page's own, which its distinct tokens find, and pages are shuffled once, whole.
+    """
+    pages = pages.select("doc_key", "page_ord", "body")
+    few = bytes_of(changes) <= MOST_BYTES // 4
+    if few:
+        all_ = pages.sparkSession.sparkContext.broadcast({r["token"]: r["fixed"] for r in changes.select("token", "fixed").collect()})
+        met = pages.withColumn("own", F.lit(None).cast("array<struct<token:string,fixed:string>>"))
+    else:
+        tokens = pages.select("doc_key", "page_ord", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(_TOKEN.pattern), F.lit(0)))).alias("token"))
+        own = tokens.join(changes, "token").groupBy("doc_key", "page_ord").agg(F.collect_list(F.struct("token", "fixed")).alias("own"))
+        met = pages.join(own, ["doc_key", "page_ord"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            bodies, edits = [], []
+            for body, own in zip(x["body"], x["own"], strict=True):
+                change = all_.value if few else {r["token"]: r["fixed"] for r in (own if own is not None else ())}
+                made = 0
+
+                def put(m: re.Match, change: dict = change) -> str:
+                    nonlocal made
+                    made += m[0] in change
+                    return change.get(m[0], m[0])
+
+                bodies.append(body if body is None else _TOKEN.sub(put, body))
+                edits.append(made)
+            yield x.assign(body=bodies, edits=edits)[["doc_key", "page_ord", "body", "edits"]]
+
+    kinds = dict(pages.dtypes)
+    return met.mapInPandas(run, f"doc_key {kinds['doc_key']}, page_ord {kinds['page_ord']}, body string, edits long")

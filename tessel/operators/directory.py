@@ -1,19 +1,21 @@
-"""Ranked lookup of (category, place) queries in a directory, which is the small side of every join."""
+"""Ranked lookup of (category, place) queries in a directory. Strings meet by equi-joins, each distinct one once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dedupe import ratio
+from .contain import containing
+from .order import numbered
+from .similar import similar_pairs
+from .sizes import small
 
 FUZZY = 0.6
-#: Rows of a directory up to which it is broadcast; beyond, the theta join runs as a shuffled product of blocks.
-MOST_BROADCAST = 200_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def words(text: Column) -> Column:
+    """Distinct runs of ASCII letters and digits, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def violations(directory: DataFrame, placeholders: list[str]) -> DataFrame:
@@ -34,30 +36,32 @@ def with_head(head: DataFrame, rows: DataFrame) -> DataFrame:
 def substring_hits(queries: DataFrame, directory: DataFrame) -> DataFrame:
     """query_id, pos, score, single: focus contains the query; 1.0 for a single focus or its first part, else 0.9."""
     parts = F.filter(F.transform(F.split(F.lower("focus"), "[;/]"), F.trim), lambda x: x != "")
-    rows = small(directory.select("pos", F.lower("focus").alias("low"), (F.size(parts) <= 1).alias("single"), F.coalesce(parts[0], F.lit("")).alias("first")))
-    hit = queries.where("trim(category) <> ''").select("query_id", F.lower(F.trim("category")).alias("q")).join(rows, F.col("low").contains(F.col("q")))
+    rows = directory.select("pos", F.lower("focus").alias("low"), (F.size(parts) <= 1).alias("single"), F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("first"))
+    asked = queries.where("trim(category) <> ''").select("query_id", F.lower(F.trim("category")).alias("q"))
+    met = contained(asked.select("q").distinct(), rows.select("low").distinct())
+    hit = asked.join(small(met), "q").join(rows, "low")
     return hit.select("query_id", "pos", F.when(F.col("single") | F.col("first").contains(F.col("q")), 1.0).otherwise(0.9).alias("score"), "single")
 
 
-def levenshtein_ratio(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """q, low: needles (q) and the texts (low) that they stand in."""
+    found = containing(needles.select(F.col("q").alias("needle"), F.col("q").alias("what")), texts.select(F.col("low").alias("id"), F.col("low").alias("text")))
+    return found.select(F.col("needle").alias("q"), F.col("id").alias("low"))
 
 
 def fuzzy_hits(queries: DataFrame, directory: DataFrame, stop: list[str] = (), least: float = FUZZY, method: str = "ratio") -> DataFrame:
     """query_id, pos, score, single: the best similarity of a query token and a focus token, from `least` on.
 
-    Each pair of distinct tokens is compared once. method: 'ratio' (exact, in Python) or 'levenshtein' (in the JVM).
+    Each pair of distinct tokens is compared once, if they can be similar at all (see similar_pairs).
+    method: 'ratio' (exact, in Python) or 'levenshtein' (in the JVM).
     """
-    split = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    qt = queries.select("query_id", F.explode(split("category")).alias("qt"))
+    qt = queries.select("query_id", F.explode(words(F.col("category"))).alias("a"))
     parts = F.filter(F.transform(F.split("focus", "[;/]"), F.trim), lambda x: x != "")
-    dt = directory.select("pos", (F.size(parts) <= 1).alias("single"), F.explode(split("focus")).alias("dt"))
+    dt = directory.select("pos", (F.size(parts) <= 1).alias("single"), F.explode(words(F.col("focus"))).alias("b"))
     if stop:
-        qt, dt = qt.where(~F.col("qt").isin(*stop)), dt.where(~F.col("dt").isin(*stop))
-    pairs = qt.select("qt").distinct().join(small(dt.select("dt").distinct()), F.col("dt") != "")
-    like = ratio(F.col("qt"), F.col("dt")) if method == "ratio" else levenshtein_ratio(F.col("qt"), F.col("dt"))
-    close = pairs.withColumn("score", F.round(like, 6)).where(F.col("score") >= least)
-    return qt.join(close, "qt").join(dt, "dt").groupBy("query_id", "pos", "single").agg(F.max("score").alias("score")).select("query_id", "pos", "score", "single")
+        qt, dt = qt.where(~F.col("a").isin(*stop)), dt.where(~F.col("b").isin(*stop))
+    close = small(similar_pairs(qt.select("a").distinct(), dt.select("b").distinct(), least, method))
+    return qt.join(close, "a").join(dt, "b").groupBy("query_id", "pos", "single").agg(F.max("score").alias("score")).select("query_id", "pos", "score", "single")
 
 
 def ranked(queries: DataFrame, directory: DataFrame, stop: list[str] = (), method: str = "ratio") -> DataFrame:
@@ -70,22 +74,33 @@ def ranked(queries: DataFrame, directory: DataFrame, stop: list[str] = (), metho
 
 
 def located(queries: DataFrame, directory: DataFrame, method: str = "ratio", least: float = FUZZY) -> DataFrame:
-    """query_id, pos, how: rows whose place has the query's, as a substring or by similarity of the whole."""
-    rows = small(directory.select("pos", F.lower("location").alias("low")))
-    pairs = queries.where("trim(place) <> ''").select("query_id", F.lower(F.trim("place")).alias("q")).join(rows, F.col("low") != "")
-    like = ratio(F.col("q"), F.col("low")) if method == "ratio" else levenshtein_ratio(F.col("q"), F.col("low"))
-    return pairs.withColumn("how", F.when(F.col("low").contains(F.col("q")), "substring").when(F.round(like, 6) >= least, "fuzzy")).where("how is not null").select("query_id", "pos", "how")
+    """query_id, pos, how: rows whose place has the query's as a substring, or is similar ('fuzzy') as a whole or by a pair of tokens."""
+    places = queries.select("query_id", F.lower(F.trim("place")).alias("q")).where("q <> ''")
+    rows = directory.select("pos", F.lower("location").alias("low"))
+    asked, there = places.select("q").distinct(), rows.where("low <> ''").select("low").distinct()
+    whole = similar_pairs(asked.withColumnRenamed("q", "a"), there.withColumnRenamed("low", "b"), least, method).select(F.col("a").alias("q"), F.col("b").alias("low"))
+    each = lambda df, c, w: df.select(c, F.explode(words(F.col(c))).alias(w))
+    qt, lt = each(asked, "q", "a"), each(there, "low", "b")
+    close = small(similar_pairs(qt.select("a").distinct(), lt.select("b").distinct(), least, method))
+    by_token = qt.join(close, "a").join(lt, "b").select("q", "low")
+    met = contained(asked, there).withColumn("way", F.lit(0)).unionByName(whole.unionByName(by_token).withColumn("way", F.lit(1)))
+    best = small(met.groupBy("q", "low").agg(F.min("way").alias("way")))
+    return places.join(best, "q").join(rows, "low").select("query_id", "pos", F.when(F.col("way") == 0, "substring").otherwise("fuzzy").alias("how"))
 
 
 def lookup(queries: DataFrame, directory: DataFrame, fallback: int, k: int = 5, stop: list[str] = (), method: str = "ratio") -> DataFrame:
     """query_id, pos, rank, note: the k best rows for a category and a place.
 
     A place that matches nothing keeps the ranking by category; a query that matches no row gets the fallback row.
+    A query without a category takes the rows of its place in order of the file, or the first k.
     """
-    by_category = ranked(queries, directory, stop, method).select("query_id", "pos", "rank")
-    free = queries.where("trim(category) = ''").select("query_id").join(small(directory.select("pos")), F.lit(True)).withColumn("rank", F.col("pos").cast("int"))
-    found = by_category.unionByName(free)
     place = located(queries, directory, method).select("query_id", "pos").withColumn("there", F.lit(1))
+    by_category = ranked(queries, directory, stop, method).select("query_id", "pos", "rank")
+    free = queries.where("trim(category) = ''")
+    of_place = place.join(free, "query_id", "left_semi").select("query_id", "pos", F.col("pos").cast("int").alias("rank"))
+    first = [r["pos"] for r in directory.select("pos").orderBy("pos").limit(k).collect()]  # k numbers
+    anywhere = free.where("trim(place) = ''").select("query_id", F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")).alias("pos")).withColumn("rank", F.col("pos").cast("int"))
+    found = by_category.unionByName(of_place).unionByName(anywhere)
     met = found.join(place, ["query_id", "pos"], "left")
     w = Window.partitionBy("query_id")
     met = met.withColumn("any", F.max("there").over(w)).join(queries.select("query_id", "category", "place"), "query_id")
@@ -109,7 +124,7 @@ def faceted(directory: DataFrame, kind: str = "", place: str = "") -> DataFrame:
     fits = lambda c, v: F.array_contains(c, v) | F.array_contains(c, "*") if v else F.lit(True)
     miss = lambda c, v: (~F.array_contains(c, v)).cast("int") if v else F.lit(0)
     kept = directory.where(fits("types", kind) & fits("places", place)).withColumn("miss", miss("types", kind) + miss("places", place))
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy("miss", "pos")))
+    return numbered(kept, "miss", "pos")
 
 
 def full_list(ranking: DataFrame, queries: DataFrame, directory: DataFrame) -> DataFrame:

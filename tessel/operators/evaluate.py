@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Expected pairs of a query up to which strict recall is worked out over all their subsets.
-MOST_SUBSETS = 12
+from .sizes import small
 
 
 def unverifiable(expected: DataFrame, refs: DataFrame) -> DataFrame:
@@ -29,44 +30,61 @@ def recall_curve(expected: DataFrame, hits: DataFrame, depths: list[int]) -> Dat
     return pairs.groupBy("query_id").agg(*(F.round(F.avg(F.coalesce((F.col("rank") <= d).cast("double"), F.lit(0.0))), 6).alias(f"r{d}") for d in depths))
 
 
-def _matching(group: pd.DataFrame) -> pd.DataFrame:
-    """Maximum matching of expected pairs with hits by augmenting paths; each hit covers one pair."""
-    edges: dict[int, list[int]] = {}
-    for p, c in zip(group["pair"], group["hit"], strict=True):
-        edges.setdefault(int(p), [])
-        if pd.notna(c):
-            edges[int(p)].append(int(c))
-    owner: dict[int, int] = {}
-
-    def place(p: int, seen: set[int]) -> bool:
-        for c in edges[p]:
-            if c not in seen:
-                seen.add(c)
-                if c not in owner or place(owner[c], seen):
-                    owner[c] = p
-                    return True
-        return False
+def _covered(group: pd.DataFrame) -> pd.DataFrame:
+    """Rank of each hit that lets one more pair be covered, in order of rank.
 
-    n = sum(place(p, set()) for p in sorted(edges))
-    return pd.DataFrame({"query_id": [group["query_id"].iloc[0]], "matched": [n]})
+    Hits come one at a time. A new hit covers a free pair, or takes a pair whose hit can move on to another,
+    and so on: a search by breadth from the hit, over pairs that it hasn't seen. If none is free now, the
+    pairs seen are covered by hits that no later one can move, and the hit counts for nothing.
+    """
+    of_pair: dict[int, int] = {}
+    grew: list[int] = []
+    ranked = group.dropna(subset=["rank"]).sort_values(["rank", "pair"])
+    reach = {int(r): x["pair"].tolist() for r, x in ranked.groupby("rank", sort=True)}
+    for rank in reach:
+        came_from: dict[int, int] = {}  # pair -> the hit that reached it
+        turn, free = deque([rank]), None
+        while turn and free is None:
+            hit = turn.popleft()
+            for pair in reach[hit]:
+                if pair not in came_from:
+                    came_from[pair] = hit
+                    if pair not in of_pair:
+                        free = pair
+                        break
+                    turn.append(of_pair[pair])
+        if free is None:
+            continue
+        grew.append(rank)
+        while free is not None:  # each hit on the way moves to the pair that it reached
+            hit = came_from[free]
+            left = next((p for p, h in of_pair.items() if h == hit), None)
+            of_pair[free] = hit
+            free = left
+    return pd.DataFrame({"query_id": [group["query_id"].iloc[0]] * len(grew), "rank": pd.Series(grew, dtype="int64")})
+
+
+def strict_growth(covers: DataFrame) -> DataFrame:
+    """query_id, rank: the hits that raise the number of expected pairs with a hit of their own; up to any depth, their count is the strict value.
+
+    covers: query_id, pair, rank (null: no hit covers the pair), one row for each hit of the ranking and pair that it covers.
+    """
+    kind = dict(covers.dtypes)["query_id"]
+    return covers.select("query_id", F.col("pair").cast("long").alias("pair"), F.col("rank").cast("long").alias("rank")).groupBy("query_id").applyInPandas(_covered, f"query_id {kind}, rank long")
 
 
 def strict_matched(covers: DataFrame) -> DataFrame:
-    """query_id, matched: the most expected pairs that can each have a hit of their own. covers: query_id, pair, hit (null: none).
+    """query_id, matched: the most expected pairs that can each have a hit of their own. covers: query_id, pair, hit (null: none)."""
+    grown = strict_growth(covers.withColumnRenamed("hit", "rank")).groupBy("query_id").agg(F.count("*").alias("matched"))
+    return covers.select("query_id").distinct().join(grown, "query_id", "left").na.fill(0, ["matched"])
 
-    Queries of up to MOST_SUBSETS pairs go by Hall's theorem over the subsets of their pairs, in the JVM; larger ones by augmenting paths.
-    """
-    pairs = covers.groupBy("query_id").agg(F.count_distinct("pair").alias("n"))
-    numbered = covers.select("query_id", "pair").distinct().groupBy("query_id").agg(F.array_sort(F.collect_list("pair")).alias("ps"))
-    bits = numbered.where(F.size("ps") <= MOST_SUBSETS).select("query_id", F.posexplode("ps").alias("bit", "pair"))
-    of_hit = covers.where("hit is not null").join(bits, ["query_id", "pair"]).groupBy("query_id", "hit").agg(F.sum(F.expr("shiftleft(1, bit)")).alias("mask"))
-    masks = of_hit.groupBy("query_id").agg(F.collect_list("mask").alias("masks"))
-    few = pairs.where(F.col("n") <= MOST_SUBSETS).join(masks, "query_id", "left").withColumn("masks", F.coalesce("masks", F.array().cast("array<bigint>")))
-    subset = F.explode(F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2.0), F.col("n")) - 1).cast("long"))).alias("s")
-    deficient = few.select("query_id", "n", "masks", subset).select("query_id", "n", (F.bit_count("s") - F.size(F.filter("masks", lambda m: m.bitwiseAND(F.col("s")) != 0))).alias("lack"))
-    small = deficient.groupBy("query_id", "n").agg(F.max("lack").alias("lack")).select("query_id", (F.col("n") - F.col("lack")).cast("long").alias("matched"))
-    large = covers.join(pairs.where(F.col("n") > MOST_SUBSETS).select("query_id"), "query_id", "left_semi").groupBy("query_id").applyInPandas(_matching, "query_id long, matched long")
-    return small.unionByName(large)
+
+def strict_curve(covers: DataFrame, depths: list[int]) -> DataFrame:
+    """query_id and s<depth>: the share of a query's expected pairs that can each have a hit of their own among the first hits."""
+    pairs = covers.groupBy("query_id").agg(F.count_distinct("pair").alias("n_pairs"))
+    counts = strict_growth(covers).groupBy("query_id").agg(*(F.count_if(F.col("rank") <= d).alias(f"s{d}") for d in depths))
+    met = pairs.join(counts, "query_id", "left")
+    return met.select("query_id", *(F.round(F.coalesce(F.col(f"s{d}"), F.lit(0)) / F.col("n_pairs"), 6).alias(f"s{d}") for d in depths))
 
 
 def first_ranks(expected: DataFrame, hits: DataFrame) -> DataFrame:
@@ -75,6 +93,14 @@ def first_ranks(expected: DataFrame, hits: DataFrame) -> DataFrame:
     return expected.select("query_id").distinct().join(met, "query_id", "left").select("query_id", "first_rank", F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 6).alias("rr"), F.col("first_rank").isNotNull().alias("found"))
 
 
+def shown_metrics(shown: DataFrame, first: DataFrame, expected: DataFrame, strict: DataFrame) -> DataFrame:
+    """query_id, shown, few (2 or less), rr_shown, hit3, strict3 of what is shown (query_id, collection, num, rank); first: of first_ranks."""
+    by = shown.join(first.select("query_id", "first_rank"), "query_id", "left").groupBy("query_id").agg(F.count("*").alias("shown"), (F.count("*") <= 2).alias("few"), F.round(F.coalesce(F.max(F.when(F.col("first_rank") == F.col("rank"), 1 / F.col("rank"))), F.lit(0.0)), 6).alias("rr_shown"))
+    met = shown.where("rank <= 3").join(expected, ["query_id", "collection", "num"], "left_semi").select("query_id").distinct().withColumn("hit3", F.lit(True))
+    out = by.join(met, "query_id", "left").join(strict.select("query_id", F.col("s3").alias("strict3")), "query_id", "left")
+    return out.withColumn("hit3", F.coalesce("hit3", F.lit(False)))
+
+
 def upper_median(values: str) -> Column:
     """The upper middle element of the values that aren't null."""
     return F.expr(f"percentile_disc(0.5) within group (order by {values} desc)").cast("int")  # counts by value, no list of all
@@ -148,7 +174,7 @@ def coverage(texts: DataFrame, sources: DataFrame, shingle: Column, agree: float
 
 def gates(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     """name, collection, value, most, gated, ok: a gated metric over its limit isn't."""
-    return metrics.join(F.broadcast(limits), ["name", "collection"]).withColumn("ok", ~F.col("gated") | (F.col("value") <= F.col("most")))
+    return metrics.join(small(limits), ["name", "collection"]).withColumn("ok", ~F.col("gated") | (F.col("value") <= F.col("most")))
 
 
 def pin_differences(metrics: DataFrame, pins: DataFrame) -> DataFrame:

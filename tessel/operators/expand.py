@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, tokens
-from .directory import small
+from .sizes import small
 
 MOST_TERMS, NEAREST, LEAST_COSINE = 4, 2, 0.55
 

@@ -1,40 +1,102 @@
-"""Batched top-k retrieval: a table of queries against a table of postings."""
+"""Batched top-k retrieval: a table of queries against a written index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .index import term_counts, vocabulary, weighted
+from ..sources.scratch import folder, removed, written
+from .index import placed_counts, term_counts, vocabulary, weighted
+from .sizes import small
 
 SCORE_DIGITS = 6
+#: Chunks to a block, and documents of a collection from which on a term's postings are judged by blocks.
+BLOCK, HOT = 1024, 256
 
 
 class Index:
-    """vocab(collection, term, df, idf) and postings(collection, chunk_ord, term, weight) of a chunk table."""
+    """An index of a chunk table, written once: each chunk is analysed once, and any number of queries read it.
+
+    vocab(collection, term, df, idf); postings(collection, block, chunk_ord, term, weight, hot), in files
+    by `hot`, each file a few blocks in order of terms; blocks(collection, block, term, most), the
+    greatest weight of a hot term in each block that has it. Postings lie by chunks, not by terms: a
+    common term is spread over all files, and each file holds its blocks' postings of all terms.
+    """
 
-    def __init__(self, chunks: DataFrame, stop: list[str] | None = None):
+    def __init__(self, chunks: DataFrame, stop: list[str] | None = None, at: str | None = None, block: int = BLOCK, hot: int = HOT):
+        self.spark, self.stop, self.at = chunks.sparkSession, stop, at or folder(chunks.sparkSession, "index")
         kw = {} if stop is None else {"stop": stop}
-        counts = term_counts(chunks, ["collection", "chunk_ord"], **kw)
-        self.kw, self.vocab = kw, vocabulary(counts, chunks)
-        self.postings = weighted(counts, self.vocab, ["collection", "chunk_ord"])
+        counts = written(placed_counts(chunks, block, **kw), "counts", f"{self.at}/counts")
+        vocab = written(vocabulary(counts, chunks), "vocab", f"{self.at}/vocab")
+        keys = ["collection", "block", "chunk_ord"]
+        postings = weighted(counts, vocab, keys, dealt=keys[:2]).withColumn("hot", (F.col("df") > hot).cast("int")).drop("df")
+        postings = written(postings.sortWithinPartitions("hot", "collection", "term", "block"), "postings", f"{self.at}/postings", ("hot",))
+        written(postings.where("hot = 1").groupBy("collection", "block", "term").agg(F.max("weight").alias("most")), "blocks", f"{self.at}/blocks")
+        removed(self.spark, f"{self.at}/counts")
+        self.hot = hot
+
+    @classmethod
+    def opened(cls, spark: SparkSession, at: str, stop: list[str] | None = None, hot: int = HOT) -> Index:
+        """An index that was written to a folder before, with the same stop words and limit."""
+        self = cls.__new__(cls)
+        self.spark, self.at, self.stop, self.hot = spark, at, stop, hot
+        return self
+
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.at}/vocab")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.at}/postings")
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.at}/blocks")
+
+    @property
+    def kw(self) -> dict[str, list[str]]:
+        return {} if self.stop is None else {"stop": self.stop}
 
 
 def query_terms(queries: DataFrame, vocab: DataFrame, **kw) -> DataFrame:
-    """query_id, collection, term, weight: each query in each collection's own space."""
+    """query_id, collection, term, qw, df: each query in each collection's own space."""
     counts = term_counts(queries, ["query_id"], **kw)
-    w = counts.join(vocab.select("collection", "term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("query_id", "collection").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, ["query_id", "collection"]).select("query_id", "collection", "term", (F.col("w") / F.col("norm")).alias("qw"))
+    w = vocab.join(small(counts), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id", "collection")))
+    return w.select("query_id", "collection", "term", (F.col("w") / norm).alias("qw"), "df")
 
 
 def top_k(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """query_id, collection, chunk_ord, score, rank: the k best of each collection, no rows of score 0.
 
-    Ties go by chunk_ord. The rank filter lets Spark cut each task's rows before the shuffle.
+    Rare terms first: their postings are few, and the k-th best sum of them is a limit that the k-th best
+    score can't be under. A block can reach it only if its hot terms' greatest weights and its best sum
+    of rare terms do together; hot terms' postings are read in such blocks alone, under keys that end with
+    the block, so that no term is one key. Where fewer than k chunks have a rare term, all blocks stay.
+    Ties go by chunk_ord; the limit leaves room for the rounding that makes them. The rank filter lets
+    Spark cut each task's rows before the shuffle.
     """
-    q = query_terms(queries, index.vocab, **index.kw)
-    scored = q.join(index.postings, ["collection", "term"]).groupBy("query_id", "collection", "chunk_ord").agg(F.round(F.sum(F.col("qw") * F.col("weight")), SCORE_DIGITS).alias("score"))
+    q = written(query_terms(queries, index.vocab, **index.kw).withColumn("hot", (F.col("df") > index.hot).cast("int")), "query-terms")
+    best = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"))
+    keys = ["query_id", "collection", "block"]
+
+    rare = index.postings.where("hot = 0").join(small(q.where("hot = 0").select("query_id", "collection", "term", "qw")), ["collection", "term"])
+    sums = written(rare.groupBy(*keys, "chunk_ord").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")), "rare-sums")
+    limit = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id", "collection").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+
+    hot = q.where("hot = 1").select("query_id", "collection", "term", "qw")
+    bounds = index.blocks.join(small(hot), ["collection", "term"]).groupBy(*keys).agg(F.sum(F.col("qw") * F.col("most")).alias("bound"))
+    reach = bounds.join(sums.groupBy(*keys).agg(F.max("score").alias("best")), keys, "left").join(small(limit), ["query_id", "collection"], "left")
+    slack = 10.0**-SCORE_DIGITS
+    left = reach.where(F.col("bound") + F.coalesce("best", F.lit(0.0)) >= F.coalesce(F.col("least") - slack, F.lit(0.0))).select(*keys)
+    wanted = left.join(small(hot), ["query_id", "collection"])
+    more = index.postings.where("hot = 1").join(small(wanted), ["collection", "block", "term"]).select("query_id", "collection", "chunk_ord", (F.col("qw") * F.col("weight")).alias("score"))
+
+    both = sums.select("query_id", "collection", "chunk_ord", "score").unionByName(more)
+    scored = both.groupBy("query_id", "collection", "chunk_ord").agg(F.round(F.sum("score"), SCORE_DIGITS).alias("score"))
     w = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "chunk_ord")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -42,7 +104,7 @@ def top_k(queries: DataFrame, index: Index, k: int) -> DataFrame:
 def merge_ranked(hits: DataFrame, orders: DataFrame) -> DataFrame:
     """hits with `pos`, the place among all collections: by score, then order of collections (collection, collection_ord), then rank."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "collection_ord", "rank")
-    return hits.join(F.broadcast(orders), "collection").withColumn("pos", F.row_number().over(w))
+    return hits.join(small(orders), "collection").withColumn("pos", F.row_number().over(w))
 
 
 def select_top(merged: DataFrame, top_n: int, min_per: int = 1, floor: float = 0.1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STEM_PASSES, STEM_RULES, STOP_WORDS, lines, stem_text
+from ..operators.search import Index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,9 +29,9 @@ def query(name: str, sql: str | None = None):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many tasks as there are cores, where its files give fewer (a row group is never split); larger inputs are left as they are."""
+    """df over as many tasks as there are cores, where it has fewer files (a row group is never split); larger inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def line_chunks(t) -> DataFrame:
@@ -39,6 +40,21 @@ def line_chunks(t) -> DataFrame:
     return d.where("text <> ''").withColumn("chunk_ord", F.col("doc_id") * 100000 + F.col("ix"))
 
 
+_indexes: dict[tuple, Index] = {}
+
+
+def index_of(t, kind: str = "lines", chunks: Callable[..., DataFrame] = line_chunks) -> Index:
+    """The index of chunks(t), written once for a session and an unchanged table of documents, then opened by each query."""
+    source = t("documents")
+    context = source.sparkSession.sparkContext
+    path = lambda f: context._jvm.org.apache.hadoop.fs.Path(f)
+    stamp = tuple((f, path(f).getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path(f)).getModificationTime()) for f in sorted(source.inputFiles()))
+    key = (context.applicationId, kind, stamp)
+    if key not in _indexes:
+        _indexes[key] = Index(chunks(t))
+    return _indexes[key]
+
+
 LINE_CHUNKS = """line_chunks AS (
   SELECT lang AS collection, doc_id, ix - 1 AS ix, text, doc_id * 100000 + ix - 1 AS chunk_ord
   FROM (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS ix FROM documents) WHERE text <> '')"""

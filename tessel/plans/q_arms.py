@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import arms, converse, expand, route, search
-from .base import line_chunks, query
+from .base import index_of, query
+from .q_evaluate import expected
 from .q_more import LOW, bridge
-from .q_search import FLOOR, HITS, JOINT, K, queries_
+from .q_search import FLOOR, HITS, JOINT, K, joint_chunks, queries_
 from .q_turns import turns
 
 CAPS = {"bridge1": 1, "bridge4": 4}
@@ -27,7 +28,7 @@ def armed(t):
 
 
 def hits_of(t, asked):
-    return search.top_k(arms.asked(asked), search.Index(line_chunks(t)), K)
+    return search.top_k(arms.asked(asked), index_of(t), K)
 
 
 @query("e17_expansion_arms", f"{ARMED} SELECT * FROM profile")
@@ -43,13 +44,28 @@ def e24(t):
     return arms.flips(arms.profiles(a, hits_of(t, a), FLOOR), "none")
 
 
+@query("e16_arms", f"""{ARMED}, expected AS (SELECT DISTINCT item_id AS query_id, lang AS collection, doc_id AS num FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+  fa AS (SELECT DISTINCT split_part(query_id, '/', 1) AS arm, CAST(split_part(query_id, '/', 2) AS BIGINT) AS query_id, collection, chunk_ord, chunk_ord // 100000 AS num FROM hits),
+  recs AS (SELECT a.id AS query_id, a.arm, coalesce(r.recall, 0) AS recall FROM armed a LEFT JOIN (SELECT e.query_id, x.arm, round(count(f.num) / count(*), 6) AS recall FROM expected e CROSS JOIN (VALUES ('none'), ('bridge4')) x(arm) LEFT JOIN (SELECT DISTINCT arm, query_id, collection, num FROM fa) f ON f.arm = x.arm AND f.query_id = e.query_id AND f.collection = e.collection AND f.num = e.num GROUP BY 1, 2) r ON r.query_id = a.id AND r.arm = a.arm),
+  d AS (SELECT b.query_id, o.recall - b.recall AS d FROM recs b JOIN recs o USING (query_id) WHERE b.arm = 'none' AND o.arm = 'bridge4'),
+  sets AS (SELECT arm, id AS query_id, coalesce((SELECT list(collection || chunk_ord ORDER BY collection, chunk_ord) FROM fa WHERE fa.arm = armed.arm AND fa.query_id = armed.id), []) AS s FROM armed),
+  texts AS (SELECT b.id AS query_id, len(regexp_split_to_array(o.text, '\\s+')) - len(regexp_split_to_array(b.text, '\\s+')) AS more FROM armed b JOIN armed o USING (id) WHERE b.arm = 'none' AND o.arm = 'bridge4')
+SELECT count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down, count(*) FILTER (d = 0) AS tie, round(avg(d), 6) AS delta, (SELECT count(*) FROM texts WHERE more > 0) AS fired, CAST((SELECT sum(more) FROM texts) AS BIGINT) AS n_terms,
+  (SELECT count(*) FROM sets b JOIN sets o USING (query_id) WHERE b.arm = 'none' AND o.arm = 'bridge4' AND b.s <> o.s) AS changed FROM d""")
+def e16(t):
+    """Queries as they stand against the same with up to four bridge terms."""
+    terms = expand.bridge_terms(queries_(t), bridge(t("documents")))
+    a = arms.expansion_arms(queries_(t), {"none": None, "bridge4": terms})
+    return arms.compared(queries_(t), hits_of(t, a), expected(t), terms, "none", "bridge4")
+
+
 OK = f"ok AS (SELECT p.query_id FROM profile p JOIN profile b ON b.arm = 'none' AND b.query_id = p.query_id WHERE p.arm = 'bridge4' AND NOT p.refused AND NOT b.refused)"
 
 
 @query("r14_gated_expansion", f"""{ARMED}, {OK} SELECT CAST(split_part(h.query_id, '/', 2) AS BIGINT) AS query_id, collection, chunk_ord, score, CASE WHEN o.query_id IS NULL THEN 'base' ELSE 'expanded' END AS arm
 FROM hits h LEFT JOIN ok o ON o.query_id = CAST(split_part(h.query_id, '/', 2) AS BIGINT) WHERE split_part(h.query_id, '/', 1) = CASE WHEN o.query_id IS NULL THEN 'none' ELSE 'bridge4' END""")
 def r14(t):
-    index = search.Index(line_chunks(t))
+    index = index_of(t)
     more = search.top_k(expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents")))), index, K)
     return search.gate_expansion(search.top_k(queries_(t), index, K), more, FLOOR).select("query_id", "collection", "chunk_ord", "score", "arm")
 
@@ -57,7 +73,7 @@ def r14(t):
 @query("r19_effective_query", f"{ARMED}, {OK} SELECT id AS query_id, text, o.query_id IS NOT NULL AS expanded FROM armed a LEFT JOIN ok o ON o.query_id = a.id WHERE arm = CASE WHEN o.query_id IS NULL THEN 'none' ELSE 'bridge4' END")
 def r19(t):
     """The text that is scored: the expanded one where both gates hold, else the query itself."""
-    index, wide = search.Index(line_chunks(t)), expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents"))))
+    index, wide = index_of(t), expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents"))))
     ok = search.gate_expansion(search.top_k(queries_(t), index, K), search.top_k(wide, index, K), FLOOR).where("arm = 'expanded'").select("query_id").distinct().withColumn("expanded", F.lit(True))
     both = queries_(t).join(wide.withColumnRenamed("text", "wide"), "query_id").join(ok, "query_id", "left").withColumn("expanded", F.coalesce("expanded", F.lit(False)))
     return both.select("query_id", F.when(F.col("expanded"), F.col("wide")).otherwise(F.col("text")).alias("text"), "expanded")
@@ -69,8 +85,8 @@ LONG = JOINT.replace("AS ix FROM documents) WHERE text <> '')", "AS ix FROM docu
 @query("a13_top_changes", f"SELECT query_id, coalesce(b, 0.0) AS before, coalesce(a, 0.0) AS after, round(coalesce(a, 0.0) - coalesce(b, 0.0), 6) AS delta FROM ({JOINT} SELECT query_id, max(score) AS b FROM hits GROUP BY 1) FULL JOIN ({LONG} SELECT query_id, max(score) AS a FROM hits GROUP BY 1) USING (query_id)")
 def a13(t):
     """The best score before and after lines of under 60 characters leave the corpus."""
-    chunks = line_chunks(t).withColumn("collection", F.lit("all"))
-    return arms.top_changes(*(search.top_k(queries_(t), search.Index(c), 1) for c in (chunks, chunks.where("length(text) >= 60"))))
+    long = index_of(t, "joint-long", lambda t: joint_chunks(t).where("length(text) >= 60"))
+    return arms.top_changes(*(search.top_k(queries_(t), index, 1) for index in (index_of(t, "joint", joint_chunks), long)))
 
 
 SLOT = "CASE WHEN contains(lower({0}), 'tion') THEN 'tion' WHEN contains(lower({0}), 'que') THEN 'que' ELSE '' END"

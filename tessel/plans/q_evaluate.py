@@ -1,33 +1,30 @@
-"""Evaluation and audit queries. A document that contains a benchmark passage is expected for it."""
+"""Evaluation and audit queries. A document that contains a benchmark passage, whole, is expected for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles
-from ..operators import evaluate, search
+from ..operators import contain, evaluate, order, search
+from ..operators.sizes import small
 from .base import LINE_CHUNKS, line_chunks, query
-from .q_search import FLOOR, HITS, hits, merged, queries_
-
-#: The start of a passage, by which documents that hold it are found.
-HEAD = 60
+from .q_search import FLOOR, HITS, K, hits, merged, queries_
 
 
 def expected(t):
-    """query_id, collection, num: documents of which a line holds the first characters of a passage."""
-    heads = t("benchmark").select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit("\n"), F.lit(1)).substr(1, HEAD).alias("head")).where(f"length(head) = {HEAD}")
-    lines = line_chunks(t)
-    spots = lines.select("collection", "doc_id", "text").join(F.broadcast(heads), F.col("text").contains(F.col("head")))
-    return spots.select("query_id", "collection", F.col("doc_id").alias("num")).distinct()
+    """query_id, collection, num: documents that hold a whole passage."""
+    documents = t("documents")
+    passages = t("benchmark").select(F.col("item_id").alias("needle"), F.col("text").alias("what"))
+    met = contain.containing(passages, documents.select(F.col("doc_id").alias("id"), "text"))
+    return small(met.select(F.col("needle").alias("query_id"), F.col("id").alias("num"))).join(documents.select(F.col("doc_id").alias("num"), F.col("lang").alias("collection")), "num").select("query_id", "collection", "num").distinct()
 
 
-EXPECTED = f"""{HITS}, heads AS (SELECT item_id AS query_id, left(split_part(text, chr(10), 1), {HEAD}) AS head FROM benchmark WHERE length(split_part(text, chr(10), 1)) >= {HEAD}),
-  expected AS (SELECT DISTINCT query_id, collection, doc_id AS num FROM line_chunks JOIN heads ON contains(text, head)),
+EXPECTED = f"""{HITS}, expected AS (SELECT DISTINCT item_id AS query_id, lang AS collection, doc_id AS num FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
   found AS (SELECT query_id, collection, chunk_ord // 100000 AS num, chunk_ord, score, pos AS rank FROM merged)"""
 
 
-def found(t):
-    return merged(t).select("query_id", "collection", F.expr("chunk_ord div 100000").alias("num"), "chunk_ord", "score", F.col("pos").alias("rank"))
+def found(t, k=K):
+    return merged(t, k).select("query_id", "collection", F.expr("chunk_ord div 100000").alias("num"), "chunk_ord", "score", F.col("pos").alias("rank"))
 
 
 def gates_of(t):
@@ -52,18 +49,24 @@ def e2(t):
     return evaluate.recall(expected(t), found(t), queries_(t))
 
 
-def covers(t):
-    """Which hits cover which expected pairs: by number modulo 7, so that hits cover several."""
-    pair = expected(t).select("query_id", F.col("num").alias("pair"))
-    return pair.join(found(t).select(F.col("query_id").alias("q"), F.col("chunk_ord").alias("hit"), "num"), (F.col("query_id") == F.col("q")) & (F.col("pair") % 7 == F.col("num") % 7), "left").select("query_id", "pair", "hit")
+def covers(t, hits_):
+    """Which hits (query_id, num, rank) cover which expected pairs: by number modulo 7, so that hits cover several."""
+    pair = expected(t).select("query_id", F.col("num").alias("pair"), (F.col("num") % 7).alias("m"))
+    return pair.join(hits_.select("query_id", "rank", (F.col("num") % 7).alias("m")), ["query_id", "m"], "left").select("query_id", "pair", "rank")
 
 
-@query("e3_strict_recall", f"""{EXPECTED}, cov AS (SELECT e.query_id, e.num AS pair, f.chunk_ord AS hit FROM expected e LEFT JOIN found f ON e.query_id = f.query_id AND e.num % 7 = f.num % 7),
+def strict_sql(hits_: str, depths: list[int]) -> str:
+    """CTE strict(query_id, depth, n, matched): by Hall's theorem over all subsets of a query's pairs."""
+    return f"""cov AS (SELECT e.query_id, e.num AS pair, f.rank FROM expected e LEFT JOIN {hits_} f ON e.query_id = f.query_id AND e.num % 7 = f.num % 7), depths AS (SELECT unnest({depths}) AS depth),
   bits AS (SELECT query_id, pair, row_number() OVER (PARTITION BY query_id ORDER BY pair) - 1 AS bit FROM (SELECT DISTINCT query_id, pair FROM cov)), n AS (SELECT query_id, count(*) AS n FROM bits GROUP BY 1),
-  masks AS (SELECT query_id, hit, sum(1 << CAST(bit AS INT)) AS mask FROM cov JOIN bits USING (query_id, pair) WHERE hit IS NOT NULL GROUP BY 1, 2), subsets AS (SELECT query_id, n, unnest(range(0, 1 << CAST(n AS INT))) AS s FROM n WHERE n <= 12),
-  lacks AS (SELECT query_id, n, s, bit_count(s) - (SELECT count(*) FROM masks m WHERE m.query_id = x.query_id AND (CAST(m.mask AS BIGINT) & s) <> 0) AS lack FROM subsets x) SELECT query_id, CAST(n - max(lack) AS BIGINT) AS matched FROM lacks GROUP BY query_id, n""")
+  masks AS (SELECT query_id, depth, rank, sum(1 << CAST(bit AS INT)) AS mask FROM cov JOIN bits USING (query_id, pair), depths WHERE rank <= depth GROUP BY ALL), subsets AS (SELECT query_id, n, unnest(range(0, 1 << CAST(n AS INT))) AS s FROM n),
+  lacks AS (SELECT x.query_id, n, depth, bit_count(s) - (SELECT count(*) FROM masks m WHERE m.query_id = x.query_id AND m.depth = d.depth AND (CAST(m.mask AS BIGINT) & s) <> 0) AS lack FROM subsets x, depths d),
+  strict AS (SELECT query_id, depth, n, CAST(n - max(lack) AS BIGINT) AS matched FROM lacks GROUP BY query_id, depth, n)"""
+
+
+@query("e3_strict_recall", f"{EXPECTED}, {strict_sql('found', [1000])} SELECT query_id, matched FROM strict")
 def e3(t):
-    return evaluate.strict_matched(covers(t))
+    return evaluate.strict_matched(covers(t, found(t)).withColumnRenamed("rank", "hit"))
 
 
 @query("e4_precision", f"{EXPECTED} SELECT query_id, round(avg(CASE WHEN (query_id, collection, num) IN (SELECT (query_id, collection, num) FROM expected) THEN 1.0 ELSE 0.0 END), 6) AS precision_ FROM found WHERE query_id IN (SELECT query_id FROM expected) GROUP BY 1")
@@ -73,9 +76,17 @@ def e4(t):
     return h.groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("precision_"))
 
 
-@query("e5_recall_curve", f"{EXPECTED}, m AS (SELECT e.query_id, f.rank FROM expected e LEFT JOIN (SELECT query_id, collection, num, min(rank) AS rank FROM found GROUP BY 1, 2, 3) f USING (query_id, collection, num)) SELECT query_id, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS r3, round(avg(CASE WHEN rank <= 6 THEN 1.0 ELSE 0 END), 6) AS r6, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS r10 FROM m GROUP BY 1")
+DEPTHS = [3, 6, 10, 20, 60]
+WIDE = EXPECTED.replace(f"rank <= {K})", "rank <= 15)")
+
+
+@query("e5_recall_curve", f"""{WIDE}, m AS (SELECT e.query_id, f.rank FROM expected e LEFT JOIN (SELECT query_id, collection, num, min(rank) AS rank FROM found GROUP BY 1, 2, 3) f USING (query_id, collection, num)), {strict_sql('found', DEPTHS)},
+  plain AS (SELECT query_id, {', '.join(f'round(avg(CASE WHEN rank <= {d} THEN 1.0 ELSE 0 END), 6) AS r{d}' for d in DEPTHS)} FROM m GROUP BY 1)
+SELECT p.*, {', '.join(f'max(round(matched / n, 6)) FILTER (depth = {d}) AS s{d}' for d in DEPTHS)} FROM plain p JOIN strict USING (query_id) GROUP BY ALL""")
 def e5(t):
-    return evaluate.recall_curve(expected(t), found(t), [3, 6, 10])
+    """Plain and strict recall at five depths of one ranking."""
+    wide = found(t, 15)
+    return evaluate.recall_curve(expected(t), wide, DEPTHS).join(evaluate.strict_curve(covers(t, wide), DEPTHS), "query_id")
 
 
 FIRST = f"{EXPECTED}, fr AS (SELECT e.query_id, min(f.rank) AS first_rank FROM (SELECT DISTINCT * FROM expected) e LEFT JOIN found f USING (query_id, collection, num) GROUP BY 1)"
@@ -91,11 +102,14 @@ def e6b(t):
     return evaluate.first_ranks(expected(t), found(t)).where("found").agg(evaluate.upper_median("first_rank").alias("median_rank"))
 
 
-@query("e7_shown", f"{FIRST} SELECT query_id, count(*) AS shown, round(coalesce(max(CASE WHEN first_rank = final_rank THEN 1.0 / final_rank END), 0), 6) AS rr_shown FROM chosen LEFT JOIN fr USING (query_id) WHERE score >= {FLOOR} GROUP BY 1")
+@query("e7_shown", f"""{FIRST}, shown AS (SELECT query_id, collection, chunk_ord // 100000 AS num, final_rank AS rank, score FROM chosen WHERE score >= {FLOOR}), {strict_sql('shown', [3])},
+  base AS (SELECT query_id, count(*) AS shown, count(*) <= 2 AS few, round(coalesce(max(CASE WHEN first_rank = rank THEN 1.0 / rank END), 0), 6) AS rr_shown FROM shown LEFT JOIN fr USING (query_id) GROUP BY 1),
+  h AS (SELECT DISTINCT query_id, true AS hit3 FROM shown JOIN expected USING (query_id, collection, num) WHERE rank <= 3)
+SELECT query_id, shown, few, rr_shown, coalesce(hit3, false) AS hit3, round(matched / n, 6) AS strict3 FROM base LEFT JOIN h USING (query_id) LEFT JOIN strict USING (query_id)""")
 def e7(t):
-    shown = search.select_top(merged(t), 12, 1, FLOOR).where(F.col("score") >= FLOOR)
-    first = evaluate.first_ranks(expected(t), found(t)).select("query_id", "first_rank")
-    return shown.join(first, "query_id", "left").groupBy("query_id").agg(F.count("*").alias("shown"), F.round(F.coalesce(F.max(F.when(F.col("first_rank") == F.col("final_rank"), 1 / F.col("final_rank"))), F.lit(0.0)), 6).alias("rr_shown"))
+    """Metrics of what is shown: the list cut at the floor."""
+    shown = search.select_top(merged(t), 12, 1, FLOOR).where(F.col("score") >= FLOOR).select("query_id", "collection", F.expr("chunk_ord div 100000").alias("num"), F.col("final_rank").alias("rank"))
+    return evaluate.shown_metrics(shown, evaluate.first_ranks(expected(t), found(t)), expected(t), evaluate.strict_curve(covers(t, shown), [3]))
 
 
 @query("e8_grouped_means", "SELECT quality, toxic, round(avg(n_chars), 6) AS mean_n_chars, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((quality), (quality, toxic))")
@@ -108,15 +122,6 @@ def e9(t):
     return evaluate.refusal_errors(search.refusals(queries_(t), hits(t), FLOOR), gates_of(t))
 
 
-@query("e16_arms", f"""{RECALL}, r3 AS (SELECT e.query_id, round(count(f.num) / count(*), 6) AS recall FROM expected e LEFT JOIN (SELECT DISTINCT query_id, collection, num FROM found WHERE rank <= 3) f USING (query_id, collection, num) GROUP BY 1),
-  ar AS (SELECT query_id, coalesce(rec.recall, 0) AS base, coalesce(r3.recall, 0) AS other FROM rec LEFT JOIN r3 USING (query_id)) SELECT CAST(sum((other > base)::INT) AS BIGINT) AS up, CAST(sum((other < base)::INT) AS BIGINT) AS down, CAST(sum((other = base)::INT) AS BIGINT) AS tie, round(avg(other - base), 6) AS delta FROM ar""")
-def e16(t):
-    """All that was found against the first three."""
-    want, got = expected(t), found(t)
-    arm = lambda name, hits_: evaluate.recall(want, hits_, queries_(t)).select("query_id", F.coalesce("recall", F.lit(0.0)).alias("recall"), F.lit(name).alias("arm"))
-    return evaluate.compared(arm("base", got).unionByName(arm("other", got.where("rank <= 3"))), "base", "other", "recall")
-
-
 @query("e18_width_ladder", f"{HITS} SELECT k, collection, count(*) AS shown, round(count(*) / sum(count(*)) OVER (PARTITION BY k), 6) AS share FROM hits, (SELECT unnest([1, 2, 4]) AS k) WHERE rank <= k GROUP BY 1, 2")
 def e18(t):
     grid = F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("k")
@@ -162,10 +167,8 @@ def e28(t):
 
 @query("e30_work_selection", f"{RECALL} SELECT query_id, r FROM (SELECT query_id, row_number() OVER (ORDER BY query_id) AS r FROM rec WHERE recall = 1) WHERE r <= 5")
 def e30(t):
-    from pyspark.sql import Window
-
     full = evaluate.recall(expected(t), found(t), queries_(t)).where("recall = 1")
-    return full.select("query_id", F.row_number().over(Window.orderBy("query_id")).alias("r")).where("r <= 5")
+    return order.numbered(full.select("query_id").orderBy("query_id").limit(5), "query_id", name="r")  # each task cuts to five first
 
 
 # Audit of the chunk table.

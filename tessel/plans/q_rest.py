@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import answers, chunk, converse, dedupe, refs, search
 from ..streaming import signal
-from .base import LINE_CHUNKS, line_chunks, pages, query
+from .base import LINE_CHUNKS, index_of, line_chunks, pages, query
 from .q_evaluate import EXPECTED, expected
 from .q_search import FLOOR, HITS, hits, merged, orders
 from .q_text import PAIRS, PIECES, packing
@@ -98,7 +98,7 @@ SELECT query_id, round(avg(coalesce(ok, 0.0)), 6) AS reverse_rel FROM back LEFT
 def e14(t):
     """The best excerpt of each query as a query of its own: share of its top three in collections that were expected."""
     best = merged(t).where("pos = 1").join(line_chunks(t).select("collection", "chunk_ord", "text"), ["collection", "chunk_ord"]).select("query_id", "text")
-    back = search.merge_ranked(search.top_k(best, search.Index(line_chunks(t)), 3), orders(t)).where("pos <= 3")
+    back = search.merge_ranked(search.top_k(best, index_of(t), 3), orders(t)).where("pos <= 3")
     ok = expected(t).select("query_id", "collection").distinct().withColumn("ok", F.lit(1.0))
     return back.join(ok, ["query_id", "collection"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("ok", F.lit(0.0))), 6).alias("reverse_rel"))
 
@@ -115,7 +115,7 @@ def e25(t):
     said = turns(t).where("role = 'user'").select("conv_id", "turn", "text")
     both = converse.contextualised(said).select(F.concat_ws(".", "conv_id", "turn").alias("turn_id"), F.explode(F.array(F.struct(F.lit("naive").alias("arm"), F.col("text").alias("q")), F.struct(F.lit("context").alias("arm"), F.col("query").alias("q")))).alias("x"))
     asked = both.select(F.concat_ws("/", "turn_id", "x.arm").alias("query_id"), F.col("x.q").alias("text"))
-    found = search.top_k(asked, search.Index(line_chunks(t)), 3)
+    found = search.top_k(asked, index_of(t), 3)
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("top")).select(F.split_part("query_id", F.lit("/"), F.lit(1)).alias("turn_id"), F.split_part("query_id", F.lit("/"), F.lit(2)).alias("arm"), "n", "top")
 
 

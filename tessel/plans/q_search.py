@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search
-from ..operators.index import term_counts, vocabulary, weighted
-from .base import LINE_CHUNKS, line_chunks, query, stemmed, terms_sql
+from ..operators.index import term_counts
+from .base import LINE_CHUNKS, index_of, line_chunks, query, stemmed, terms_sql
 
 K, TOP_N, FLOOR = 4, 12, 0.1
 
@@ -22,7 +22,7 @@ def orders(t):
 
 
 def hits(t, k=K):
-    return search.top_k(queries_(t), search.Index(line_chunks(t)), k)
+    return search.top_k(queries_(t), index_of(t), k)
 
 
 def merged(t, k=K):
@@ -65,18 +65,17 @@ def r2(t):
 
 @query("r3_postings", f"{SPACE} SELECT collection, chunk_ord, term, round(weight, 6) AS weight FROM postings")
 def r3(t):
-    return search.Index(line_chunks(t)).postings.withColumn("weight", F.round("weight", 6))
+    return index_of(t).postings.select("collection", "chunk_ord", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("r3_vocabulary", f"{SPACE} SELECT collection, term, df, round(idf, 6) AS idf FROM vocab")
 def r3v(t):
-    c = line_chunks(t)
-    return vocabulary(term_counts(c, ["collection", "chunk_ord"]), c).withColumn("idf", F.round("idf", 6))
+    return index_of(t).vocab.withColumn("idf", F.round("idf", 6))
 
 
 @query("r4_query_vectors", f"{HITS} SELECT query_id, collection, term, round(qw, 6) AS qw FROM qw")
 def r4(t):
-    return search.query_terms(queries_(t), search.Index(line_chunks(t)).vocab).withColumn("qw", F.round("qw", 6))
+    return search.query_terms(queries_(t), index_of(t).vocab).select("query_id", "collection", "term", F.round("qw", 6).alias("qw"))
 
 
 @query("r5_top_k", f"{HITS} SELECT query_id, collection, chunk_ord, score, rank FROM hits")
@@ -84,13 +83,17 @@ def r5(t):
     return hits(t).select("query_id", "collection", "chunk_ord", "score", "rank")
 
 
+def joint_chunks(t):
+    """All lines as one collection."""
+    return line_chunks(t).withColumn("collection", F.lit("all"))
+
+
 JOINT = HITS.replace("lang AS collection, doc_id, ix - 1", "'all' AS collection, doc_id, ix - 1")
 
 
 @query("r6_joint_index", f"{JOINT} SELECT query_id, chunk_ord, score, rank FROM hits")
 def r6(t):
-    one = line_chunks(t).withColumn("collection", F.lit("all"))
-    return search.top_k(queries_(t), search.Index(one), K).select("query_id", "chunk_ord", "score", "rank")
+    return search.top_k(queries_(t), index_of(t, "joint", joint_chunks), K).select("query_id", "chunk_ord", "score", "rank")
 
 
 @query("r7_merged", f"{HITS} SELECT query_id, collection, chunk_ord, score, pos FROM merged")

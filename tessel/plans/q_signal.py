@@ -49,6 +49,14 @@ def t6(t):
     return signal.hourly(signal.turn_signals(turns(t)))
 
 
+@query("t6_summary", f"""{TURNS}, fb AS (SELECT event_id - event_id % 5 AS id, CASE WHEN value >= 50 THEN 'yes' WHEN value >= 10 THEN 'no' ELSE 'none' END AS helpful, event_id AS line FROM events WHERE event_type = 'purchase'), l AS (SELECT id, arg_max(helpful, line) AS helpful FROM fb GROUP BY 1)
+SELECT route, count(*) AS n, count(*) FILTER (refused) AS refused, count(*) FILTER (top = 'low') AS low, count(*) FILTER (top = 'mid') AS mid, count(*) FILTER (top = 'high') AS high, count(*) FILTER (helpful = 'yes') AS yes, count(*) FILTER (helpful = 'no') AS no,
+  count(*) FILTER (coalesce(helpful, 'none') = 'none') AS unanswered, count(*) FILTER (q IS NOT NULL) AS opted_in, round(avg(shown) FILTER (NOT refused), 6) AS mean_shown FROM sig LEFT JOIN l USING (id) GROUP BY 1""")
+def t6s(t):
+    joined = signal.with_feedback(signal.turn_signals(turns(t)), feedback(t).select("id", "helpful", "line"))
+    return signal.summary(signal.facts(joined))
+
+
 @query("t7_emit_once", f"{TURNS} SELECT DISTINCT id FROM sig")
 def t7(t):
     s = signal.turn_signals(turns(t))

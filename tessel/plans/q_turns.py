@@ -84,7 +84,7 @@ def wanted(t):
 
 SUBS = f"""WITH {LISTING}, {WANTED}, low AS (SELECT pos, lower(focus) AS f, string_split(lower(focus), ';') AS parts FROM listing),
   subs AS (SELECT query_id, pos, CASE WHEN len(parts) <= 1 OR contains(parts[1], lower(category)) THEN 1.0 ELSE 0.9 END::DOUBLE AS score, len(parts) <= 1 AS single FROM wanted JOIN low ON contains(f, lower(category)) WHERE category <> ''),
-  tok AS (SELECT pos, len(string_split(focus, ';')) <= 1 AS single, unnest(list_distinct(regexp_extract_all(lower(focus), '[a-z]+'))) AS dt FROM listing),
+  tok AS (SELECT pos, len(string_split(focus, ';')) <= 1 AS single, unnest(list_distinct(regexp_extract_all(lower(focus), '[a-z0-9]+'))) AS dt FROM listing),
   fuzzy AS (SELECT query_id, pos, max(round(1 - levenshtein(category, dt) / greatest(length(category), length(dt)), 6)) AS score, any_value(single) AS single FROM wanted, tok WHERE category <> '' AND round(1 - levenshtein(category, dt) / greatest(length(category), length(dt)), 6) >= 0.6 GROUP BY ALL),
   both_ AS (SELECT *, 'substring' AS how FROM subs UNION ALL SELECT *, 'fuzzy' FROM fuzzy WHERE query_id NOT IN (SELECT query_id FROM subs)),
   ranking AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 3) DESC, single DESC, pos) AS rank FROM both_)"""
@@ -123,7 +123,12 @@ def d5(t):
     return listing(t).select("pos", F.concat("name", F.when(F.lower("name").contains("red"), " crimson scarlet").otherwise("")).alias("enriched"))
 
 
-@query("d6_located", f"""WITH {LISTING}, {WANTED} SELECT query_id, pos, how FROM (SELECT query_id, pos, CASE WHEN contains(lower(location), lower(place)) THEN 'substring' WHEN round(1 - levenshtein(lower(place), lower(location)) / greatest(length(place), length(location)), 6) >= 0.6 THEN 'fuzzy' END AS how FROM wanted, listing WHERE place <> '') WHERE how IS NOT NULL""")
+LOCATED = f"""{LISTING}, {WANTED}, lt AS (SELECT DISTINCT lower(location) AS low, unnest(regexp_extract_all(lower(location), '[a-z0-9]+')) AS w FROM listing), pt AS (SELECT DISTINCT lower(place) AS q, unnest(regexp_extract_all(lower(place), '[a-z0-9]+')) AS w FROM wanted),
+  near AS (SELECT DISTINCT q, low FROM pt, lt WHERE round(1 - levenshtein(pt.w, lt.w) / greatest(length(pt.w), length(lt.w)), 6) >= 0.6),
+  located AS (SELECT query_id, pos, how FROM (SELECT query_id, pos, CASE WHEN contains(lower(location), lower(place)) THEN 'substring' WHEN round(1 - levenshtein(lower(place), lower(location)) / greatest(length(place), length(location)), 6) >= 0.6 OR (lower(place), lower(location)) IN (SELECT (q, low) FROM near) THEN 'fuzzy' END AS how FROM wanted, listing WHERE place <> '') WHERE how IS NOT NULL)"""
+
+
+@query("d6_located", f"WITH {LOCATED} SELECT query_id, pos, how FROM located")
 def d6(t):
     return directory.located(wanted(t), listing(t), "levenshtein")
 
@@ -133,7 +138,10 @@ def d7(t):
     return directory.ranked(wanted(t), listing(t), method="levenshtein").select("query_id", "pos", "score", "how", "rank")
 
 
-@query("d8_lookup")
+@query("d8_lookup", f"""{SUBS.replace(f'{LISTING}, {WANTED}', LOCATED)}, cand AS (SELECT query_id, pos, rank FROM ranking UNION ALL SELECT query_id, pos, pos FROM wanted, listing WHERE category = ''),
+  met AS (SELECT c.query_id, c.pos, c.rank, l.pos IS NOT NULL AS there, bool_or(l.pos IS NOT NULL) OVER (PARTITION BY c.query_id) AS any_, w.category, w.place FROM cand c JOIN wanted w USING (query_id) LEFT JOIN located l ON l.query_id = c.query_id AND l.pos = c.pos),
+  best AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos) AS rank, CASE WHEN place = '' THEN 'no place' WHEN any_ THEN 'place matched' ELSE 'place ignored' END AS note FROM met WHERE place = '' OR there OR (NOT any_ AND category <> ''))
+SELECT query_id, pos, rank, note FROM best WHERE rank <= 5 UNION ALL SELECT query_id, 1, 1, 'fallback' FROM wanted WHERE query_id NOT IN (SELECT query_id FROM best)""")
 def d8(t):
     return directory.lookup(wanted(t), listing(t), fallback=1, method="levenshtein")
 
@@ -168,11 +176,10 @@ def d12(t):
     return directory.faceted(typed(t), "shiny").select("pos", "rank")
 
 
-@query("d13_full_list", f"""{SUBS}, rest AS (SELECT query_id, pos FROM wanted, listing WHERE query_id < 5 EXCEPT SELECT query_id, pos FROM ranking)
-SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY part, o) AS line FROM (SELECT query_id, pos, 0 AS part, rank AS o FROM ranking WHERE query_id < 5 UNION ALL SELECT query_id, pos, 1, pos FROM rest)""")
+@query("d13_full_list", f"""{SUBS}, rest AS (SELECT query_id, pos FROM wanted, listing EXCEPT SELECT query_id, pos FROM ranking)
+SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY part, o) AS line FROM (SELECT query_id, pos, 0 AS part, rank AS o FROM ranking UNION ALL SELECT query_id, pos, 1, pos FROM rest)""")
 def d13(t):
-    some = wanted(t).where("query_id < 5")
-    return directory.full_list(directory.ranked(some, listing(t), method="levenshtein"), some, listing(t))
+    return directory.full_list(directory.ranked(wanted(t), listing(t), method="levenshtein"), wanted(t), listing(t))
 
 
 @query("d14_confirmations", f"{SUBS} SELECT query_id, 'Did you mean ' || name || '?' AS prompt FROM ranking JOIN listing USING (pos) WHERE how = 'fuzzy' AND rank = 1")

@@ -4,16 +4,59 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of written() and their folders.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Lets Spark delete a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run on this machine."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where it is unset and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return found
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder (or at a path): its lineage ends there, and lost executors cost only a reread.
+
+    The shuffle files of the query that writes it go when it ends; nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = path or folder(spark, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder wherever Spark can write."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        if path := _folders.pop(t, None):
+            removed(t.sparkSession, path)
