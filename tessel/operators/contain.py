@@ -40,13 +40,13 @@ def containing(needles: DataFrame, texts: DataFrame, key: str = "id") -> DataFra
     words = whole.select("id", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"))
     met = written(words.select("id", F.explode(_shingles(F.col("words"))).alias("gram")).join(small(grams.select("gram").distinct()), "gram"), "shingles")
     spread = met.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(small(spread), "gram").groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    found = met.join(small(rarest), "gram").select("needle", "id").join(small(long.select("needle", "what")), "needle")
-    by_words = found.join(whole, "id").where(F.contains("text", F.col("what"))).select("needle", "id")
+    rarest = grams.join(spread, "gram").groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    found = written(met.join(rarest, "gram").select("needle", "id").distinct(), "met")
+    by_words = whole.join(small(found.join(small(long.select("needle", "what")), "needle")), "id").where(F.contains("text", F.col("what"))).select("needle", "id")
 
     lengths = [r[0] for r in short.select(F.length("what")).distinct().sort(F.length("what")).collect()]  # under K + 2 words: a few lengths
     if not lengths:
-        return by_words.distinct()
+        return written(by_words.distinct(), "contained")
     cut = lambda n: F.when(F.length("text") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr("text", i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
     places = reduce(DataFrame.unionByName, (whole.select("id", F.explode(cut(n)).alias("what")) for n in lengths))
-    return by_words.unionByName(places.join(small(short), "what").select("needle", "id")).distinct()
+    return written(by_words.unionByName(places.join(small(short), "what").select("needle", "id")).distinct(), "contained")

@@ -13,7 +13,7 @@ from .sizes import small
 
 SCORE_DIGITS = 6
 #: Chunks to a block, and documents of a collection from which on a term's postings are judged by blocks.
-BLOCK, HOT = 1024, 256
+BLOCK, HOT = 128, 256
 
 
 class Index:
@@ -92,7 +92,7 @@ def top_k(queries: DataFrame, index: Index, k: int) -> DataFrame:
     reach = bounds.join(sums.groupBy(*keys).agg(F.max("score").alias("best")), keys, "left").join(small(limit), ["query_id", "collection"], "left")
     slack = 10.0**-SCORE_DIGITS
     left = reach.where(F.col("bound") + F.coalesce("best", F.lit(0.0)) >= F.coalesce(F.col("least") - slack, F.lit(0.0))).select(*keys)
-    wanted = left.join(small(hot), ["query_id", "collection"])
+    wanted = written(left.join(small(hot), ["query_id", "collection"]), "hot-blocks")
     more = index.postings.where("hot = 1").join(small(wanted), ["collection", "block", "term"]).select("query_id", "collection", "chunk_ord", (F.col("qw") * F.col("weight")).alias("score"))
 
     both = sums.select("query_id", "collection", "chunk_ord", "score").unionByName(more)
