@@ -30,8 +30,8 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "rank", first: int
     return met.select(*df.columns, (F.col("before") + F.col("_at").bitwiseAND(_IN) + first).alias(name))
 
 
-def line_numbers(read: DataFrame, name: str = "line", first: int = 1) -> DataFrame:
-    """A text or CSV scan with each row's place in its file, however the file was split.
+def line_numbers(read: DataFrame, name: str = "line", first: int = 1, through: bool = False) -> DataFrame:
+    """A text or CSV scan with each row's place in its file, however the file was split; through: in all files, in order of their paths.
 
     A task reads a split from its start to its end, so the least task-wide number of a split gives the
     places within; what comes before it in the file is a running sum over the file's splits. Only the
@@ -39,7 +39,7 @@ def line_numbers(read: DataFrame, name: str = "line", first: int = 1) -> DataFra
     """
     split = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
     counts = split.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("_least"))
-    w = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    w = (Window.orderBy("_file", "_start") if through else Window.partitionBy("_file").orderBy("_start")).rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_file", "_start", "_least", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     met = split.join(F.broadcast(before), ["_file", "_start"])  # a row for each split
     return met.select(*read.columns, (F.col("before") + F.col("_at") - F.col("_least") + first).alias(name))

@@ -49,19 +49,14 @@ def bridge(documents):
     return words.select("word", F.array(F.substring("word", 1, 3), F.substring("word", 2, 3)).alias("neighbours"))
 
 
-def bridge_of_sql(t):
-    """The bridge that BRIDGE spells out: the SQL of r12 and r16 takes the words of every seventh document alone."""
-    return bridge(t("documents").where("doc_id % 7 = 0"))
-
-
-BRIDGE = "bridge AS (SELECT DISTINCT word, [left(word, 3), word[2:4]] AS ns FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE doc_id % 7 = 0) WHERE length(word) = 5)"
+BRIDGE = "bridge AS (SELECT DISTINCT word, [left(word, 3), word[2:4]] AS ns FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) = 5)"
 
 
 @query("r12_bridge_terms", f"""WITH {BRIDGE}, {LOW}, tk AS (SELECT query_id, text, unnest(raw) AS tok, generate_subscripts(raw, 1) AS i FROM low), m AS (SELECT query_id, text, i, coalesce(a.ns, b.ns) AS ns FROM tk LEFT JOIN bridge a ON a.word = tok LEFT JOIN bridge b ON b.word || 's' = tok WHERE a.ns IS NOT NULL OR b.ns IS NOT NULL),
   f AS (SELECT query_id, text, i, unnest(ns) AS x, generate_subscripts(ns, 1) AS j FROM m), d AS (SELECT query_id, text, x, min(i * 10 + j) AS p FROM f GROUP BY 1, 2, 3), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS r FROM d)
 SELECT query_id, coalesce(string_agg(x, ',' ORDER BY p) FILTER (r <= 4 AND NOT list_contains(regexp_split_to_array(lower(text), '\\s+'), x)), '') AS terms FROM c GROUP BY 1""")
 def r12(t):
-    return expand.bridge_terms(queries_(t), bridge_of_sql(t)).select("query_id", F.array_join("terms", ",").alias("terms"))
+    return expand.bridge_terms(queries_(t), bridge(t("documents"))).select("query_id", F.array_join("terms", ",").alias("terms"))
 
 
 @query("r13_key_collisions", f"WITH k AS (SELECT DISTINCT tok AS k, tok AS s FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM benchmark)), a AS (SELECT k, {stem_case('s')} AS s FROM k), b AS (SELECT k, {stem_case('s')} AS s FROM a), c AS (SELECT k, {stem_case('s')} AS s FROM b) SELECT s AS stem, count(*) AS n FROM c GROUP BY 1 HAVING count(*) > 1")
@@ -77,11 +72,11 @@ def r15(t):
     return expand.nearest(e.where("label >= 5"), e.where("label < 5"), 2, 0.1)
 
 
-@query("r16_unreached", f"""WITH {BRIDGE}, {LOW}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM documents WHERE doc_id % 2 = 0), a AS (SELECT DISTINCT query_id, unnest(raw) AS tok FROM low), x AS (SELECT query_id, count(*) AS n_absent, count(*) FILTER (tok NOT IN (SELECT word FROM bridge)) AS n_unbridged FROM a WHERE tok NOT IN (SELECT tok FROM v) GROUP BY 1)
+@query("r16_unreached", f"""WITH {BRIDGE}, {LOW}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM documents WHERE lang = 'de'), a AS (SELECT DISTINCT query_id, unnest(raw) AS tok FROM low), x AS (SELECT query_id, count(*) AS n_absent, count(*) FILTER (tok NOT IN (SELECT word FROM bridge)) AS n_unbridged FROM a WHERE tok NOT IN (SELECT tok FROM v) GROUP BY 1)
 SELECT l.query_id, coalesce(n_absent, 0) AS n_absent, coalesce(n_unbridged, 0) AS n_unbridged FROM low l LEFT JOIN x USING (query_id)""")
 def r16(t):
-    vocab = t("documents").where("doc_id % 2 = 0").select(F.explode(tokens(F.col("text"))).alias("term"))
-    return expand.unreached(queries_(t), vocab, bridge_of_sql(t))
+    vocab = t("documents").where("lang = 'de'").select(F.explode(tokens(F.col("text"))).alias("term"))
+    return expand.unreached(queries_(t), vocab, bridge(t("documents")))
 
 
 def tagged(t):
@@ -292,7 +287,56 @@ def s4(t):
     from ..sources.scans import contract
 
     rows = t("benchmark").withColumnRenamed("item_id", "id").withColumn("set", F.when(F.col("id") % 10 == 7, "x").otherwise("dev"))
-    return contract(rows, {"short text": F.length("text") < 150, "odd set": ~F.col("set").isin("dev", "test")})
+    problems = contract(rows, {"short text": F.length("text") < 150, "odd set": ~F.col("set").isin("dev", "test")})
+    return problems.select(F.col("id").cast("long").alias("id"), "problem")
+
+
+EVAL_SQL = """WITH e AS (SELECT CAST(item_id % 37 AS VARCHAR) AS id, item_id, CASE WHEN item_id % 10 = 7 THEN 'x' ELSE 'dev' END AS set_, CASE WHEN item_id % 4 = 0 THEN 'refuse' ELSE 'answer' END AS gate, CASE WHEN item_id % 11 = 0 THEN ' ' ELSE text END AS text, CASE WHEN item_id % 3 = 0 THEN 0 WHEN item_id % 13 = 5 THEN -1 ELSE length(text) END AS n FROM benchmark)"""
+
+
+@query("s4_eval_contract", f"""{EVAL_SQL} SELECT id, 'bad set' AS problem FROM e WHERE set_ = 'x' UNION ALL SELECT id, 'empty text' FROM e WHERE trim(text) = '' UNION ALL SELECT id, 'unknown collection' FROM e WHERE n % 5 = 1 UNION ALL SELECT id, 'empty numbers' FROM e WHERE n = -1
+UNION ALL SELECT id, 'refusal expects something' FROM e WHERE gate = 'refuse' AND n <> 0 UNION ALL SELECT id, 'answer expects nothing' FROM e WHERE gate = 'answer' AND n = 0 UNION ALL SELECT id, 'repeated id' FROM e GROUP BY id HAVING count(*) > 1""")
+def s4e(t):
+    """Passages as evaluation rows that break each rule somewhere."""
+    from ..sources.scans import eval_contract
+
+    item = F.col("item_id")
+    n = F.when(item % 3 == 0, 0).when(item % 13 == 5, -1).otherwise(F.length("text"))
+    rows = t("benchmark").withColumn("n", n).select(
+        (item % 37).cast("string").alias("id"),
+        F.when(item % 10 == 7, "x").otherwise("dev").alias("set"),
+        F.when(item % 4 == 0, "refuse").otherwise("answer").alias("gate"),
+        F.when(item % 11 == 0, " ").otherwise(F.col("text")).alias("text"),
+        F.lit("read").alias("note"),
+        F.when(F.col("n") != 0, F.create_map(F.when(F.col("n") % 5 == 1, "zz").otherwise("en"), F.when(F.col("n") > 0, F.array("n")).otherwise(F.array().cast("array<int>")))).alias("expected"),
+    )
+    return eval_contract(rows, ["dev", "test"], ["answer", "refuse"], ["en", "de"])
+
+
+CHAT_SQL = """WITH c AS (SELECT conv_id, turn, conv_id || '.t' || (turn // 2 * 2) AS turn_id, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'follow' ELSE 'new' END AS class, CASE turn % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'help' ELSE 'refuse' END AS gate, length(text) % 6 AS m, conv_id % 7 AS k FROM conversations WHERE conv_id % 9 <> 4 OR turn <> 0)"""
+
+
+@query("s5_chat_contract", f"""{CHAT_SQL} SELECT turn_id, 'opening needs history' AS problem FROM c WHERE turn = 0 AND class = 'follow' UNION ALL SELECT turn_id, 'answer expects nothing' FROM c WHERE gate = 'answer' AND m = 0 UNION ALL SELECT turn_id, 'other than an answer expects something' FROM c WHERE gate <> 'answer' AND m <> 0
+UNION ALL SELECT turn_id, 'help without slots' FROM c WHERE gate = 'help' AND m < 3 UNION ALL SELECT turn_id, 'slots without help' FROM c WHERE gate <> 'help' AND m >= 3 UNION ALL SELECT turn_id, 'unknown status' FROM c WHERE k = 1 UNION ALL SELECT turn_id, 'retired without a reason' FROM c WHERE k = 2 AND m = 1
+UNION ALL SELECT turn_id, 'repeated turn' FROM c GROUP BY turn_id HAVING count(*) > 1 UNION ALL SELECT CAST(conv_id AS VARCHAR), 'no opening turn' FROM c GROUP BY conv_id HAVING min(turn) > 0 UNION ALL SELECT CAST(conv_id AS VARCHAR), 'gap in turns' FROM c GROUP BY conv_id HAVING count(DISTINCT turn) <= max(turn) - min(turn)""")
+def s5c(t):
+    """Conversations as evaluation turns that break each rule somewhere."""
+    from ..sources.scans import chat_contract
+
+    m, k = F.length("text") % 6, F.col("conv_id") % 7
+    rows = t("conversations").where("conv_id % 9 <> 4 or turn <> 0").select(
+        "conv_id",
+        F.concat(F.col("conv_id").cast("string"), F.lit(".t"), F.expr("turn div 2 * 2").cast("string")).alias("turn_id"),
+        F.col("turn").alias("turn_index"),
+        F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "follow").otherwise("new").alias("class"),
+        F.when(F.col("turn") % 4 == 0, "answer").when(F.col("turn") % 4 == 1, "help").otherwise("refuse").alias("gate"),
+        "text",
+        F.when(m != 0, F.create_map(F.lit("en"), F.array(m))).alias("expected"),
+        F.when(m >= 3, F.create_map(F.lit("what"), F.lit("x"))).alias("slots"),
+        F.when(k == 1, "odd").when(k == 2, "retired").alias("status"),
+        F.when((k == 1) | (m != 1), "the source changed").alias("reason"),
+    )
+    return chat_contract(rows, ["new", "follow"], ["follow"], ["answer", "help", "refuse"], ["retired"])
 
 
 @query("s5_turn_ids", "SELECT conv_id, turn AS turn_index, conv_id || '.t' || (turn + 1) AS turn_id FROM conversations")

@@ -27,23 +27,23 @@ def s1(t):
 DIRECTORY = ["s_suppkey", "s_name", "phone"]
 
 
-@query("s3_directory_scan", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '0' || s_nationkey END AS phone FROM supplier")
+@query("s3_directory_scan", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '0' || s_nationkey END AS phone, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier")
 def s3(t):
     """Suppliers as a CSV file with columns that nobody asked for and empty cells."""
     rows = t("supplier").select("s_acctbal", "s_name", "s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("0"), "s_nationkey")).alias("phone"))
     path = folder(rows.sparkSession, "directory")
-    rows.write.option("header", True).csv(path)
+    rows.orderBy("s_suppkey").write.option("header", True).csv(path)
     return scans.directory(rows.sparkSession, path, DIRECTORY)
 
 
-@query("s9_vectors", "SELECT translate(CAST(vec_id AS VARCHAR), '0123456789', 'abcdefghij') AS word, len(embedding) AS dims, CAST(embedding[1] AS FLOAT) AS head, CAST(embedding[-1] AS FLOAT) AS tail FROM embeddings WHERE vec_id NOT IN (1, 12)")
+@query("s9_vectors", "SELECT translate(CAST(vec_id AS VARCHAR), '0123456789', 'abcdefghij') AS word, len(embedding) AS dims, CAST(embedding[1] AS FLOAT) AS head, CAST(embedding[-1] AS FLOAT) AS tail, rank FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings) WHERE vec_id NOT IN (1, 12)")
 def s9(t):
     """Embeddings as lines 'word f1 f2 ...', their words the ids in letters; two words are stop words."""
     word = F.translate(F.col("vec_id").cast("string"), "0123456789", "abcdefghij")
-    rows = t("embeddings").select(F.concat_ws(" ", word, F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("value"))
+    rows = t("embeddings").orderBy("vec_id").select(F.concat_ws(" ", word, F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("value"))
     path = folder(rows.sparkSession, "vectors")
     rows.write.text(path)
-    return scans.vectors(rows.sparkSession, path, stop=("b", "bc")).select("word", F.size("v").cast("long").alias("dims"), F.element_at("v", 1).alias("head"), F.element_at("v", -1).alias("tail"))
+    return scans.vectors(rows.sparkSession, path, stop=("b", "bc")).select("word", F.size("v").cast("long").alias("dims"), F.element_at("v", 1).alias("head"), F.element_at("v", -1).alias("tail"), "rank")
 
 
 @query("s10_transcripts", """SELECT conv_id || '.' || turn AS id, role AS outcome, text AS claim, '[' || role || ']' AS tag, CASE WHEN turn % 2 = 0 THEN 'supported' END AS verdict FROM conversations WHERE turn % 7 <> 6""")

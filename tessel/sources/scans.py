@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..operators.order import line_numbers
+
 MARKER = r"===== PAGE (\S+) ====="
 
 
@@ -25,18 +27,79 @@ def split_pages(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return docs.select(*keys, F.posexplode(pages).alias("page_ord", "x")).select(*keys, "page_ord", "x.page_no", "x.body")
 
 
-def contract(rows: DataFrame, rules: dict[str, Column], key: str = "id") -> DataFrame:
-    """key, problem: a row for each rule that a row breaks."""
-    return reduce(DataFrame.unionAll, (rows.where(broken).select(key, F.lit(name).alias("problem")) for name, broken in rules.items()))
-
-
-def directory(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All-text CSV; empty cells for nulls, `pos` by the file's own column or line; a missing column fails."""
-    got = spark.read.csv(path, header=True)
-    gone = [c for c in columns if c not in got.columns]
+def contract(rows: DataFrame, rules: dict[str, Column], key: str = "id", groups: dict[str, tuple[list[str], Column]] | None = None) -> DataFrame:
+    """key, problem: a row for each rule that a row breaks, and one for each group that breaks a rule of groups.
+
+    Row rules are all told in one pass. A rule of groups has its columns, of which the first stands for the
+    group as its key, and an aggregate that is true where the group is wrong; rules over the same columns
+    share a pass, whose groups are counted where they arise.
+    """
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules.items())))
+    found = [rows.select(F.col(key).cast("string").alias(key), F.explode(broken).alias("problem"))] if rules else []
+    by: dict[tuple[str, ...], dict[str, Column]] = {}
+    for name, (columns, bad) in (groups or {}).items():
+        by.setdefault(tuple(columns), {})[name] = bad
+    for columns, bads in by.items():
+        told = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f"_{i}"), F.lit(False)), name) for i, name in enumerate(bads))))
+        each = rows.groupBy(*columns).agg(*(bad.alias(f"_{i}") for i, bad in enumerate(bads.values())))
+        found.append(each.select(F.col(columns[0]).cast("string").alias(key), F.explode(told).alias("problem")))
+    return reduce(DataFrame.unionAll, found)
+
+
+def blank(c: str) -> Column:
+    return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+
+
+def eval_contract(rows: DataFrame, sets: list[str], gates: list[str], collections: list[str]) -> DataFrame:
+    """id, problem of evaluation rows: id, set, gate, text, note, expected (collection -> numbers)."""
+    none = F.size(F.coalesce("expected", F.create_map().cast("map<string,array<int>>"))) < 1
+    rules = {
+        "bad set": ~F.coalesce(F.col("set").isin(*sets), F.lit(False)),
+        "bad gate": ~F.coalesce(F.col("gate").isin(*gates), F.lit(False)),
+        "empty text": blank("text"),
+        "empty note": blank("note"),
+        "unknown collection": F.exists(F.map_keys("expected"), lambda c: ~c.isin(*collections)),
+        "empty numbers": F.exists(F.map_values("expected"), lambda n: F.size(n) < 1),
+        "refusal expects something": (F.col("gate") == "refuse") & ~none,
+        "answer expects nothing": (F.col("gate") != "refuse") & none,
+    }
+    return contract(rows, rules, "id", {"repeated id": (["id"], F.count("*") > 1)})
+
+
+def chat_contract(turns: DataFrame, classes: list[str], history: list[str], gates: list[str], statuses: list[str]) -> DataFrame:
+    """turn_id, problem of turns: conv_id, turn_id, turn_index, class, gate, text, expected, slots (map or null), status, reason. history: classes that need earlier turns."""
+    none = F.size(F.coalesce("expected", F.create_map().cast("map<string,array<int>>"))) < 1
+    rules = {
+        "bad class": ~F.coalesce(F.col("class").isin(*classes), F.lit(False)),
+        "bad gate": ~F.coalesce(F.col("gate").isin(*gates), F.lit(False)),
+        "empty text": blank("text"),
+        "opening needs history": (F.col("turn_index") == 0) & F.col("class").isin(*history),
+        "answer expects nothing": (F.col("gate") == "answer") & none,
+        "other than an answer expects something": (F.col("gate") != "answer") & ~none,
+        "help without slots": (F.col("gate") == "help") & F.col("slots").isNull(),
+        "slots without help": (F.col("gate") != "help") & F.col("slots").isNotNull(),
+        "unknown status": F.col("status").isNotNull() & ~F.col("status").isin(*statuses),
+        "retired without a reason": F.col("status").isNotNull() & blank("reason"),
+    }
+    return contract(turns, rules, "turn_id", {"repeated turn": (["turn_id"], F.count("*") > 1)}).unionAll(
+        contract(turns, {}, "conv_id", {"no opening turn": (["conv_id"], F.min("turn_index") > 0), "gap in turns": (["conv_id"], F.count_distinct("turn_index") <= F.max("turn_index") - F.min("turn_index"))})
+    )
+
+
+def directory(spark: SparkSession, path: str, columns: list[str], phone: str | None = None, placeholders: tuple[str, ...] = ()) -> DataFrame:
+    """All-text CSV; empty cells for nulls, `pos` by the line (the files of a folder in order of their names); a missing column fails.
+
+    phone: the column that no row may leave empty or fill with a placeholder; the scan fails at such a row.
+    """
+    read = spark.read.csv(path, header=True)
+    gone = [c for c in columns if c not in read.columns]
     if gone:
         raise ValueError(f"the directory lacks {', '.join(gone)}")
-    return got.select(*columns).na.fill("")
+    got = line_numbers(read, "pos", first=0, through=True).select(*columns, "pos").na.fill("")
+    if phone:
+        bad = reduce(Column.__or__, (F.col(phone).rlike(p) for p in placeholders), F.trim(phone) == "")
+        got = got.where(F.assert_true(~bad, F.concat(F.lit("no contact in row "), F.col("pos").cast("string"))).isNull())
+    return got
 
 
 def numbered_turns(conversations: DataFrame) -> DataFrame:
@@ -51,9 +114,10 @@ def box_extents(boxes: DataFrame, box: str = "box") -> DataFrame:
 
 
 def vectors(spark: SparkSession, path: str, stop: tuple[str, ...] = ()) -> DataFrame:
-    """word, v: lines 'word f1 f2 ...'; a header of two numbers, odd words and stop words are left out."""
+    """word, v, rank (the line, from 1, the files of a folder in order of their names): lines 'word f1 f2 ...'; a header of two numbers, odd words and stop words are left out, but count as lines."""
     parts = F.split(F.trim("value"), " ")
-    got = spark.read.text(path).where(~F.col("value").rlike(r"^\d+ \d+$")).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, 1 << 30), lambda x: x.cast("float")).alias("v")).where(F.col("word").rlike("^[a-z]+$"))
+    lines_ = line_numbers(spark.read.text(path), "rank", through=True)
+    got = lines_.where(~F.col("value").rlike(r"^\d+ \d+$")).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, 1 << 30), lambda x: x.cast("float")).alias("v"), "rank").where(F.col("word").rlike("^[a-z]+$"))
     return got.where(~F.col("word").isin(*stop)) if stop else got
 
 

@@ -26,13 +26,16 @@ def test_vectors_without_header_and_stop_words(spark, tmp_path):
     (tmp_path / "v.txt").write_text("3 2\nsun 1 2\nthe 0 1\nx9 1 1\nmoon -1.5 0\n")
     got = {r["word"]: list(r["v"]) for r in scans.vectors(spark, str(tmp_path / "v.txt"), stop=("the",)).collect()}
     assert got == {"sun": [1.0, 2.0], "moon": [-1.5, 0.0]}
+    assert {r["word"]: r["rank"] for r in scans.vectors(spark, str(tmp_path / "v.txt")).collect()} == {"sun": 2, "the": 3, "moon": 5}
 
 
 def test_directory_and_its_missing_columns(spark, tmp_path):
     (tmp_path / "d.csv").write_text("name,phone,more\nA,,1\n,2,\n")
-    assert sorted(map(tuple, scans.directory(spark, str(tmp_path / "d.csv"), ["name", "phone"]).collect())) == [("", "2"), ("A", "")]
+    assert sorted(map(tuple, scans.directory(spark, str(tmp_path / "d.csv"), ["name", "phone"]).collect())) == [("", "2", 1), ("A", "", 0)]
     with pytest.raises(ValueError, match="site"):
         scans.directory(spark, str(tmp_path / "d.csv"), ["name", "site"])
+    with pytest.raises(Exception, match="no contact in row 0"):
+        scans.directory(spark, str(tmp_path / "d.csv"), ["name", "phone"], phone="phone").collect()
 
 
 def test_a_corpus_with_problems_is_not_written(spark, tmp_path):
