@@ -539,3 +539,27 @@ def test_pipeline_on_odd_rows_and_none(spark, tmp_path):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()
     want = {(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect()}
     assert {(r["doc_id"], r["decoded_sha256"]) for r in out} == want and len(out) == len(redacted)
+
+
+def test_told_secrets_need_no_large_corpus(spark):
+    """Three documents: the trees can learn nothing, the name of a credential is enough; a bare run isn't."""
+    key = "9f" * 20
+    d = spark.createDataFrame([(1, f'token = "{key}"'), (2, f"see {key} there"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find_pii(d)).collect()}
+    assert got == {1: "secret:9:49", 2: "", 3: ""}
+    kept = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert kept == {1: 'token = "<SECRET>"', 2: f"see {key} there", 3: None}
+
+
+def test_odd_rows_of_the_classifiers(spark):
+    """Clashing columns, repeated rows, a long text and contradicting labels."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["fine", "calm", "good"] if k % 2 else ["vile", "foul", "bad"]) for _ in range(30)), 7, "x", 0.5) for k in range(60)]
+    rows += [rows[1], rows[2], (100, "good " * 200_000, 7, "x", 0.5), (101, None, 7, "x", 0.5), (102, "", 7, "x", 0.5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label int, severity string, score double").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(60)] + [(1, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    scored = quality_classifier.score(d, *quality_classifier.fit(d, labels)).collect()
+    assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored)
+    assert len({round(r["score"], 9) for r in scored if r["doc_id"] == 1}) == 1
+    kept = toxicity.keep_clean(d, toxicity.fit(d, labels))
+    assert kept.columns == d.columns and 100 in {r["doc_id"] for r in kept.select("doc_id").collect()}
