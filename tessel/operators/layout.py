@@ -82,6 +82,61 @@ def anchors(rows: DataFrame) -> DataFrame:
     return led.groupBy("doc").applyInPandas(walk, "doc long, num int, ord long")
 
 
+def aligned_anchors(rows: DataFrame, expected: DataFrame, least: float = 0.6) -> DataFrame:
+    """doc, num, ord, flag: the best monotone placing of expected numbers (doc, num, title) on rows (doc, ord, text).
+
+    A row may stand for a number if its leading numeral is the number (1 point), if its text is like the
+    title (the similarity, from `least` on), or both. Of all placings in which numbers and rows both rise,
+    that of the most points is taken; of equal ones that with the earlier rows. So a lost numeral falls
+    back to its title, and a numeral out of place, such as one cited from elsewhere, loses to what fits.
+    flag: TITLE_WEAK for a numeral alone, NUMERAL_MISSING for a title alone. Only candidates are gathered,
+    a document a group: rows with an expected numeral, and rows that share a word with a title.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
+    numeral = F.regexp_extract("text", r"^\s*([0-9]{1,6})\b", 1).try_cast("int")
+    body = F.trim(F.regexp_replace("text", r"^\s*[0-9]{1,6}\b[.)]?\s*", ""))
+    told = rows.select("doc", "ord", numeral.alias("led"), body.alias("body"))
+    by_numeral = told.withColumnRenamed("led", "num").join(expected, ["doc", "num"]).select("doc", "num", "ord", "body", "title", F.lit(True).alias("led"))
+    spoken = told.select("doc", "ord", "led", "body", F.explode(words(F.col("body"))).alias("word"))
+    asked = expected.select("doc", "num", "title", F.explode(words(F.col("title"))).alias("word"))
+    by_title = spoken.join(asked, ["doc", "word"]).select("doc", "num", "ord", "body", "title", F.coalesce(F.col("led") == F.col("num"), F.lit(False)).alias("led"))
+    pairs = by_numeral.unionByName(by_title).distinct().withColumn("like", F.round(ratio(F.lower("body"), F.lower("title")), 6))
+    placed = pairs.withColumn("like", F.when(F.col("like") >= least, F.col("like")).otherwise(0.0)).where("led or like > 0")
+
+    def walk(doc: pd.DataFrame) -> pd.DataFrame:
+        # points in millionths, so that sums are exact; a Fenwick tree over numbers has the best placing of those up to each
+        tree: list[tuple[int, int] | None] = [None] * (int(doc["num"].max()) + 2)
+        items = sorted(zip(doc["ord"], -doc["num"], doc["led"], doc["like"], strict=True))
+        came_from: list[int] = []
+        for i, (_, minus, led, like) in enumerate(items):
+            at, before = -minus, (0, -1)
+            k = at
+            while k > 0:  # numbers under `at` stand at 1 .. at in the tree
+                if tree[k] and tree[k][0] > before[0]:
+                    before = tree[k]
+                k -= k & -k
+            points = before[0] + 1_000_000 * bool(led) + round(1e6 * like)
+            came_from.append(before[1])
+            k = at + 1
+            while k < len(tree):
+                if tree[k] is None or points > tree[k][0]:
+                    tree[k] = points, i
+                k += k & -k
+        last, k = (0, -1), len(tree) - 1
+        while k > 0:
+            if tree[k] and tree[k][0] > last[0]:
+                last = tree[k]
+            k -= k & -k
+        out, i = [], last[1]
+        while i >= 0:
+            order, minus, led, like = items[i]
+            out.append((doc["doc"].iloc[0], -minus, order, None if led and like > 0 else "TITLE_WEAK" if led else "NUMERAL_MISSING"))
+            i = came_from[i]
+        return pd.DataFrame(out, columns=["doc", "num", "ord", "flag"])
+
+    return placed.select("doc", "num", "ord", "led", "like").groupBy("doc").applyInPandas(walk, "doc long, num int, ord long, flag string")
+
+
 def title_match(notes: DataFrame, titles: DataFrame, most: int = 6, near: float = 300.0, least: float = 0.6) -> DataFrame:
     """doc, num, ord, n_lines, similarity: the run of up to `most` lines that is likest to a title, starting within `near` of its anchor.
 

@@ -262,6 +262,13 @@ def l7(t):
     return layout.anchors(led(t))
 
 
+@query("l7_aligned_anchors")
+def l7b(t):
+    """The contents' numbers and titles on rows of which every fifth has lost its numeral and every seventh has another's title."""
+    rows = led(t).select("doc", "ord", F.when(F.col("ord") % 5 == 0, F.regexp_replace("text", r"^[0-9]+\. ", "")).when(F.col("ord") % 7 == 0, F.regexp_replace("text", r"^([0-9]+\. ).*", "$1other words")).otherwise(F.col("text")).alias("text"))
+    return layout.aligned_anchors(rows, layout.contents(led(t)).select("doc", "num", "title"))
+
+
 @query("l8_spans", f"""{ANCHORS}, met AS (SELECT doc, ord, text, last_value(num IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord) AS num FROM led LEFT JOIN (SELECT doc, ord, num FROM anchors) USING (doc, ord))
 SELECT doc, num, count(*) AS n_rows, string_agg(text, chr(10) ORDER BY ord) AS body FROM met WHERE num IS NOT NULL GROUP BY 1, 2""")
 def l8(t):

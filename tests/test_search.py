@@ -1,13 +1,15 @@
 """The written index, pruned top-k, containment, similar pairs, numbers in a global order and strict curves, each against brute force."""
 
 import difflib
+import functools
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.operators import contain, directory, evaluate, order, search, similar, sizes
+from tessel.operators import contain, directory, evaluate, layout, order, search, similar, sizes
 from tessel.sources import scratch
 
 RNG = random.Random(31)
@@ -137,3 +139,45 @@ def test_small_counts_bytes(spark):
     assert 100_000 < sizes.bytes_of(df) < 140_000 and sizes.bytes_of(df.where("false")) == 0
     assert "hint" in sizes.small(df, 200_000)._jdf.queryExecution().logical().toString().lower()
     assert "hint" not in sizes.small(df, 50_000)._jdf.queryExecution().logical().toString().lower()
+
+
+def brute_alignment(rows, expected, least):
+    """The most points of all placings in which numbers and rows rise, by recursion over numbers and rows."""
+    def points(num, title, text):
+        head = re.match(r"\s*([0-9]{1,6})\b[.)]?\s*", text)
+        led = bool(head) and int(head[1]) == num
+        body = text[head.end() :].strip() if head else text.strip()
+        shared = set(re.findall(r"\w+", body.lower())) & set(re.findall(r"\w+", title.lower()))
+        like = round(difflib.SequenceMatcher(None, body.lower(), title.lower()).ratio(), 6) if led or shared else 0
+        return led, like if like >= least else 0
+
+    @functools.cache
+    def best(i, j):
+        if i == len(expected) or j == len(rows):
+            return 0
+        led, like = points(*expected[i], rows[j])
+        here = 10**6 * led + round(1e6 * like)
+        return max(best(i + 1, j), best(i, j + 1), here + best(i + 1, j + 1) if here else 0)
+
+    return best(0, 0), points
+
+
+def test_aligned_anchors_are_the_best_placing(spark):
+    titles = ["Short title", "Opening hours", "Duties of bakers", "Kettles and lids", "Repeal"]
+    rng, rows, want = random.Random(8), [], []
+    for doc in range(25):
+        lines = []
+        for n, title in enumerate(titles, 1):
+            lines += rng.choice([[f"{n}. {title}"], [title], [f"{n} {title.upper()}x"], [f"{n}. quite other"], [f"{rng.randrange(1, 6)} see elsewhere", f"{n}. {title}"], []])
+        rows += [(doc, k, text) for k, text in enumerate(lines)]
+    expected = [(doc, n, title) for doc in range(25) for n, title in enumerate(titles, 1)]
+    got = layout.aligned_anchors(spark.createDataFrame(rows, "doc long, ord long, text string"), spark.createDataFrame(expected, "doc long, num int, title string")).collect()
+    for doc in range(25):
+        lines = [text for d, _, text in rows if d == doc]
+        most, points = brute_alignment(tuple(lines), tuple(enumerate(titles, 1)), 0.6)
+        mine = sorted((r["num"], r["ord"], r["flag"]) for r in got if r["doc"] == doc)
+        assert [o for _, o, _ in mine] == sorted({o for _, o, _ in mine}) and [n for n, _, _ in mine] == sorted({n for n, _, _ in mine})
+        told = [points(n, titles[n - 1], lines[o]) for n, o, _ in mine]
+        assert sum(10**6 * led + round(1e6 * like) for led, like in told) == most
+        assert [f for _, _, f in mine] == [None if led and like else "TITLE_WEAK" if led else "NUMERAL_MISSING" for led, like in told]
+    assert {r["flag"] for r in got} == {None, "TITLE_WEAK", "NUMERAL_MISSING"}
