@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
+from ..sources.scratch import written
 from .sizes import MOST_BYTES, bytes_of
 
 
@@ -163,7 +164,7 @@ def segment_words(words: DataFrame, allowed: DataFrame | set[str], least: int =
     """
     if isinstance(allowed, set):
         allowed = words.sparkSession.createDataFrame([(w,) for w in sorted(allowed)], "word string")
-    known = allowed.select(F.lower("word").alias("part")).where("length(part) > 1").distinct()
+    known = written(allowed.select(F.lower("word").alias("part")).where("length(part) > 1").distinct(), "allowed")
     tokens = words.select("token").where(F.length("token") >= least).distinct()
     longest = known.agg(F.max(F.length("part"))).first()[0] or 0
     few = bytes_of(known) <= MOST_BYTES // 4  # a Python set takes some four times the bytes
@@ -193,6 +194,7 @@ def repair_joins(pages: DataFrame, changes: DataFrame) -> DataFrame:
     else by the page's own, which its distinct tokens find, and pages are shuffled once, whole.
     """
     pages = pages.select("doc_key", "page_ord", "body")
+    changes = written(changes, "changes")
     few = bytes_of(changes) <= MOST_BYTES // 4
     if few:
         all_ = pages.sparkSession.sparkContext.broadcast({r["token"]: r["fixed"] for r in changes.select("token", "fixed").collect()})
