@@ -68,6 +68,12 @@ def top_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("query_id", F.coalesce("b", zero).alias("before"), F.coalesce("a", zero).alias("after"), F.round(F.coalesce("a", zero) - F.coalesce("b", zero), 6).alias("delta"))
 
 
+def induced_refusals(tops: DataFrame, base: str, other: str, floor: float) -> DataFrame:
+    """turn_id, base, other: turns that the base arm answers and the other refuses, with the best scores of both (0 without a hit). tops: turn_id, arm, top."""
+    by = tops.groupBy("turn_id").agg(*(F.coalesce(F.max(F.when(F.col("arm") == arm, F.col("top"))), F.lit(0.0)).alias(c) for arm, c in ((base, "base"), (other, "other"))))
+    return by.where((F.col("base") >= floor) & (F.col("other") < floor))
+
+
 def slot_accuracy(slots: DataFrame, wanted: DataFrame) -> DataFrame:
     """arm, n, right, accuracy: turns whose slot is the wanted one. slots: arm, conv_id, turn, what; wanted: conv_id, turn, want."""
     met = slots.join(wanted, ["conv_id", "turn"])

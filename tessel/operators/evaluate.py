@@ -137,6 +137,14 @@ def invariance_breaks(shown: DataFrame, pool: DataFrame, floor: float) -> DataFr
     return a.join(b, "query_id", "full").where(F.coalesce("shown_ok", F.lit(False)) != F.coalesce("pool_ok", F.lit(False)))
 
 
+def version_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """query_id, n_lost, n_gained, n_kept: references (query_id, collection, num) that only the one, only the other, or both versions show."""
+    key = ["query_id", "collection", "num"]
+    both = before.select(*key).distinct().withColumn("b", F.lit(1)).join(after.select(*key).distinct().withColumn("a", F.lit(1)), key, "full")
+    b, a = F.col("b").isNotNull(), F.col("a").isNotNull()
+    return both.groupBy("query_id").agg(F.count_if(b & ~a).alias("n_lost"), F.count_if(a & ~b).alias("n_gained"), F.count_if(a & b).alias("n_kept"))
+
+
 def calibration(tops: DataFrame) -> DataFrame:
     """One row: the weakest top score of queries within the corpus, the strongest without, and whether the band is inverted."""
     inside, outside = F.when(F.col("gate") == "answer", F.col("top")), F.when(F.col("gate") == "refuse", F.col("top"))

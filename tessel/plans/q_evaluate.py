@@ -8,7 +8,7 @@ from ..functions.text import shingles
 from ..operators import contain, evaluate, order, search
 from ..operators.sizes import small
 from .base import LINE_CHUNKS, line_chunks, query
-from .q_search import FLOOR, HITS, K, hits, merged, queries_
+from .q_search import FLOOR, HITS, K, hits, merged, orders, queries_
 
 
 def expected(t):
@@ -154,6 +154,16 @@ def e23(t):
     return both.where("before <> after_")
 
 
+@query("e23_version_refs", f"""{HITS}, lists AS (SELECT v, query_id, collection, chunk_ord // 100000 AS num, row_number() OVER (PARTITION BY v, query_id ORDER BY score DESC, collection_ord, rank) AS p FROM hits JOIN orders USING (collection), (VALUES ('before'), ('after')) x(v) WHERE v = 'after' OR collection <> 'de'),
+  refs AS (SELECT query_id, collection, num, max((v = 'before')::INT) AS b, max((v = 'after')::INT) AS a FROM lists WHERE p <= 6 GROUP BY 1, 2, 3)
+SELECT query_id, count(*) FILTER (a = 0) AS n_lost, count(*) FILTER (b = 0) AS n_gained, count(*) FILTER (a = 1 AND b = 1) AS n_kept FROM refs GROUP BY 1""")
+def e23r(t):
+    """References in the first six places, before the corpus had its German texts and after."""
+    h, o = hits(t), orders(t)
+    six = lambda df: search.merge_ranked(df, o).where("pos <= 6").select("query_id", "collection", F.expr("chunk_ord div 100000").alias("num"))
+    return evaluate.version_changes(six(h.where("collection <> 'de'")), six(h))
+
+
 @query("e27_regression_guard", "SELECT lang AS name, CAST(count(*) AS DOUBLE) AS value, CAST(150 AS DOUBLE) AS baseline, count(*) >= 149.995 AS ok FROM documents GROUP BY 1")
 def e27(t):
     m = t("documents").groupBy(F.col("lang").alias("name")).agg(F.count("*").cast("double").alias("value"))

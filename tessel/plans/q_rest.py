@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import answers, chunk, converse, dedupe, refs, search
+from ..operators import answers, arms, chunk, converse, dedupe, refs, search
 from ..streaming import signal
 from .base import LINE_CHUNKS, index_of, line_chunks, pages, query
 from .q_evaluate import EXPECTED, expected
@@ -112,6 +112,10 @@ TURN_ARMS = HITS.replace("bench AS (SELECT item_id AS query_id, text FROM benchm
 @query("e25_multi_turn_arms", f"{TURN_ARMS} SELECT split_part(query_id, '/', 1) AS turn_id, split_part(query_id, '/', 2) AS arm, count(*) AS n, max(score) AS top FROM hits WHERE rank <= 3 GROUP BY 1, 2")
 def e25(t):
     """User turns as they stand and with their context: hits and best score of either arm."""
+    return turn_arms(t)
+
+
+def turn_arms(t):
     said = turns(t).where("role = 'user'").select("conv_id", "turn", "text")
     both = converse.contextualised(said).select(F.concat_ws(".", "conv_id", "turn").alias("turn_id"), F.explode(F.array(F.struct(F.lit("naive").alias("arm"), F.col("text").alias("q")), F.struct(F.lit("context").alias("arm"), F.col("query").alias("q")))).alias("x"))
     asked = both.select(F.concat_ws("/", "turn_id", "x.arm").alias("query_id"), F.col("x.q").alias("text"))
@@ -119,6 +123,16 @@ def e25(t):
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("top")).select(F.split_part("query_id", F.lit("/"), F.lit(1)).alias("turn_id"), F.split_part("query_id", F.lit("/"), F.lit(2)).alias("arm"), "n", "top")
 
 
+TIGHT = 0.4
+
+
+@query("e26_induced_refusals", f"""{TURN_ARMS}, tops AS (SELECT split_part(query_id, '/', 1) AS turn_id, split_part(query_id, '/', 2) AS arm, max(score) AS top FROM hits GROUP BY 1, 2),
+  p AS (SELECT turn_id, coalesce(max(top) FILTER (arm = 'naive'), 0.0) AS base, coalesce(max(top) FILTER (arm = 'context'), 0.0) AS other FROM tops GROUP BY 1) SELECT * FROM p WHERE base >= {TIGHT} AND other < {TIGHT}""")
+def e26b(t):
+    """User turns whose context turns an answer into a refusal, at a floor under which some do."""
+    return arms.induced_refusals(turn_arms(t), "naive", "context", TIGHT)
+
+
 @query("e31_floor_tripwire", f"{HITS} SELECT max(score) AS ceiling, {FLOOR} <= max(score) AS ok FROM hits")
 def e31(t):
     return hits(t).agg(F.max("score").alias("ceiling")).withColumn("ok", F.lit(FLOOR) <= F.col("ceiling"))
