@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import dropped, shared_dir, written  # noqa: F401
+
 #: White space that parts words: space and \\x09-\\x0D, which is what bytes.split() takes.
 SPACE = "\\x20\\x09-\\x0D"
 ROWS_AT_ONCE = 256
@@ -22,50 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where it is unset and all tasks run on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-#: Tables of written() and their folders.
-_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-#: Lets Spark delete a query's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost only a reread.
-
-    The shuffle files of the query that writes it go when it ends; nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _folders[out] = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
-    for t in tables:
-        if path := _folders.pop(t, None):
-            context = t.sparkSession.sparkContext
-            folder = context._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
     """mapInArrow over the named columns alone; rows() turns an iterator of tuples into one of tuples of schema."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))
