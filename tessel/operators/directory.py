@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .contain import containing
 from .order import numbered
 from .similar import similar_pairs
@@ -66,7 +67,7 @@ def fuzzy_hits(queries: DataFrame, directory: DataFrame, stop: list[str] = (), l
 
 def ranked(queries: DataFrame, directory: DataFrame, stop: list[str] = (), method: str = "ratio") -> DataFrame:
     """query_id, pos, score, single, how, rank: substring hits, or fuzzy ones for queries without any; then score, specialists, place in the file."""
-    subs = substring_hits(queries, directory).withColumn("how", F.lit("substring"))
+    subs = written(substring_hits(queries, directory).withColumn("how", F.lit("substring")), "substring-hits")
     left = queries.join(subs.select("query_id").distinct(), "query_id", "left_anti")
     both = subs.unionByName(fuzzy_hits(left, directory, stop, method=method).withColumn("how", F.lit("fuzzy")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 3)), F.desc(F.col("single").cast("int")), "pos")
@@ -84,7 +85,7 @@ def located(queries: DataFrame, directory: DataFrame, method: str = "ratio", lea
     close = small(similar_pairs(qt.select("a").distinct(), lt.select("b").distinct(), least, method))
     by_token = qt.join(close, "a").join(lt, "b").select("q", "low")
     met = contained(asked, there).withColumn("way", F.lit(0)).unionByName(whole.unionByName(by_token).withColumn("way", F.lit(1)))
-    best = small(met.groupBy("q", "low").agg(F.min("way").alias("way")))
+    best = small(written(met.groupBy("q", "low").agg(F.min("way").alias("way")), "places"))
     return places.join(best, "q").join(rows, "low").select("query_id", "pos", F.when(F.col("way") == 0, "substring").otherwise("fuzzy").alias("how"))
 
 
@@ -94,8 +95,8 @@ def lookup(queries: DataFrame, directory: DataFrame, fallback: int, k: int = 5,
     A place that matches nothing keeps the ranking by category; a query that matches no row gets the fallback row.
     A query without a category takes the rows of its place in order of the file, or the first k.
     """
-    place = located(queries, directory, method).select("query_id", "pos").withColumn("there", F.lit(1))
-    by_category = ranked(queries, directory, stop, method).select("query_id", "pos", "rank")
+    place = written(located(queries, directory, method).select("query_id", "pos"), "located").withColumn("there", F.lit(1))
+    by_category = written(ranked(queries, directory, stop, method).select("query_id", "pos", "rank"), "ranked")
     free = queries.where("trim(category) = ''")
     of_place = place.join(free, "query_id", "left_semi").select("query_id", "pos", F.col("pos").cast("int").alias("rank"))
     first = [r["pos"] for r in directory.select("pos").orderBy("pos").limit(k).collect()]  # k numbers
@@ -107,6 +108,7 @@ def lookup(queries: DataFrame, directory: DataFrame, fallback: int, k: int = 5,
     filtered = met.where("trim(place) = '' or there = 1 or (any is null and trim(category) <> '')")
     note = F.when(F.trim("place") == "", "no place").when(F.col("any") == 1, "place matched").otherwise("place ignored")
     out = filtered.withColumn("rank", F.row_number().over(w.orderBy("rank", "pos"))).where(F.col("rank") <= k).select("query_id", "pos", "rank", note.alias("note"))
+    out = written(out, "lookup")
     none = queries.join(out.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(fallback).cast("long").alias("pos"), F.lit(1).alias("rank"), F.lit("fallback").alias("note"))
     return out.unionByName(none)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .dedupe import ratio
 
 
@@ -44,8 +45,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, method: str =
     spread = each.groupBy("g").agg(F.count("*").alias("spread"))
     rarity = Window.partitionBy("w", "is_left")
     ranked = each.join(spread, "g").withColumn("place", F.row_number().over(rarity.orderBy("spread", "g"))).withColumn("m", F.count("*").over(rarity))
-    kept = ranked.where(F.col("place") <= F.col("m") - F.greatest(F.ceil(common(F.col("n"), least) - _SLACK), F.lit(1)) + 1)
+    prefix = F.col("m") - F.greatest(F.ceil(common(F.col("n"), least) - _SLACK), F.lit(1)) + 1
+    kept = written(ranked.where(F.col("place") <= prefix).select("w", "is_left", "n", "g"), "grams")
     side = lambda is_left, w, n: kept.where(F.col("is_left") == is_left).select("g", F.col("w").alias(w), F.col("n").alias(n))
     near = F.least("na", "nb") >= shortest(F.greatest("na", "nb"), least) - _SLACK
     met = side(True, "a", "na").join(side(False, "b", "nb"), "g").where(near).select("a", "b").distinct()
-    return met.withColumn("score", F.round(measure(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least)
+    return written(met.withColumn("score", F.round(measure(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least), "similar")
