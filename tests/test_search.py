@@ -1,15 +1,19 @@
 """The written index, pruned top-k, containment, similar pairs, numbers in a global order and strict curves, each against brute force."""
 
+import collections
 import difflib
 import functools
 import itertools
+import pathlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.operators import contain, directory, evaluate, layout, order, search, similar, sizes
+from tessel.functions.text import terms_of
+from tessel.operators import contain, directory, evaluate, layout, order, scoring, search, similar, sizes
 from tessel.sources import scratch
 
 RNG = random.Random(31)
@@ -181,3 +185,32 @@ def test_aligned_anchors_are_the_best_placing(spark):
         assert sum(10**6 * led + round(1e6 * like) for led, like in told) == most
         assert [f for _, _, f in mine] == [None if led and like else "TITLE_WEAK" if led else "NUMERAL_MISSING" for led, like in told]
     assert {r["flag"] for r in got} == {None, "TITLE_WEAK", "NUMERAL_MISSING"}
+
+
+def test_index_holds_no_postings_and_passes_are_bounded(spark, chunks, monkeypatch):
+    index = search.Index(chunks, block=50, hot=3)
+    assert {f.name for f in pathlib.Path(index.at).iterdir() if not f.name.startswith(".")} == {"stems", "vocab"}
+    asked = [r["text"] for r in chunks.where("chunk_ord < 12").collect()]
+    queries = spark.createDataFrame([(f"q/{i}", x) for i, x in enumerate(asked)], "query_id string, text string")
+    monkeypatch.setattr(search, "MOST_ASKED", 150)  # several passes
+    monkeypatch.setattr(search, "MOST_COMMON", 60)  # most idfs are known by bounds alone
+    got = {}
+    for r in search.top_k(queries, index, 3).orderBy("query_id", "collection", "rank").collect():
+        got.setdefault((r["query_id"], r["collection"]), []).append((r["chunk_ord"], r["score"]))
+    assert got == plain_top(queries, index, 3) and index.limit > 3
+
+
+def test_scorer_keeps_all_that_can_be_among_the_best(monkeypatch):
+    monkeypatch.setattr(scoring, "MOST_KEPT", 5)
+    texts = [" ".join(RNG.choices("abcdefghij", k=6)) for _ in range(200)]
+    idf = {x: 1 + RNG.random() for t in texts for x in terms_of(t)}
+    known = list("abc") + ["a b"]
+    space = scoring.Scorer(known, np.array([idf.get(x, 1.5) for x in known]), 1.0, 2.0, np.array([0, 1, 3]), np.array([7, 9, 7]), np.array([0.5, 1.0, 0.5]), 4)
+    for at in range(0, 200, 30):
+        space.add(texts[at : at + 30], np.arange(at, min(at + 30, 200)))
+    kept, query = space.left()[:2]
+    for place, weights in enumerate([{"a": 0.5, "a b": 0.5}, {"b": 1.0}]):
+        tfs = [collections.Counter(terms_of(t)) for t in texts]
+        score = [sum(w * tf[x] * idf.get(x, 1.5) for x, w in weights.items()) / sum((n * idf[x]) ** 2 for x, n in tf.items()) ** 0.5 for tf in tfs]
+        assert set(sorted(range(200), key=lambda i: -score[i])[:4]) <= set(kept[query == place].tolist())
+    assert space.queries.tolist() == [7, 9] and len(kept) < 200
