@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Container, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines
 from ..sources.scratch import written
+from . import matching
 from .sizes import MOST_BYTES, bytes_of
 
 
@@ -27,7 +27,7 @@ def ratio(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def each(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
+        return pd.Series([matching.ratio(p or "", q or "") for p, q in zip(x, y, strict=True)])
 
     return each(a, b)
 
