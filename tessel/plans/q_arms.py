@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import arms, converse, expand, route, search
+from ..sources.scratch import written
 from .base import index_of, query
 from .q_evaluate import expected
 from .q_more import LOW, bridge
@@ -24,7 +25,7 @@ ARMED = HITS.replace(BENCH, BRIDGED) + f""", profile AS (SELECT arm, id AS query
 
 def armed(t):
     b = bridge(t("documents"))
-    return arms.expansion_arms(queries_(t), {"none": None, **{arm: expand.bridge_terms(queries_(t), b, most=most) for arm, most in CAPS.items()}})
+    return written(arms.expansion_arms(queries_(t), {"none": None, **{arm: expand.bridge_terms(queries_(t), b, most=most) for arm, most in CAPS.items()}}), "armed")
 
 
 def hits_of(t, asked):
@@ -54,7 +55,7 @@ SELECT count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down, count(*)
   (SELECT count(*) FROM sets b JOIN sets o USING (query_id) WHERE b.arm = 'none' AND o.arm = 'bridge4' AND b.s <> o.s) AS changed FROM d""")
 def e16(t):
     """Queries as they stand against the same with up to four bridge terms."""
-    terms = expand.bridge_terms(queries_(t), bridge(t("documents")))
+    terms = written(expand.bridge_terms(queries_(t), bridge(t("documents"))), "terms")
     a = arms.expansion_arms(queries_(t), {"none": None, "bridge4": terms})
     return arms.compared(queries_(t), hits_of(t, a), expected(t), terms, "none", "bridge4")
 
@@ -73,7 +74,7 @@ def r14(t):
 @query("r19_effective_query", f"{ARMED}, {OK} SELECT id AS query_id, text, o.query_id IS NOT NULL AS expanded FROM armed a LEFT JOIN ok o ON o.query_id = a.id WHERE arm = CASE WHEN o.query_id IS NULL THEN 'none' ELSE 'bridge4' END")
 def r19(t):
     """The text that is scored: the expanded one where both gates hold, else the query itself."""
-    index, wide = index_of(t), expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents"))))
+    index, wide = index_of(t), written(expand.expanded(queries_(t), expand.bridge_terms(queries_(t), bridge(t("documents")))), "wide")
     ok = search.gate_expansion(search.top_k(queries_(t), index, K), search.top_k(wide, index, K), FLOOR).where("arm = 'expanded'").select("query_id").distinct().withColumn("expanded", F.lit(True))
     both = queries_(t).join(wide.withColumnRenamed("text", "wide"), "query_id").join(ok, "query_id", "left").withColumn("expanded", F.coalesce("expanded", F.lit(False)))
     return both.select("query_id", F.when(F.col("expanded"), F.col("wide")).otherwise(F.col("text")).alias("text"), "expanded")
