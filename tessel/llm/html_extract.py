@@ -9,11 +9,11 @@ begin alike on enough distinct pages marks its tokens as covered. Blocks that ar
 boilerplate; what is left are the unique runs. Inside an article a run must be on over half of the
 host's pages, since articles may quote the same passage.
 
-A host of over BLOCK_PAGES pages is dealt by a hash of page_id and url into groups of about as many, and
-each group is judged by itself: what stands on some share of a host's pages stands on about that share of
-each group, so runs near a limit may fall differently from group to group. No task ever holds more than
-one group, and copies of a page under ids of their own are spread over all of them. Copies within a group
-count as one page.
+No task holds more than about BLOCK_PAGES distinct pages of a host. Those of a larger host are dealt by
+content into groups, and a run on some share of the host's distinct pages is on that share of at least one
+group's: each group's suffix order names such runs, all groups count the runs that any of them named, and
+the sums decide, so that every host is judged by all its pages, whatever its size. Pages with the same
+blocks count as one page; the rows themselves are spread by page_id and url.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; a page alone
 on its host keeps all that markup leaves; equal rows give equal rows; only page_id, url and html are read.
@@ -22,7 +22,9 @@ on its host keeps all that markup leaves; equal rows give equal rows; only page_
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,11 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import dropped, map_rows, table, written
 
 RUN, BLOCK_PAGES, MOST_BIG_HOSTS = 8, 1000, 100_000
+#: Contents that a task remembers, so that it passes on each of them once.
+MOST_SEEN = 100_000
 #: Least share of a group's distinct pages and least number of pages, for runs in an article and elsewhere.
 INSIDE, OUTSIDE, MOSTLY = (0.5, 5), (0.1, 3), 0.8
+#: Leaves room for rounding where a group names runs by a share.
+ROOM = 1 - 1e-9
 # Fixed values of HTML: elements without an end tag, elements inside a line, elements that show no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
@@ -145,76 +151,181 @@ def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def covered(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """For each token, the most distinct pages that share a run of `run` tokens that covers it (0: none but its own)."""
+def run_pages(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each token, the distinct pages that have the run of `run` tokens that begins there (0: it reaches into the next page)."""
     n = len(tokens)
-    out = np.zeros(n, np.int64)
     if n < run:
-        return out
+        return np.zeros(n, np.int64)
     order, rank = suffix_order(tokens, run)
-    whole = np.zeros(n, bool)  # the run doesn't reach into the next page
+    whole = np.zeros(n, bool)
     whole[: n - run + 1] = page[: n - run + 1] == page[run - 1 :]
     held = order[whole[order]]
     distinct = np.unique(np.stack([rank[held], page[held]]), axis=1)
-    pages = np.bincount(distinct[0], minlength=int(rank.max()) + 1)[rank]
-    pages = np.where(whole & (pages > 1), pages, 0)
-    for k in range(run):
-        out[k:] = np.maximum(out[k:], pages[: n - k])
+    return np.where(whole, np.bincount(distinct[0], minlength=int(rank.max()) + 1)[rank], 0)
+
+
+def spread_over(begins: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each token, the greatest value of the runs that cover it; begins: the values of the runs that begin at each token."""
+    out = begins.copy()
+    for k in range(1, min(run, len(begins))):
+        out[k:] = np.maximum(out[k:], begins[: len(begins) - k])
     return out
 
 
-def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
-    """The pages' blocks without those that the group's other pages show to be boilerplate, joined by spaces."""
+def covered(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each token, the most distinct pages that share a run of `run` tokens that covers it (0: none but its own)."""
+    pages = run_pages(tokens, page, run)
+    return spread_over(np.where(pages > 1, pages, 0), run)
+
+
+def stream(pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of pages of (text, inside): numbers of all words, the page of each, and the words."""
+    ids: dict[str, int] = {}
+    words = [[w for text, _ in blocks for w in text.split(" ")] for blocks in pages]
+    tokens = np.array([ids.setdefault(w, len(ids)) for own in words for w in own], np.int64)
+    return tokens, np.repeat(np.arange(len(pages)), np.array([len(own) for own in words], np.int64)), [w for own in words for w in own]
+
+
+def named_runs(pages: list[tuple]) -> dict[str, int]:
+    """Runs on the least share that counts, or more, of these distinct pages, and how many have each."""
+    tokens, page, words = stream(pages)
+    many = run_pages(tokens, page)
+    return {" ".join(words[k : k + RUN]): int(many[k]) for k in np.flatnonzero(many >= max(1, OUTSIDE[0] * ROOM * len(pages)))}
+
+
+def runs_of(words: list[str]) -> list[str]:
+    return [" ".join(words[k : k + RUN]) for k in range(len(words) - RUN + 1)]
+
+
+def main_texts(pages: list[list[tuple[str, bool]]], runs: dict[str, int] | None = None, n: int | None = None) -> list[str]:
+    """The pages' blocks without those that the host's other pages show to be boilerplate, joined by spaces.
+
+    Pages are all of a host; or some, with runs: its frequent runs and the distinct pages that have each, of n in all.
+    """
     kinds: dict[tuple, int] = {}
     kind = [kinds.setdefault(tuple(p), len(kinds)) for p in pages]
     distinct = list(kinds)
-    ids: dict[str, int] = {}
-    tokens, page, size = [], [], []
-    for k, blocks in enumerate(distinct):
-        for text, _ in blocks:
-            words = text.split(" ")
-            tokens += [ids.setdefault(w, len(ids)) for w in words]
-            size.append(len(words))
-            page.append(np.full(len(words), k))
-    if not tokens:
-        return [""] * len(pages)
-    pages_of = covered(np.array(tokens), np.concatenate(page))
-    ends = np.cumsum(size)
+    n = len(distinct) if runs is None else n
+    tokens, page, words = stream(distinct)
+    if runs is None:
+        pages_of = covered(tokens, page)
+    else:
+        whole = np.zeros(len(words), bool)
+        whole[: max(0, len(words) - RUN + 1)] = page[: max(0, len(words) - RUN + 1)] == page[RUN - 1 :]
+        begins = [runs.get(r, 0) for r in runs_of(words)]
+        pages_of = spread_over(np.where(whole, np.array(begins + [0] * (len(words) - len(begins)), np.int64), 0))
     texts, at = [], 0
     for blocks in distinct:
         left = []
         for text, inside in blocks:
+            size = text.count(" ") + 1
             share, least = INSIDE if inside else OUTSIDE
-            shared = pages_of[ends[at] - size[at] : ends[at]] >= max(least, share * len(distinct))
-            if shared.sum() < MOSTLY * size[at]:
+            shared = pages_of[at : at + size] >= max(least, share * n)
+            if shared.sum() < MOSTLY * size:
                 left.append(text)
-            at += 1
+            at += size
         texts.append(" ".join(left))
     return [texts[k] for k in kind]
 
 
+def pages_in(group: pd.DataFrame) -> list[tuple]:
+    return [tuple((t, inside) for t in blocks) for blocks, inside in zip(group["blocks"], group["inside"], strict=True)]
+
+
+def contents(pages: DataFrame) -> DataFrame:
+    """host, part, blocks, inside: contents of pages (host, groups, html); copies of one are in the same part, and a task passes most of them on once."""
+
+    def parse(it: Iterator[tuple]) -> Iterator[tuple]:
+        seen: set[bytes] = set()
+        for host, groups, html in it:
+            found = blocks_of(html)
+            blocks, inside = [t for t, _ in found], bool(found) and found[0][1]
+            digest = blake2b("\n".join([host, str(inside), *blocks]).encode(), digest_size=16).digest()
+            if digest not in seen:
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
+                seen.add(digest)
+                yield host, int.from_bytes(digest[:8]) % groups, blocks, inside
+
+    return map_rows(pages, ["host", "groups", "html"], "host string, part int, blocks array<string>, inside boolean", parse)
+
+
+def in_parts(rows: DataFrame, big: DataFrame, groups: str) -> DataFrame:
+    """rows once for each part of their host."""
+    return rows.join(big.select("host", F.col(groups).alias("of_host")), "host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of_host") - 1))).drop("of_host")
+
+
+def frequent_runs(pages: DataFrame, big: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """host, run, pages, n: runs on enough of the n distinct pages of a host to count. pages: host, groups, html; big: host, groups."""
+
+    def name(group: pd.DataFrame) -> pd.DataFrame:
+        distinct = list(dict.fromkeys(pages_in(group)))
+        runs, outside = named_runs(distinct), sum(bool(p) and not p[0][1] for p in distinct)
+        n = len(distinct)
+        return pd.DataFrame({"host": group["host"].iloc[0], "run": [None, *runs], "pages": [outside, *runs.values()], "of": [n] * (1 + len(runs))})
+
+    named = written(contents(pages).groupBy("host", "part").applyInPandas(name, "host string, run string, pages long, of long"), "named-runs")
+    # where every page has an article, only the greater share counts
+    limit = lambda k: F.when(F.col("outside") > 0, float(OUTSIDE[k])).otherwise(float(INSIDE[k]))
+    hosts = named.where("run is null").groupBy("host").agg(F.sum("of").alias("n"), F.sum("pages").alias("outside")).select("host", "n", limit(0).alias("share"), limit(1).alias("least"))
+    hosts = written(hosts, "host-limits")
+    asked = written(named.where("run is not null").join(few(hosts), "host").where(F.col("pages") >= F.col("share") * F.col("of") * ROOM).select("host", "run").distinct(), "asked-runs")
+    again = contents(pages.join(few(asked.select("host").distinct()), "host", "left_semi"))
+
+    def count(group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        known, by = set(wanted["run"]), Counter()
+        for page in set(pages_in(group)) if known else ():
+            by.update(known.intersection(runs_of([w for text, _ in page for w in text.split(" ")])))
+        return pd.DataFrame({"host": wanted["host"].iloc[0] if by else "", "run": list(by.keys()), "pages": list(by.values())})
+
+    counted = again.groupBy("host", "part").cogroup(in_parts(asked, few(big), "groups").groupBy("host", "part")).applyInPandas(count, "host string, run string, pages long")
+    runs = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(few(hosts), "host")
+    runs = written(runs.where(F.col("pages") >= F.greatest("least", F.col("share") * F.col("n"))).select("host", "run", "pages", "n"), "runs")
+    dropped(named, hosts, asked)
+    return runs
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text."""
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("\0"))
-    sizes = pages.select(host.alias("host")).groupBy("host").count()
-    big = sizes.where(F.col("count") > BLOCK_PAGES).select("host", F.ceil(F.col("count") / BLOCK_PAGES).cast("int").alias("groups"))
-    if big.limit(MOST_BIG_HOSTS + 1).count() <= MOST_BIG_HOSTS:
-        big = F.broadcast(big)
-    dealt = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url").alias("deal")).join(big, "host", "left")
-    dealt = dealt.withColumn("part", F.when(F.col("groups").isNotNull(), F.pmod("deal", "groups")).otherwise(F.lit(0)).cast("int"))
+    pages = pages.select("page_id", "url", "html", host.alias("host"))
+    sizes = pages.groupBy("host").agg(F.count("*").alias("rows"), F.count_distinct(F.xxhash64("html")).alias("kinds")).where(F.col("rows") > BLOCK_PAGES)
+    groups = lambda c: F.ceil(F.col(c) / BLOCK_PAGES).cast("int")
+    big = written(sizes.select("host", groups("rows").alias("parts"), groups("kinds").alias("groups")), "big-hosts")
+    n_big = big.count()
+    few = F.broadcast if n_big <= MOST_BIG_HOSTS else lambda df: df
+    runs = frequent_runs(pages.join(few(big), "host"), big, few) if n_big else None
+    has_runs = runs.select("host").distinct().withColumn("has_runs", F.lit(True)) if n_big else big.select("host", F.lit(True).alias("has_runs"))
+    big = written(big.join(few(has_runs), "host", "left").select("host", "parts", F.coalesce("has_runs", F.lit(False)).alias("has_runs")), "hosts")
+    dealt = pages.withColumn("deal", F.xxhash64("page_id", "url")).join(few(big), "host", "left")
+    dealt = dealt.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod("deal", "parts")).otherwise(F.lit(0)).cast("int"))
 
     def parse(it: Iterator[tuple]) -> Iterator[tuple]:
         for page, url, where, part, html in it:
             found = blocks_of(html)
             yield page, url, where, part, [t for t, _ in found], bool(found) and found[0][1]
 
-    parsed = map_rows(dealt, ["page_id", "url", "host", "part", "html"], "page_id long, url string, host string, part int, blocks array<string>, inside boolean", parse)
+    def whole(it: Iterator[tuple]) -> Iterator[tuple]:
+        for page, url, html in it:
+            yield page, url, " ".join(t for t, _ in blocks_of(html))
 
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts([[(t, inside) for t in blocks] for blocks, inside in zip(group["blocks"], group["inside"], strict=True)])
-        return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": texts})
+    def judged(group: pd.DataFrame, *known) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": main_texts(pages_in(group), *known)})
 
-    return parsed.groupBy("host", "part").applyInPandas(judge, "page_id long, url string, text string")
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        return judged(group)
+
+    def judge_by(group: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return judged(group, dict(zip(found["run"], found["pages"], strict=True)), int(found["n"].iloc[0]))
+
+    to, out = "page_id long, url string, host string, part int, blocks array<string>, inside boolean", "page_id long, url string, text string"
+    columns = ["page_id", "url", "host", "part", "html"]
+    small = map_rows(dealt.where("parts is null"), columns, to, parse).groupBy("host", "part").applyInPandas(judge, out)
+    if runs is None:
+        return small
+    rest = map_rows(dealt.where("not has_runs"), ["page_id", "url", "html"], out, whole)
+    held = map_rows(dealt.where("has_runs"), columns, to, parse).groupBy("host", "part").cogroup(in_parts(runs, few(big), "parts").groupBy("host", "part")).applyInPandas(judge_by, out)
+    return small.unionByName(rest).unionByName(held)
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

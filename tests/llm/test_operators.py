@@ -509,6 +509,25 @@ def test_html_of_neutral_names_copies_and_odd_rows(spark, monkeypatch):
     assert html_extract.extract(d.where("false")).count() == 0
 
 
+def test_html_of_a_large_host_is_judged_by_all_its_pages(spark, monkeypatch):
+    """Runs at and near the limits fall as they do where all pages of the host are one group."""
+    words = [f"{a}{b}" for a in WORDS for b in "xyz"]
+    frames = [prose(11, words) for _ in range(14)]
+    rows = []
+    for k in range(121):  # frame j is on 6 + j pages; the limit for 120 distinct ones, two alike, is 12
+        own = "".join(f"<div>{f}</div>" for j, f in enumerate(frames) if (k * 7 + j * 13) % 120 < 6 + j)
+        rows.append((k, f"http://h.example/{k}", f"<body>{own}<div>{prose(30, words)}</div></body>" if k < 120 else rows[0][2]))
+    share, half = prose(12, words), prose(12, words)
+    rows += [(1000 + k, f"http://a.example/{k}", f"<article><p>{share if k % 2 else ''}</p><p>{half if k % 40 < 19 else ''}</p><p>{prose(30, words)}</p></article>") for k in range(120)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    texts = lambda: sorted((r["page_id"], r["text"]) for r in html_extract.extract(d).collect())
+    want = texts()
+    monkeypatch.setattr(html_extract, "BLOCK_PAGES", 30)
+    assert texts() == want
+    left = [sum(f in t for _, t in want) for f in frames]
+    assert left[0] > 0 and left[-1] == 0 and not any(share in t for _, t in want) and any(half in t for _, t in want)
+
+
 def test_registered_queries_run_on_the_smallest_tables(spark):
     for name in ("op2_quality_rules", "op6_decontaminate", "op8_html_extract"):
         assert registry.QUERIES[name](spark, DATA).count() > 0
