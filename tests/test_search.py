@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,31 @@ def test_scorer_keeps_all_that_can_be_among_the_best(monkeypatch):
         score = [sum(w * tf[x] * idf.get(x, 1.5) for x, w in weights.items()) / sum((n * idf[x]) ** 2 for x, n in tf.items()) ** 0.5 for tf in tfs]
         assert set(sorted(range(200), key=lambda i: -score[i])[:4]) <= set(kept[query == place].tolist())
     assert space.queries.tolist() == [7, 9] and len(kept) < 200
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 22])
+def test_terms_of_lots_are_those_of_lines(most):
+    """In lots of one row or many: terms, their counts, and the numbers of known ones."""
+    texts = [" ".join(RNG.choices(["aa", "ab", "b", "ba", "cc"], k=RNG.randrange(0, 9))) for _ in range(120)] + [None, "aa", "ba ba ba"]
+    names = [RNG.choice(["x", "y"]) for _ in texts]
+    batches = [pa.RecordBatch.from_arrays([pa.array(names[at : at + 50]), pa.array(range(at, min(at + 50, len(texts)))), pa.array(texts[at : at + 50], pa.string())], ["collection", "n", "stems"]) for at in range(0, len(texts), 50)]
+    known, got = scoring.Known(["ab", "aa ab", "cc cc", "ba", "zz", "zz aa"]), {}
+    for lot in scoring.lots(iter(batches), most):
+        for name, own in scoring.by_collection(lot):
+            words, row, key, tf = scoring.occurring(lot["stems"].chunk(0).take(pa.array(own)))
+            for r, term, n, number in zip(row, scoring.named(words, key).to_pylist(), tf, known.find(words, key), strict=True):
+                got.setdefault((name, lot["n"][own[r]].as_py()), {})[term] = n
+                assert number == {"ab": 0, "aa ab": 1, "cc cc": 2, "ba": 3}.get(term, -1)
+    assert got == {(c, i): collections.Counter(terms_of(t)) for i, (c, t) in enumerate(zip(names, texts, strict=True)) if t}
+
+
+@pytest.mark.parametrize("lot", [1, 1 << 22])
+def test_containing_takes_any_letters_and_lots(spark, monkeypatch, lot):
+    monkeypatch.setattr(contain, "_LOT", lot)
+    letters = ["Straße", "naïve", "кот", "東京", "42", "x", "don't", "a_b", "  ", "\n", "…"]
+    texts = [" ".join(RNG.choices(letters, k=RNG.randrange(0, 30))) for _ in range(60)]
+    needles = [t[i : i + RNG.randrange(1, 60)] for t in texts[:30] for i in [RNG.randrange(0, len(t) + 1)]]
+    t, n = (spark.createDataFrame(list(enumerate(x)), schema) for x, schema in ((texts, "id long, text string"), (needles, "needle long, what string")))
+    found = contain.containing(n, t)
+    assert {tuple(r) for r in found.collect()} == {(i, j) for i, w in enumerate(needles) for j, x in enumerate(texts) if w and w in x}
+    assert not {"transform", "regexp_extract_all"} & set(contain._shingled(t, "id")._jdf.queryExecution().optimizedPlan().toString().replace("(", " ").split())
