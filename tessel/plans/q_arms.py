@@ -24,8 +24,8 @@ ARMED = HITS.replace(BENCH, BRIDGED) + f""", profile AS (SELECT arm, id AS query
 
 
 def armed(t):
-    b = bridge(t("documents"))
-    return written(arms.expansion_arms(queries_(t), {"none": None, **{arm: expand.bridge_terms(queries_(t), b, most=most) for arm, most in CAPS.items()}}), "armed")
+    terms = written(expand.bridged(queries_(t), bridge(t("documents"))), "bridged")
+    return written(arms.expansion_arms(queries_(t), {"none": None, **{arm: expand.capped(terms, most) for arm, most in CAPS.items()}}), "armed")
 
 
 def hits_of(t, asked):
