@@ -243,3 +243,37 @@ def test_containing_takes_any_letters_and_lots(spark, monkeypatch, lot):
     found = contain.containing(n, t)
     assert {tuple(r) for r in found.collect()} == {(i, j) for i, w in enumerate(needles) for j, x in enumerate(texts) if w and w in x}
     assert not {"transform", "regexp_extract_all"} & set(contain._shingled(t, "id")._jdf.queryExecution().optimizedPlan().toString().replace("(", " ").split())
+
+
+@pytest.mark.parametrize("share,heads", [(0.0, 256), (0.01, 5), (2.0, 0)])
+def test_scorer_of_many_queries(monkeypatch, share, heads):
+    """Terms in the matrix product or not: kept hits have their exact products, and the k best of each query are among them."""
+    monkeypatch.setattr(scoring, "HEAD_SHARE", share)
+    monkeypatch.setattr(scoring, "MOST_HEADS", heads)
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmn"]
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 12), p=np.arange(1, 33) / 528)) for _ in range(500)]
+    terms = sorted({x for t in texts for x in terms_of(t)})
+    place, idf = {x: i for i, x in enumerate(terms)}, 1 + 4 * rng.random(len(terms))
+    weights = np.zeros((300, len(terms)))
+    for q in range(300):
+        for x in terms_of(texts[q]):
+            weights[q, place[x]] += idf[place[x]]
+    weights /= np.sqrt((weights**2).sum(axis=1))[:, None]
+    query, number = np.nonzero(weights)
+    space = scoring.Scorer(terms, idf, 1.0, 5.0, number, query + 1000, weights[query, number], 3)
+    assert space.heads.shape[1] <= heads and (space.heads.shape[1] > 0) == (heads > 0)
+    for at in range(0, 500, 90):
+        space.add(texts[at : at + 90], np.arange(at, min(at + 90, 500)), block=40)
+    chunk, q, dot, least, most = space.left()
+    tf = np.array([[c[x] for x in terms] for c in (collections.Counter(terms_of(t)) for t in texts)])
+    want, length = (tf * idf) @ weights.T, np.sqrt(((tf * idf) ** 2).sum(axis=1))
+    assert np.allclose(dot, want[chunk, q], rtol=1e-12) and np.all(space.queries == np.arange(300) + 1000)
+    assert np.allclose(least, dot / length[chunk]) and np.allclose(most, least)
+    assert len(set(zip(chunk.tolist(), q.tolist(), strict=True))) == len(chunk) < 500 * 300 / 20
+    score = want / length[:, None]
+    for k in range(300):
+        assert set(np.argsort(-score[:, k], kind="stable")[:3].tolist()) <= set(chunk[q == k].tolist()) or np.sum(score[:, k] >= np.sort(score[:, k])[-3] - 1e-12) > 3
+    for n in (0, 1, 7, 8, 9, 100):
+        flags = rng.random(n) < 0.2
+        assert scoring.set_places(flags).tolist() == np.flatnonzero(flags).tolist()
