@@ -277,3 +277,21 @@ def test_scorer_of_many_queries(monkeypatch, share, heads):
     for n in (0, 1, 7, 8, 9, 100):
         flags = rng.random(n) < 0.2
         assert scoring.set_places(flags).tolist() == np.flatnonzero(flags).tolist()
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_first_chunks_limit_the_others(spark, chunks, monkeypatch, k):
+    """With a part of the chunks first, the same hits; what tasks keep is less than by their own limits alone."""
+    index = search.Index(chunks, hot=5)
+    queries = spark.createDataFrame(list(enumerate(r["text"] for r in chunks.where("chunk_ord < 60").collect())), "query_id long, text string")
+    rows, got = [], []
+    monkeypatch.setattr(search, "written", lambda df, label, whole=search.written: rows.append((label, out := whole(df, label))) or out)
+    monkeypatch.setattr(search, "dropped", lambda *tables: None)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(search, "MOST_MET", most)
+        hits = search.top_k(queries, index, k).orderBy("query_id", "collection", "rank").collect()
+        got.append(([tuple(r) for r in hits], [x.count() for label, x in rows if label == "bounded"]))
+        rows.clear()
+    assert got[0][0] == got[1][0] != [] and [len(n) for _, n in got] == [1, 2]
+    want = plain_top(queries, index, k)
+    assert sum(map(len, want.values())) == len(got[0][0]) and got[1][1][1] < got[0][1][0]
